@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontam, mixing, sharding
 
 QUERIES = {
+    "op3_decontaminate": decontam.op3,
     "op6_source_mix": mixing.op6,
     "op8_feistel_shards": sharding.op8,
 }
 
 ORACLES = {
+    "op3_decontaminate": decontam.OP3_SQL,
     "op6_source_mix": mixing.OP6_SQL,
 }

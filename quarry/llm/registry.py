@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, sharding
+from . import decontam, licenses, mixing, sharding
 
 QUERIES = {
     "op3_decontaminate": decontam.op3,
     "op6_source_mix": mixing.op6,
+    "op9_license_scan": licenses.op9,
     "op8_feistel_shards": sharding.op8,
 }
 

@@ -25,7 +25,7 @@ from .common import WORD, documents, written
 WEIGHTS, MOST = (1.0, 2.0, 3.0), 3
 SEED = "mix-1"
 #: Rows of a source that one bucket holds on average.
-PER_BUCKET = 20_000
+PER_BUCKET = 4_000
 
 
 def words(text: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, mixing, sharding
+from . import decontam, licenses, mixing, pii, sharding
 
 QUERIES = {
+    "op2_personal_data": pii.op2,
     "op3_decontaminate": decontam.op3,
     "op6_source_mix": mixing.op6,
     "op9_license_scan": licenses.op9,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, mixing, pii, sharding
+from . import decontam, langid, licenses, mixing, pii, quality, sharding
 
 QUERIES = {
+    "op1_language_id": langid.op1,
     "op2_personal_data": pii.op2,
     "op3_decontaminate": decontam.op3,
     "op6_source_mix": mixing.op6,
+    "op10_quality_rank": quality.op10,
     "op9_license_scan": licenses.op9,
     "op8_feistel_shards": sharding.op8,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, mixing, pii, quality, sharding
+from . import decontam, fingerprint, langid, licenses, mixing, pii, quality, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_source_mix": mixing.op6,
     "op10_quality_rank": quality.op10,
     "op9_license_scan": licenses.op9,
+    "op4_fingerprint": fingerprint.op4,
     "op8_feistel_shards": sharding.op8,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, langid, licenses, mixing, pii, quality, sharding
+from . import decontam, fingerprint, jaccard_join, langid, licenses, mixing, pii, quality, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op10_quality_rank": quality.op10,
     "op9_license_scan": licenses.op9,
     "op4_fingerprint": fingerprint.op4,
+    "op5_jaccard_join": jaccard_join.op5,
     "op8_feistel_shards": sharding.op8,
 }
 

@@ -47,7 +47,7 @@ FILTER_BITS = 1 << 26
 #: Members of a block of a large group, and bytes of sets in one.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
 LEAF, FAN = 16, 8
-TABLE = "doc_id bigint, n bigint, sid binary, vec binary, prefix array<bigint>"
+TABLE = "n bigint, sid binary, vec binary, prefix array<bigint>"
 
 
 # ---------------------------------------------------------------------------------------------- sets
@@ -317,7 +317,7 @@ def grouped(rows: DataFrame, columns: list[str], links: Callable[[list[list]], l
 
 
 def linked_sets(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(TABLE of all documents, verified links (a, b) of set ids that span the components of similar different sets)."""
+    """(the key and TABLE of all documents, verified links (a, b) of set ids that span the components of similar different sets)."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(docs, text, k, percent))
 
@@ -330,11 +330,11 @@ def linked_sets(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
                 flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, 1024).cast(pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([sid_of(s) if len(s) else None for s in own], pa.binary()), pa.array([vector(s) for s in own], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    ["doc_id", "n", "sid", "vec", "prefix"],
+                    [b.column(0).slice(at, 1024), pa.array([len(s) for s in own], pa.int64()), pa.array([sid_of(s) if len(s) else None for s in own], pa.binary()), pa.array([vector(s) for s in own], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    [key, "n", "sid", "vec", "prefix"],
                 )
 
-    t = written(docs.select(f"`{key}`", f"`{text}`").mapInArrow(table, TABLE), "jaccard-sets")
+    t = written(docs.select(f"`{key}`", f"`{text}`").mapInArrow(table, f"`{key}` {docs.schema[key].dataType.simpleString()}, {TABLE}"), "jaccard-sets")
     shared = t.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     bits = spark.sparkContext.broadcast(bitmap(shared, "h"))
 
@@ -401,7 +401,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text
 
 def joined(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document: links at ``percent`` % Jaccard of word ``k``-grams."""
-    t, links = linked_sets(docs, k, percent, key, text)
+    t, links = linked_sets(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), k, percent, "doc_id", "text")
     labels = components(links).select(F.col("node"), F.col("label").alias("of"))
     own = t.select("doc_id", "n", "sid").join(labels, F.col("sid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("of", "sid").alias("class"))
     own = written(own, "jaccard-classes")
@@ -409,5 +409,36 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     return own.join(least, F.col("class") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one with the least key (null keys last; of equal keys one is kept).
+
+    A document with an empty set is a component of its own and stays.  Only ids and the ends of components are shuffled: dropped
+    ids are broadcast if there are at most a million, else joined by a shuffle.  Rows with the same key and the same text are one
+    document; rows with the same key and different texts are told apart by the text's hash.
+    """
+    me = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    t, links = linked_sets(docs.select(me.alias("_q_me"), F.col(text).alias("_q_text")), k, percent, "_q_me", "_q_text")
+    labels = components(links)
+    rows = t.join(labels, F.col("sid") == F.col("node"), "left").select(F.col("_q_me").alias("me"), F.coalesce("label", "sid").alias("class")).filter(F.col("class").isNotNull())
+    rows = written(rows.groupBy("me", "class").agg(F.count("*").alias("c")), "jaccard-classes")
+    keeps = rows.groupBy(F.col("class").alias("k")).agg(F.min("me").alias("keep"))
+    ends = rows.join(keeps, F.col("class") == F.col("k")).select("me", (F.col("me") != F.col("keep")).alias("goes"), "c")
+    ends = written(ends.filter(F.col("goes") | (F.col("c") > 1)), "jaccard-ends")
+    few = ends.count() <= 1_000_000
+    docs = docs.withColumn("_q_me", me)
+
+    def side(of: DataFrame) -> DataFrame:
+        of = of.select(F.col("me.key").alias("_q_k"), F.col("me.hash").alias("_q_h"))
+        return F.broadcast(of) if few else of
+
+    same = (F.col("_q_me.hash") == F.col("_q_h")) & F.col("_q_me.key").eqNullSafe(F.col("_q_k"))
+    left = docs.join(side(ends.filter("goes")), same, "left_anti")
+    again = ends.filter("not goes")
+    if not again.isEmpty():
+        # repeated rows of a key and a text that stays: one of them
+        left = left.join(side(again), same, "left_anti").unionByName(left.join(side(again), same, "left_semi").dropDuplicates(["_q_me"]))
+    return left.drop("_q_me")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(documents(spark, sf_dir), k=4, percent=85)

@@ -11,7 +11,7 @@ shingles in any order that all documents share (the prefix principle), and there
 prefixes.  The order puts shingles that are frequent in prefixes last, so a passage that many documents hold brings none
 together that don't agree in nearly everything.
 
-1. Counts of prefix shingles in hash order give the frequent ones (at most ``MOST_FREQUENT``, by raising the mark).
+1. Counts of prefix shingles in hash order give frequency classes, in a table of fixed size.
 2. A narrow table: set id, size, count vector, prefix.  Copies have one set id.
 3. A tree for each shared prefix shingle; its surviving pairs are reduced to a spanning forest on the spot.
 4. Components of these forests are canopies: every pair that the threshold links lies in one.
@@ -40,8 +40,8 @@ from . import scan
 from .common import documents, dropped, partitions, written
 from .components import components
 
-#: Prefix count from which a shingle is frequent, and how many frequent ones are broadcast at most.
-FREQUENT, MOST_FREQUENT = 48, 1 << 20
+#: Prefix count from which a shingle is frequent, and bytes of the table of frequency classes.
+FREQUENT, SLOTS = 4, 1 << 22
 #: Bits of the filters that spare rows the shuffle.
 FILTER_BITS = 1 << 26
 #: Members of a block of a large group, and bytes of sets in one.
@@ -85,7 +85,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 def groups_of(n: int) -> int:
     """Coordinates of the point of a set of n, so that counts stay small; powers of two, which fold onto each other."""
-    return 64 if n < 400 else 256 if n < 2000 else 1024
+    return 64 if n < 1000 else 256 if n < 4000 else 1024
 
 
 def vector(s: np.ndarray) -> bytes:
@@ -219,8 +219,12 @@ def linked(vecs: list[bytes], sizes: np.ndarray, percent: int, check: Callable[[
 # ---------------------------------------------------------------------------------------------- tables
 
 
-def _frequent(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
-    """Shingles in many prefixes, sorted; at most ``MOST_FREQUENT``."""
+def frequency_classes(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
+    """A table of ``SLOTS`` bytes: by a shingle's last bits, the logarithm of the largest prefix count that falls there.
+
+    Any order that all documents share is right; this one puts what is frequent last.  Its size is fixed, and where shingles
+    outnumber slots it grows coarse but the most frequent ones stay last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,27 +233,20 @@ def _frequent(docs: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["h"])
 
-    counts = docs.select(f"`{text}`").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("c"))
-    table = written(counts.filter(F.col("c") >= FREQUENT), "jaccard-frequent")
-    mark, n = FREQUENT, table.count()
-    while n > MOST_FREQUENT:
-        mark *= 2
-        n = table.filter(F.col("c") >= mark).count()
-    got = np.sort(table.filter(F.col("c") >= mark).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-    dropped(table)
-    return got
+    counts = docs.select(f"`{text}`").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= FREQUENT)
+    slots = counts.groupBy(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.max(F.floor(F.log2("c"))).cast("int").alias("class")).toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[slots.column(0).to_numpy()] = slots.column(1).to_numpy()
+    return out
 
 
-def ordered_prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+def ordered_prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order of frequency class, then hash."""
     if not len(s):
         return s
     p = prefix_size(len(s), percent)
-    if len(frequent):
-        at = np.searchsorted(frequent, s)
-        at[at == len(frequent)] = 0
-        late = frequent[at] == s
-        s = np.concatenate([s[~late], s[late]])
-    return s[:p]
+    own = classes[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+    return s[np.argsort(own, kind="stable")[:p]] if own.any() else s[:p]
 
 
 def bitmap(hashes: DataFrame, h: str, bits: int = FILTER_BITS) -> np.ndarray:
@@ -316,17 +313,73 @@ def grouped(rows: DataFrame, columns: list[str], links: Callable[[list[list]], l
     return rows.select("key", *columns).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
 
 
+def small_and_large(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (h, sid, n) as pairs (a, b) of groups that fit into half a leaf, and as members (h, a) of larger groups.
+
+    A tree over so few points is one leaf, whose points are compared directly; near copies meet in nearly all of their prefix,
+    and as pairs their many meetings collapse before vectors are fetched.  Groups are streamed, a few rows at a time.
+    """
+    most = LEAF // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, out = None, [], []
+
+        def close():
+            out.extend((None, min(x, y), max(x, y)) for i, (x, n) in enumerate(held) for y, m in held[:i] if 100 * min(n, m) >= percent * max(n, m))
+
+        for b in batches:
+            for h, sid, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if h != last:
+                    if held:
+                        close()
+                    last, held = h, []
+                if held is None:
+                    out.append((h, sid, None))
+                    continue
+                held.append((sid, n))
+                if len(held) > most:
+                    out += [(h, s, None) for s, _ in held]
+                    held = None
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), [pa.int64(), pa.binary(), pa.binary()], strict=True)], ["h", "a", "b"])
+                out.clear()
+        if held:
+            close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), [pa.int64(), pa.binary(), pa.binary()], strict=True)], ["h", "a", "b"])
+
+    n = partitions(rows.sparkSession)
+    return rows.select("h", "sid", "n").repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "h bigint, a binary, b binary")
+
+
+def _leaf(percent: int):
+    """Pairs with sizes and points that the bound lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+            fits = np.zeros(b.num_rows, bool)
+            need = least_overlap(n, m, percent)
+            v, w = b.column(4).to_pylist(), b.column(5).to_pylist()
+            for i in range(b.num_rows):
+                g = groups_of(int(min(n[i], m[i])))
+                x, y = points([v[i]], n[i : i + 1], g)[0], points([w[i]], m[i : i + 1], g)[0]
+                fits[i] = np.minimum(x, y).sum(dtype=np.int64) >= need[i]
+            yield b.filter(pa.array(fits)).select([0, 1])
+
+    return run
+
+
 def linked_sets(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(the key and TABLE of all documents, verified links (a, b) of set ids that span the components of similar different sets)."""
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(_frequent(docs, text, k, percent))
+    classes = spark.sparkContext.broadcast(frequency_classes(docs, text, k, percent))
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 own = list(sets(b.column(1).slice(at, 1024), k))
-                prefix = [ordered_prefix(s, late, percent) for s in own]
+                prefix = [ordered_prefix(s, classes.value, percent) for s in own]
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
                 flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -340,26 +393,33 @@ def linked_sets(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prefix = b.column(3)
+            prefix = b.column(2)
             flat = prefix.flatten().to_numpy()
             owner = np.repeat(np.arange(b.num_rows), prefix.value_lengths().fill_null(0).to_numpy())
             keep = in_bitmap(bits.value, flat) if len(flat) else np.zeros(0, bool)
             flat, owner = flat[keep], pa.array(owner[keep])
             for at in range(0, len(flat), 1 << 15):
                 own = owner.slice(at, 1 << 15)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 15)]), *(b.column(i).take(own) for i in range(3))], ["h", "n", "sid", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 15)]), b.column(0).take(own), b.column(1).take(own)], ["h", "n", "sid"])
 
-    rows = t.select("n", "sid", "vec", "prefix").mapInArrow(candidates, "h bigint, n bigint, sid binary, vec binary")
-    rows = written(rows.groupBy("h", "sid").agg(F.first("n").alias("n"), F.first("vec").alias("vec")), "jaccard-candidates")
+    rows = t.select("n", "sid", "prefix").mapInArrow(candidates, "h bigint, n bigint, sid binary").distinct()
+    met = written(small_and_large(rows, percent), "jaccard-met")
+    vectors = t.filter(F.col("sid").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
+    vectors = written(vectors, "jaccard-vectors")
 
     def near(held):
         sids, ns, vecs = held
         return [(sids[i], sids[j]) for i, j in linked(vecs, np.array(ns, np.int64), percent)]
 
-    maybe = grouped(blocked(rows, F.col("h"), F.lit(0)), ["sid", "n", "vec"], near)
+    members = met.filter("b is null").select("h", F.col("a").alias("sid")).join(vectors, "sid")
+    trees = grouped(blocked(members, F.col("h"), F.lit(0)), ["sid", "n", "vec"], near)
+    pairs = met.filter("b is not null").select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(vectors.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("vec").alias(f"v_{side}")), side)
+    maybe = trees.unionByName(pairs.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(_leaf(percent), "a binary, b binary"))
     canopies = written(components(maybe), "jaccard-canopies")
-    dropped(rows)
-    members = spark.sparkContext.broadcast(bitmap(canopies.select(F.xxhash64("node").alias("h")), "h", 1 << 25))
+    dropped(met, vectors)
+    inside = spark.sparkContext.broadcast(bitmap(canopies.select(F.xxhash64("node").alias("h")), "h", 1 << 25))
     ids = canopies.select("node", "label")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +434,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text
     # Spark's hash of the id is computed beside the row, so that the filter is a join with nothing
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(in_bitmap(members.value, b.column(2).to_numpy()))).select(["sid", "set"])
+            yield b.filter(pa.array(in_bitmap(inside.value, b.column(2).to_numpy()))).select(["sid", "set"])
 
     whole = docs.select(f"`{text}`").mapInArrow(full, "sid binary, set binary").withColumn("h", F.xxhash64("sid")).mapInArrow(kept, "sid binary, set binary")
     whole = whole.groupBy("sid").agg(F.first("set").alias("set"))

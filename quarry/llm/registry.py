@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, jaccard_join, langid, licenses, mixing, pii, quality, sharding
+from . import decontam, fingerprint, jaccard_join, langid, licenses, mixing, pii, quality, sharding, suffix_dedup
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9,
     "op4_fingerprint": fingerprint.op4,
     "op5_jaccard_join": jaccard_join.op5,
+    "op7_suffix_dedup": suffix_dedup.op7,
     "op8_feistel_shards": sharding.op8,
 }
 

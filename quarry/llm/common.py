@@ -1,13 +1,14 @@
-"""Helpers shared by the training-data operators: tables, durable intermediates, driver-sized bitmaps."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import dropped, shared_dir, small_batches, written
+
+__all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "documents", "dropped", "partitions", "shared_dir", "small_batches", "written"]
+
 #: A-Z to a-z and nothing else; ``lower`` would also change other scripts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of letters and digits of ASCII, and of everything beyond ASCII.
@@ -17,43 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    Unset, a temporary folder serves a local master only; on a cluster that is an error.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if got:
-        return got.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.quarry.local.scratch", got := spark.conf.get("spark.quarry.local.scratch", None) or tempfile.mkdtemp(prefix="quarry-"))
-    return got
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: it survives lost executors and cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.quarry_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of :func:`written` that nothing reads any more."""
-    for t in tables:
-        if path := getattr(t, "quarry_path", None):
-            spark = t.sparkSession
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 

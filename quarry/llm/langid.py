@@ -19,6 +19,7 @@ longest text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import documents
+from .common import documents, small_batches
 
 DIMENSIONS, SEED = 512, 11
 #: Labelled texts that are learned from at most.
@@ -128,6 +129,12 @@ class Hyper:
             at = end
 
 
+@lru_cache(maxsize=1)
+def encoder() -> Hyper:
+    """One encoder a Python worker: its letter table and known trigrams serve all tasks."""
+    return Hyper()
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
@@ -162,7 +169,7 @@ def learned(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang:
     d = DIMENSIONS
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hyper, own = Hyper(), {}
+        hyper, own = encoder(), {}
         for b in batches:
             vectors, some = hyper.encode(b.column(1).to_pylist())
             for v, lang_of in zip(unit(vectors)[some], np.array(b.column(0).to_pylist(), object)[some], strict=True):
@@ -183,22 +190,25 @@ def identified(docs: DataFrame, model: Model, keep: list[str] | None = None, tex
     keep = docs.columns if keep is None else keep
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "_q_lang string", "_q_score double"])
     names = [*keep, "_q_lang", "_q_score"]
+    # the text goes over once, also where it is kept
+    place = keep.index(text) if text in keep else len(keep)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hyper = Hyper()
+        hyper = encoder()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                vectors, some = hyper.encode(b.column(b.num_columns - 1).to_pylist())
+                vectors, some = hyper.encode(b.column(place).to_pylist())
                 if model.languages:
                     best, score = model.predict(vectors)
                     langs = [model.languages[i] if s else UNKNOWN for i, s in zip(best, some, strict=True)]
                     score = np.where(some, np.round(score, 6), 0.0)
                 else:
                     langs, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_q_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(f"`{text}`").alias("_q_text")])).mapInArrow(run, schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,11 +83,11 @@ def base_patterns(triples: DataFrame, threshold: float, least: int = DEFAULT.bas
     return supports(triples.filter(F.col("min_mag") > threshold)).filter(F.col("support") > least)
 
 
-def merged_levels(code: DataFrame, levels: tuple[float, ...] = DEFAULT.levels, base: float = DEFAULT.base_quantile, **options) -> DataFrame:
+def merged_levels(code: DataFrame, levels: tuple[float, ...] = DEFAULT.levels, base: float = DEFAULT.base_quantile, height: int = DEFAULT.height, **options) -> DataFrame:
     """KEY, ``level`` (the lowest quantile at which the pattern is enriched), ``hits`` there and ``hits_with_base``, the distinct hits
     together with those of the base set.  The triples are enumerated once; enriched keys are a few hundred a level."""
     marks = quantiles(code, [base, *levels])
-    triples = triplets(code)
+    triples = triplets(code, height)
     tall = written(supports(triples, marks), "supports")
     won = None
     for i, level in enumerate(levels):

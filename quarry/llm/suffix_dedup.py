@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import documents, dropped, partitions, written
+from .common import documents, dropped, partitions, small_batches, written
 from .induced import suffix_order
 from .jaccard_join import bitmap, in_bitmap
 
@@ -41,7 +41,7 @@ LENGTH = 100
 #: Bytes of a minimiser; the window of starts it is the least of is LENGTH - GRAM + 1 wide.
 GRAM = 32
 #: Bytes of contexts that are sorted at once; a larger group is a shard of its own.
-SHARD = 4 << 20
+SHARD = 2 << 20
 _POWER = np.uint64(0xD6E8FEB86659FD93)
 _VALUES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -101,64 +101,75 @@ def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _first_copies(docs: DataFrame, t: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(k, tie, t) of one document for each text of ``length`` bytes or more: the first.
+def _digest(x: np.ndarray) -> tuple[bytes, int]:
+    """128 bits of a text's hash, and 63 of them as a number."""
+    d = xxhash.xxh3_128_digest(x)
+    return d, int.from_bytes(d[:8], "big") >> 1
 
-    Texts whose digest may occur again (by a bitmap of fixed size) are shuffled by it, all others pass as they are.
+
+class _Firsts:
+    """One document, the first, of each text of ``length`` bytes or more.
+
+    Texts whose digest may occur again (by a bitmap of fixed size) are shuffled by it once, to a table; all others pass as they are.
+    What is mapped over the firsts is composed with that choice, so a task has one Python worker.
     """
-    spark = docs.sparkSession
-    again = t.filter(F.col("n_bytes") >= length).groupBy("dg").agg(F.sum("c").alias("c")).filter("c > 1")
-    bits = spark.sparkContext.broadcast(bitmap(again.select(F.xxhash64("dg").alias("h")), "h", 1 << 25))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in _parts(batch):
-                dg = [xxhash.xxh3_128_digest(x) for x in _texts(b.column(1))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dg, pa.binary())], ["k", "t", "dg"])
+    def __init__(self, docs: DataFrame, t: DataFrame, length: int):
+        self.long = docs.filter(F.octet_length("t") >= length)
+        again = t.filter(F.col("n_bytes") >= length).groupBy("dg", "tie").agg(F.sum("c").alias("c")).filter("c > 1")
+        self.bits = docs.sparkSession.sparkContext.broadcast(bitmap(again, "tie", 1 << 25))
+        twice = self.long.mapInArrow(self.split(True), "k bigint, tie bigint, t binary, dg binary").groupBy("dg", "tie").agg(F.min("k").alias("k"), F.first("t").alias("t"), F.max(F.col("k").isNull()).alias("none"))
+        self.copied = written(twice.select(F.when(F.col("none"), F.lit(None)).otherwise(F.col("k")).cast("long").alias("k"), "tie", "t"), "suffix-copied")
+
+    def split(self, wanted: bool):
+        bits = self.bits
 
-    def split(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(in_bitmap(bits.value, b.column(3).to_numpy()) == wanted)).select([0, 1, 2])
+            for batch in batches:
+                for b in _parts(batch):
+                    ids = [_digest(x) for x in _texts(b.column(1))]
+                    tie = np.array([i for _, i in ids], np.int64)
+                    keep = in_bitmap(bits.value, tie) == wanted
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tie), b.column(1), pa.array([d for d, _ in ids], pa.binary())], ["k", "tie", "t", "dg"]).filter(pa.array(keep))
 
         return run
 
-    long = docs.filter(F.octet_length("t") >= length).mapInArrow(keyed, "k bigint, t binary, dg binary").withColumn("h", F.xxhash64("dg"))
-    schema = "k bigint, t binary, dg binary"
-    once = long.mapInArrow(split(False), schema)
-    twice = long.mapInArrow(split(True), schema).groupBy("dg").agg(F.min("k").alias("k"), F.first("t").alias("t"), F.max(F.col("k").isNull()).alias("none"))
-    twice = written(twice.select(F.when(F.col("none"), F.lit(None)).otherwise(F.col("k")).alias("k"), "t", "dg"), "suffix-copied")
-    return once.unionByName(twice).select("k", F.xxhash64("dg").alias("tie"), "t"), twice
+    def map(self, f, schema: str) -> DataFrame:
+        """``f`` over batches (k, tie, t) of all firsts."""
+        once = self.split(False)
+        return self.long.mapInArrow(lambda batches: f(once(batches)), schema).unionByName(self.copied.mapInArrow(f, schema))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(a row (k, dg, n_bytes, sha, c) for each key and text with its count, texts with their ranges of repeats)."""
+    """(a row (k, dg, tie, n_bytes, sha, c) for each key and text with its count, texts with their ranges of repeats)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in _parts(batch):
-                rows = [(xxhash.xxh3_128_digest(x), len(x), hashlib.sha256(x).hexdigest()) for x in _texts(b.column(1))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, y) for c, y in zip(zip(*rows, strict=True), [pa.binary(), pa.int64(), pa.string()], strict=True))], ["k", "dg", "n_bytes", "sha"])
+                rows = [(*_digest(x), len(x), hashlib.sha256(x).hexdigest()) for x in _texts(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, y) for c, y in zip(zip(*rows, strict=True), [pa.binary(), pa.int64(), pa.int64(), pa.string()], strict=True))], ["k", "dg", "tie", "n_bytes", "sha"])
 
-    every = docs.mapInArrow(narrow, "k bigint, dg binary, n_bytes bigint, sha string").groupBy("k", "dg", "n_bytes", "sha").agg(F.count("*").alias("c"))
+    every = docs.mapInArrow(narrow, "k bigint, dg binary, tie bigint, n_bytes bigint, sha string").groupBy("k", "dg", "tie", "n_bytes", "sha").agg(F.count("*").alias("c"))
     t = written(every, "suffix-documents")
-    firsts, copied = _first_copies(docs, t, length)
+    firsts = _Firsts(docs, t, length)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in _parts(batch):
-                h = [minimisers(x, length)[0] for x in _texts(b.column(0))]
+                h = [minimisers(x, length)[0] for x in _texts(b.column(2))]
                 if h:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h))], ["h"])
 
-    shared = firsts.select("t").mapInArrow(named, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = firsts.map(named, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     bits = spark.sparkContext.broadcast(bitmap(shared, "h", 1 << 26))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            for b in _parts(batch):
+            for b in _parts(batch, 64):
                 rows = []
                 for k, tie, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2)), strict=True):
                     h, a, e = minimisers(x, length)
@@ -167,10 +178,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
                     raw = x.tobytes()
                     for i in np.flatnonzero(in_bitmap(bits.value, h)).tolist():
                         rows.append((int(h[i]), raw[a[i] : e[i] + length - 1], k, tie, int(a[i])))
+                    if len(rows) > 8192:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows, strict=True), types, strict=True)], ["h", "c", "k", "tie", "a"])
+                        rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows, strict=True), [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["h", "c", "k", "tie", "a"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*rows, strict=True), types, strict=True)], ["h", "c", "k", "tie", "a"])
 
-    found = written(firsts.mapInArrow(contexts, "h bigint, c binary, k bigint, tie bigint, a bigint"), "suffix-contexts")
+    found = written(firsts.map(contexts, "h bigint, c binary, k bigint, tie bigint, a bigint"), "suffix-contexts")
     me = F.struct(F.col("k").isNotNull().alias("some"), F.col("k").alias("k"), F.col("tie").alias("tie"), F.col("a").alias("a"))
     distinct = written(found.groupBy("h", "c").agg(F.min(me).alias("me"), F.count("*").alias("times")).select("h", "c", "me.k", "me.tie", "me.a", "times"), "suffix-distinct")
     # contexts that occurred before: all strings of each but the first are repeats
@@ -187,10 +201,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
 
     def with_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(in_bitmap(marked.value, b.column(1).to_numpy())))
+            yield b.select(["k", "tie", "t"]).filter(pa.array(in_bitmap(marked.value, b.column(1).to_numpy())))
 
     runs = ranges.groupBy("k", "tie").agg(F.collect_set(F.struct("from", "to")).alias("runs")).withColumnsRenamed({"k": "k2", "tie": "tie2"})
-    texts = firsts.mapInArrow(with_ranges, "k bigint, tie bigint, t binary")
+    texts = firsts.map(with_ranges, "k bigint, tie bigint, t binary")
     cut = texts.join(runs, (F.col("tie") == F.col("tie2")) & F.col("k").eqNullSafe(F.col("k2"))).select("k", "tie", "t", F.col("runs.from").alias("from"), F.col("runs.to").alias("to"))
     return t, cut
 
@@ -306,7 +320,7 @@ def removed(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     changed = cut.mapInArrow(kept, "k2 bigint, tie2 bigint, n_removed bigint, n_spans bigint, kept string")
     least = t.groupBy(F.col("dg").alias("d")).agg(F.min(F.struct(F.col("k").isNotNull().alias("some"), F.col("k").alias("k"))).alias("m"))
     rows = t.join(least, F.col("dg") == F.col("d")).withColumn("first", F.col("k").eqNullSafe(F.col("m.k"))).drop("d", "m")
-    rows = rows.withColumn("tie", F.xxhash64("dg")).join(changed, (F.col("tie") == F.col("tie2")) & F.col("k").eqNullSafe(F.col("k2")) & F.col("first"), "left")
+    rows = rows.join(changed, (F.col("tie") == F.col("tie2")) & F.col("k").eqNullSafe(F.col("k2")) & F.col("first"), "left")
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
     copy = (~F.col("first") | (F.col("i") > 1)) & (F.col("n_bytes") >= length)
     return rows.select(

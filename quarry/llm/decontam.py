@@ -46,7 +46,8 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, limit: int = LIMIT, text
     grams = written(windows(bench, n), "decontam-windows")
     size, lengths = grams.agg(F.sum(F.octet_length(F.array_join("gram", " ")) + F.octet_length(F.array_join("items", " ")) + 64), F.sort_array(F.collect_set("len"))).first()
     blocks = max(1, math.ceil((size or 0) / limit))
-    rows = docs.select(F.monotonically_increasing_id().alias("_q_row"), *[F.col(c) for c in keep], tokens(F.col(text)).alias("_q_words"))
+    own = [F.col(f"`{c}`").alias(f"_q_k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.monotonically_increasing_id().alias("_q_row"), *own, tokens(F.col(f"`{text}`")).alias("_q_words"))
     # position -1 stands for the document itself, which so comes through without a hit
     at = rows.select("*", F.size("_q_words").alias("_q_n"), F.explode(F.sequence(F.lit(-1), F.size("_q_words") - 1)).alias("_q_i"))
     if len(lengths or ()) > 1:
@@ -63,13 +64,14 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, limit: int = LIMIT, text
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    own = every.groupBy("_q_row").agg(
-        *[F.max(F.when(F.col("_q_i") < 0, F.struct(F.col(c)))).alias(c) for c in keep],
+    kept = [f"_q_k{i}" for i in range(len(keep))]
+    merged = every.groupBy("_q_row").agg(
+        *[F.max(F.when(F.col("_q_i") < 0, F.struct(F.col(c)))).alias(c) for c in kept],
         F.max("_q_n").cast("long").alias("n_words"),
         F.array_sort(F.collect_list(F.when(F.col("h").isNotNull(), F.struct(F.col("_q_i").alias("from"), (F.col("_q_i") + F.col("_q_len")).alias("to"))))).alias("_q_spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    return own.select(*[F.col(c)[c].alias(c) for c in keep], "n_words", united(F.col("_q_spans")).alias("spans"), "items")
+    return merged.select(*[F.col(c)[c].alias(name) for c, name in zip(kept, keep, strict=True)], "n_words", united(F.col("_q_spans")).alias("spans"), "items")
 
 
 def united(spans: Column) -> Column:
@@ -111,12 +113,16 @@ def removed_documents(docs: DataFrame, bench: DataFrame, n: int = N, limit: int
 
 def removed_spans(docs: DataFrame, bench: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with the covered words (and what lies between them) cut out of the texts; texts without a hit stay as they are."""
-    found = hits(docs, bench, text=text, keep=tuple(docs.columns), **options)
+    aliased = docs.select(*[F.col(f"`{c}`").alias(f"_q_c{i}") for i, c in enumerate(docs.columns)])
+    own = f"_q_c{docs.columns.index(text)}"
+    found = hits(aliased, bench, text=own, keep=tuple(aliased.columns), **options)
     # a word and what follows it up to the next word, and before them what precedes the first word
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    lead = F.when(F.col(text).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
+    gap, letter = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    pieces = F.regexp_extract_all(F.col(own), F.lit(f"^{gap}+|{letter}+{gap}*"), F.lit(0))
+    lead = F.when(F.col(own).rlike(f"^{gap}"), 1).otherwise(0)
     kept = F.array_join(F.filter(pieces, lambda _, i: ~F.exists("spans", lambda s: (i - lead >= s["from"]) & (i - lead < s["to"]))), "")
-    return found.withColumn(text, F.when(F.size("spans") > 0, kept).otherwise(F.col(text))).select(*docs.columns)
+    found = found.withColumn(own, F.when(F.size("spans") > 0, kept).otherwise(F.col(own)))
+    return found.select(*[F.col(f"_q_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

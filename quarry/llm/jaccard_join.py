@@ -263,6 +263,11 @@ def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
+def _four(c: Column) -> Column:
+    """Four bytes of an id as a number."""
+    return F.conv(F.hex(F.substring(c, 5, 4)), 16, 10).cast("long")
+
+
 def sid_of(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
@@ -419,24 +424,22 @@ def linked_sets(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text
     maybe = trees.unionByName(pairs.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(_leaf(percent), "a binary, b binary"))
     canopies = written(components(maybe), "jaccard-canopies")
     dropped(met, vectors)
-    inside = spark.sparkContext.broadcast(bitmap(canopies.select(F.xxhash64("node").alias("h")), "h", 1 << 25))
+    inside = spark.sparkContext.broadcast(bitmap(canopies.select(_four(F.col("node")).alias("h")), "h", 1 << 25))
     ids = canopies.select("node", "label")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
-                own = [s for s in sets(b.column(0).slice(at, 1024), k) if len(s)]
-                if not own:
-                    continue
-                sids = [sid_of(s) for s in own]
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["sid", "set"])
-
-    # Spark's hash of the id is computed beside the row, so that the filter is a join with nothing
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(in_bitmap(inside.value, b.column(2).to_numpy()))).select(["sid", "set"])
-
-    whole = docs.select(f"`{text}`").mapInArrow(full, "sid binary, set binary").withColumn("h", F.xxhash64("sid")).mapInArrow(kept, "sid binary, set binary")
+                rows = []
+                for s in sets(b.column(0).slice(at, 1024), k):
+                    sid = sid_of(s)
+                    # the same four bytes that ``_four`` takes
+                    if len(s) and in_bitmap(inside.value, np.array([int.from_bytes(sid[4:8], "big")], np.int64))[0]:
+                        rows.append((sid, s.tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["sid", "set"])
+
+    whole = docs.select(f"`{text}`").mapInArrow(full, "sid binary, set binary")
     whole = whole.groupBy("sid").agg(F.first("set").alias("set"))
     whole = whole.join(ids, F.col("sid") == F.col("node")).select("sid", "set", "label")
     whole = written(whole, "jaccard-members")

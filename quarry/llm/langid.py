@@ -35,7 +35,7 @@ SAMPLE = 12_000
 UNKNOWN = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 #: Letters that are worked on at once; a longer text is cut into such pieces and its pieces' vectors add up.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 class Hyper:
@@ -66,7 +66,7 @@ class Hyper:
 
     def bound(self, codes: np.ndarray) -> np.ndarray:
         """Vectors of trigrams, which are given as three 21-bit code points."""
-        if len(self.trigrams) > 60_000:
+        if len(self.trigrams) > 40_000:
             self.trigrams.clear()
         out = np.empty((len(codes), self.d), np.float32)
         for i, code in enumerate(codes.tolist()):

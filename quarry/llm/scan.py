@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _RNG = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte, A-Z as a-z, and odd powers for positions in a word.
 _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

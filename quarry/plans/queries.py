@@ -614,6 +614,15 @@ def kmer_encoder(spark, d):
     return run(seqs(spark, d)).select("seq", "position", "fil", F.round("mag", 6).alias("mag"))
 
 
+@query()
+def learned_encoder(spark, d):
+    """A trained model: rows only. A planted motif becomes a filter in the tests."""
+    from ..operators.learned import train
+
+    own = seqs(spark, d)
+    return train(own, epochs=2, sample=512).encode(own).select("seq", "position", "fil", "mag")
+
+
 @query()
 def discover_report(spark, d):
     """The whole pipeline; iterative, so rows only.  A planted motif is recovered in the tests."""

@@ -85,13 +85,28 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     epochs = F.when(F.col("_q_source_size") > 0, F.floor(F.col("_q_target") / F.col("_q_source_size"))).otherwise(F.lit(1)).cast("long")
     rest = F.col("_q_target") - epochs * F.col("_q_source_size")
     chosen = (F.col("_q_before") + F.col("_q_size") / 2.0 <= rest) & (rest > 0)
-    return rows.withColumn("_q_copies", F.least(F.lit(most), epochs + chosen.cast("long")).cast("long")).drop("_q_source", "_q_buckets", "_q_draw", "_q_bucket", "_q_s", "_q_b", "_q_base", "_q_before")
+    rows = rows.withColumns({"_q_epochs": epochs, "_q_chosen": chosen, "_q_copies": F.least(F.lit(most), epochs + chosen.cast("long")).cast("long")})
+    return rows.drop("_q_source", "_q_buckets", "_q_bucket", "_q_s", "_q_b", "_q_base", "_q_before")
 
 
-def copied(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``df`` as often as the mix takes it, with the columns of ``df``."""
-    rows = mixed(df, **options).filter("_q_copies > 0")
-    return rows.withColumn("_q_copy", F.explode(F.sequence(F.lit(1), F.col("_q_copies").cast("int")))).select(*[f"`{c}`" for c in df.columns])
+def copied(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, weight=quality, **options) -> DataFrame:
+    """The mix itself: each row of ``df`` as often as the mix takes it, with the columns of ``df``.
+
+    What a source's fraction takes is a prefix in the order of draws, as the running sum grows by at least half of each size.  So
+    the sort is over keys and sizes only, and rows with their texts are held against their source's last taken draw, without a
+    shuffle; rows that equal it in draw, key and size are all taken.
+    """
+    place = lambda size: F.struct((-F.log(uniform(F.col(f"`{key}`"), seed)) / weight(size)).alias("draw"), F.col(f"`{key}`").isNotNull().alias("some"), F.col(f"`{key}`").alias("key"), size.alias("size"))
+    narrow = written(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size")), "mix-sizes")
+    own = mixed(narrow, key="key", source="source", size="size", seed=seed, weight=weight, **options)
+    last = F.max(F.when(F.col("_q_chosen"), F.struct(F.col("_q_draw").alias("draw"), F.col("key").isNotNull().alias("some"), "key", "size")))
+    ends = written(own.groupBy(F.col("source").alias("_q_source")).agg(F.max("_q_epochs").alias("_q_epochs"), last.alias("_q_last")), "mix-ends")
+    # a row a source
+    side = F.broadcast(ends) if ends.count() <= 1_000_000 else ends
+    rows = df.join(side, F.col(f"`{source}`").eqNullSafe(F.col("_q_source"))).withColumn("_q_size", words(F.col(f"`{text}`")))
+    taken = F.col("_q_epochs") + F.coalesce((place(F.col("_q_size")) <= F.col("_q_last")).cast("int"), F.lit(0))
+    rows = rows.withColumn("_q_copies", F.least(F.lit(options.get("most", MOST)), taken).cast("int")).filter("_q_copies > 0")
+    return rows.withColumn("_q_copy", F.explode(F.sequence(F.lit(1), F.col("_q_copies")))).select(*[f"`{c}`" for c in df.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

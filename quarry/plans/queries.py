@@ -70,6 +70,18 @@ def train_test_split(spark, d):
     return ranks.split(seqs(spark, d).select("seq_id"), "seq_id")
 
 
+@query("WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR), c_custkey) AS k, count(*) OVER () AS n FROM customer) SELECT c_custkey, CASE WHEN k <= round_even(n * 0.85::DOUBLE, 0) THEN 'train' ELSE 'test' END AS split FROM r")
+def labelled_split(spark, d):
+    return ranks.labelled_split(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), "c_custkey", 0.85)
+
+
+@query("SELECT p_partkey, upper(p_name) AS up, length(p_name) AS n, reverse(p_name) AS back, len(string_split(p_name, ' ')) AS words, array_to_string(string_split(p_name, ' '), '-') AS joined, contains(p_name, 'e') AS has_e FROM part")
+def string_functions(spark, d):
+    name = F.col("p_name")
+    words = F.split(name, " ")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.upper(name).alias("up"), F.length(name).alias("n"), F.reverse(name).alias("back"), F.size(words).alias("words"), F.concat_ws("-", words).alias("joined"), name.contains("e").alias("has_e"))
+
+
 SHUFFLED_SQL = f"{BASES_SQL}, shuffled AS (SELECT seq_id, string_agg(base, '' ORDER BY md5(seq_id::VARCHAR || ':' || pos::VARCHAR), pos) AS seq FROM bases GROUP BY seq_id)"
 
 
@@ -469,6 +481,13 @@ def non_overlap_greedy(spark, d):
     return scan.non_overlapping(found, {i + 1: WIDTH for i in range(len(WORDS))})
 
 
+@query(f"""WITH {COUNTS_SQL}, m AS (SELECT motif_id, "offset", max(round(weight, 3)) AS w FROM weights GROUP BY ALL),
+r AS (SELECT motif_id, "offset", row_number() OVER (PARTITION BY motif_id ORDER BY w DESC, "offset") AS r, count(*) OVER (PARTITION BY motif_id) AS n FROM m)
+SELECT motif_id, ceil(r / 3.0)::INTEGER AS segment, "offset" FROM r WHERE r <= n - n % 3""")
+def high_scoring_columns(spark, d):
+    return scan.high_scoring_columns(rounded_weights(spark, d), 3)
+
+
 # ---------------------------------------------------------------- intervals, graph, tests
 
 UNION_SQL = f"""{HITS_SQL}, iv AS (
@@ -505,6 +524,15 @@ def hit_totals(spark, d):
     return intervals.hit_totals(spark.range(1, len(WORDS) + 1).withColumnRenamed("id", "motif_id"), motif_hits(seqs(spark, d)))
 
 
+@query(f"""WITH {HITS_SQL}, a AS (SELECT DISTINCT seq_id, pos FROM hits WHERE motif_id = 1), b AS (SELECT DISTINCT seq_id, pos FROM hits WHERE motif_id = 2)
+SELECT 'union' AS op, seq_id, pos FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', seq_id, pos FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', seq_id, pos FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def hit_set_operations(spark, d):
+    own = motif_hits(seqs(spark, d)).select("motif_id", "seq_id", "pos")
+    a, b = (own.filter(F.col("motif_id") == m).select("seq_id", "pos").distinct() for m in (1, 2))
+    tag = lambda op, df: df.select(F.lit(op).alias("op"), "seq_id", "pos")
+    return tag("union", a.union(b).distinct()).unionByName(tag("intersect", a.intersect(b))).unionByName(tag("except", a.subtract(b)))
+
+
 @query(f"WITH {JACCARD_SQL} SELECT i, j, round(jaccard, 9)::DOUBLE AS jaccard FROM jac")
 def jaccard_overlap(spark, d):
     return intervals.jaccard(unions(spark, d)).select("i", "j", F.round("jaccard", 9).alias("jaccard"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,3 +55,10 @@ def dropped(*tables: DataFrame) -> None:
             spark = t.sparkSession
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so when the driver's objects for them are collected, which a
+    driver with memory to spare may not do for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

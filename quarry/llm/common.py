@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import dropped, shared_dir, small_batches, written
+from ..tables import dropped, released, shared_dir, small_batches, written
 
-__all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "documents", "dropped", "partitions", "shared_dir", "small_batches", "written"]
+__all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "documents", "dropped", "partitions", "released", "shared_dir", "small_batches", "written"]
 
 #: A-Z to a-z and nothing else; ``lower`` would also change other scripts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

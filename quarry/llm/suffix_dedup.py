@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import documents, dropped, partitions, small_batches, written
+from .common import documents, dropped, partitions, released, small_batches, written
 from .induced import suffix_order
 from .jaccard_join import bitmap, in_bitmap
 
@@ -165,6 +165,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
 
     shared = firsts.map(named, "h bigint").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     bits = spark.sparkContext.broadcast(bitmap(shared, "h", 1 << 26))
+    del shared, every
+    released(spark)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
@@ -187,14 +189,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     found = written(firsts.map(contexts, "h bigint, c binary, k bigint, tie bigint, a bigint"), "suffix-contexts")
     me = F.struct(F.col("k").isNotNull().alias("some"), F.col("k").alias("k"), F.col("tie").alias("tie"), F.col("a").alias("a"))
     distinct = written(found.groupBy("h", "c").agg(F.min(me).alias("me"), F.count("*").alias("times")).select("h", "c", "me.k", "me.tie", "me.a", "times"), "suffix-distinct")
+    released(spark)
     # contexts that occurred before: all strings of each but the first are repeats
     first = distinct.filter("times > 1").select("h", F.xxhash64("c").alias("ch"), F.struct("k", "tie", "a").alias("at"))
     again = found.select("h", F.xxhash64("c").alias("ch"), F.struct("k", "tie", "a").alias("at"), "k", "tie", F.col("a").alias("from"), (F.col("a") + F.octet_length("c")).alias("to"))
     whole = again.join(first.select("h", "ch"), ["h", "ch"], "left_semi").join(first, ["h", "ch", "at"], "left_anti").select("k", "tie", "from", "to")
+    # a minimiser with one context has nothing to compare: by a bitmap its bytes are spared the way to the shards
+    several = spark.sparkContext.broadcast(bitmap(distinct.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "h", 1 << 25))
+
+    def of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(several.value, b.column(0).to_numpy())))
+
     n = partitions(spark)
-    inside = distinct.select("h", "c", "k", "tie", "a").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shards(length), "k bigint, tie bigint, from bigint, to bigint")
+    inside = distinct.select("h", "c", "k", "tie", "a").mapInArrow(of_several, "h bigint, c binary, k bigint, tie bigint, a bigint").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shards(length), "k bigint, tie bigint, from bigint, to bigint")
     ranges = written(whole.unionByName(inside), "suffix-ranges")
     dropped(found, distinct)
+    released(spark)
 
     # documents with ranges, by a bitmap, are read again and meet their ranges
     marked = spark.sparkContext.broadcast(bitmap(ranges, "tie", 1 << 25))

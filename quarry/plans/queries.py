@@ -538,15 +538,12 @@ def jaccard_overlap(spark, d):
     return intervals.jaccard(unions(spark, d)).select("i", "j", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity > 47),
-ed AS (SELECT DISTINCT a.o AS i, b.o AS j FROM e a JOIN e b ON a.p = b.p AND a.o <> b.o),
-r(node, other) AS (SELECT i, i FROM ed UNION SELECT r.node, ed.j FROM r JOIN ed ON r.other = ed.i)
+@query("""WITH RECURSIVE ed AS (SELECT o_orderkey * 2 + 1 AS i, o_custkey * 2 AS j FROM orders), both_ways AS (SELECT i, j FROM ed UNION SELECT j, i FROM ed),
+r(node, other) AS (SELECT DISTINCT i, i FROM both_ways UNION SELECT r.node, b.j FROM r JOIN both_ways b ON r.other = b.i)
 SELECT node, min(other) AS comp FROM r GROUP BY node""")
 def connected_components(spark, d):
-    """Orders linked by parts that both take in large quantities; a star for each part instead of all its pairs."""
-    e = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_quantity > 47").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    hub = e.groupBy("p").agg(F.min("o").alias("i"), F.count("*").alias("n")).filter("n > 1")
-    edges = e.join(hub, "p").filter("o <> i").select("i", F.col("o").alias("j")).distinct()
+    """The graph of orders (odd nodes) and their customers (even nodes)."""
+    edges = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") * 2 + 1).alias("i"), (F.col("o_custkey") * 2).alias("j"))
     nodes = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct()
     return graph.connected_components(nodes, edges)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, jaccard_join, langid, licenses, mixing, pii, quality, sharding, suffix_dedup
+from . import decontam, fingerprint, jaccard_join, langid, licenses, mixing, oracles, pii, quality, sharding, suffix_dedup
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -18,6 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_jaccard_join": oracles.OP5_SQL,
+    "op7_suffix_dedup": oracles.OP7_SQL,
+    "op8_feistel_shards": oracles.OP8_SQL,
+    "op9_license_scan": oracles.OP9_SQL,
     "op3_decontaminate": decontam.OP3_SQL,
     "op6_source_mix": mixing.OP6_SQL,
 }

@@ -191,9 +191,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     distinct = written(found.groupBy("h", "c").agg(F.min(me).alias("me"), F.count("*").alias("times")).select("h", "c", "me.k", "me.tie", "me.a", "times"), "suffix-distinct")
     released(spark)
     # contexts that occurred before: all strings of each but the first are repeats
-    first = distinct.filter("times > 1").select("h", F.xxhash64("c").alias("ch"), F.struct("k", "tie", "a").alias("at"))
-    again = found.select("h", F.xxhash64("c").alias("ch"), F.struct("k", "tie", "a").alias("at"), "k", "tie", F.col("a").alias("from"), (F.col("a") + F.octet_length("c")).alias("to"))
-    whole = again.join(first.select("h", "ch"), ["h", "ch"], "left_semi").join(first, ["h", "ch", "at"], "left_anti").select("k", "tie", "from", "to")
+    first = distinct.filter("times > 1").select("h", F.xxhash64("c").alias("ch"), F.struct("k", "tie", "a").alias("first"))
+    every = found.select("h", F.xxhash64("c").alias("ch"), F.struct("k", "tie", "a").alias("at"), "k", "tie", F.col("a").alias("from"), (F.col("a") + F.octet_length("c")).alias("to"))
+    # one shuffle of narrow rows; a context with very many occurrences is split as a skewed join
+    whole = every.join(first, ["h", "ch"]).filter(~F.col("at").eqNullSafe(F.col("first"))).select("k", "tie", "from", "to")
     # a minimiser with one context has nothing to compare: by a bitmap its bytes are spared the way to the shards
     several = spark.sparkContext.broadcast(bitmap(distinct.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "h", 1 << 25))
 

@@ -11,10 +11,11 @@ __all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "documents", "dropp
 
 #: A-Z to a-z and nothing else; ``lower`` would also change other scripts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Runs of letters and digits of ASCII, and of everything beyond ASCII.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Runs of digits, small letters and everything beyond ASCII: what `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` matches, written without a negation,
+#: which Java matches many times slower.
+TOKEN = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+#: Runs of anything but ASCII white space: `[^\x20\x09-\x0D]+`.
+WORD = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]+"
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

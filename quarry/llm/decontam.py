@@ -59,7 +59,10 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, limit: int = LIMIT, text
     parts = []
     for k in range(blocks):
         block = grams if blocks == 1 else grams.filter(F.pmod("h", F.lit(blocks)) == k)
-        found = at.join(F.broadcast(block), (F.col("_q_h") == F.col("h")) & (F.col("_q_len") == F.col("len")) & (F.slice("_q_words", F.greatest(F.col("_q_i"), F.lit(0)) + 1, F.col("_q_len")) == F.col("gram")), "left")
+        # equality written as two comparisons stays a check on matches; as an equality it would become part of the hash key of every position
+        here = F.slice("_q_words", F.greatest(F.col("_q_i"), F.lit(0)) + 1, F.col("_q_len"))
+        verified = (F.col("_q_len") >= F.col("len")) & (F.col("_q_len") <= F.col("len")) & (here >= F.col("gram")) & (here <= F.col("gram"))
+        found = at.join(F.broadcast(block), (F.col("_q_h") == F.col("h")) & verified, "left")
         parts.append(found.filter(F.col("h").isNotNull() | ((F.col("_q_i") < 0) if k == 0 else F.lit(False))))
     every = parts[0]
     for p in parts[1:]:

@@ -47,8 +47,7 @@ def features(column: pa.Array) -> np.ndarray:
     for _, data, offsets in scan.blocks(column):
         n = len(offsets) - 1
         length = np.diff(offsets)
-        owner = np.repeat(np.arange(n), length)
-        share = np.bincount(owner * k + _CLASS[data], minlength=n * k).reshape(n, k) / np.maximum(length, 1)[:, None]
+        share = _class_counts(data, length, k) / np.maximum(length, 1)[:, None]
         starts, ends, bounds = scan.words(data, offsets, "word")
         count = np.diff(bounds)
         of = np.repeat(np.arange(n), count)
@@ -74,6 +73,15 @@ def features(column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 0))
 
 
+def _class_counts(data: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+    """texts x classes; a text that is a block of its own is counted piece by piece."""
+    n = len(length)
+    if n == 1:
+        pieces = (data[a : a + scan.BLOCK] for a in range(0, len(data), scan.BLOCK))
+        return sum((np.bincount(_CLASS[p], minlength=k) for p in pieces), np.zeros(k, np.int64))[None]
+    return np.bincount(np.repeat(np.arange(n), length) * k + _CLASS[data], minlength=n * k).reshape(n, k)
+
+
 def _distinct(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """How many different hashes each text has."""
     own = scan.mix(h + scan.mix(of.astype(np.uint64) + np.uint64(1)))

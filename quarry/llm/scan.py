@@ -86,7 +86,22 @@ def powers(n: int) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, with A-Z as a-z, the same wherever the word stands."""
+    """A 64-bit hash of each word's bytes, with A-Z as a-z, the same wherever the word stands.
+
+    Longer texts are hashed by runs of words of about a block, so that memory doesn't follow them.
+    """
+    if len(data) <= 2 * BLOCK or len(starts) < 2:
+        return _word_hashes(data, starts, ends)
+    out, i = [], 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
+        at = starts[i]
+        out.append(_word_hashes(data[at : ends[j - 1]], starts[i:j] - at, ends[i:j] - at))
+        i = j
+    return np.concatenate(out)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts

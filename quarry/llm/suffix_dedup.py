@@ -68,8 +68,21 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return (done[: max(0, len(data) - gram + 1)] >> np.uint64(1)) if done is not None else h[:0]
 
 
-def minimisers(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the strings of one text: (hash, first start, end of starts) of each run of starts that one minimiser names."""
+def minimisers(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the strings of one text: (hash, first start, end of starts) of each run of starts that one minimiser names.
+
+    A long text is worked on by pieces of its starts; a run that crosses them becomes two of the same minimiser, which still meet.
+    """
+    if len(data) <= piece + length:
+        return _minimisers(data, length, gram)
+    parts = []
+    for at in range(0, len(data) - length + 1, piece):
+        h, a, e = _minimisers(data[at : at + piece + length - 1], length, gram)
+        parts.append((h, a + at, e + at))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _minimisers(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = len(data) - length + 1
     if starts <= 0:
         none = np.zeros(0, np.int64)

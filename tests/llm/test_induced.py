@@ -76,3 +76,13 @@ def test_tree_loses_no_pair():
                 assert (i, j) in found
                 pairs += 1
     assert pairs > 300 and len(found) < len(sets) ** 2
+
+
+def test_long_texts_go_by_pieces():
+    rng = np.random.default_rng(1)
+    x = rng.choice(np.frombuffer(b"abcd  EF\n", np.uint8), 3_000_000)
+    starts, ends, _ = scan.words(x, np.array([0, len(x)]), "word")
+    assert (scan.word_hashes(x, starts, ends) == scan._word_hashes(x, starts, ends)).all()
+    h, a, e = suffix_dedup.minimisers(x)
+    whole, b, f = suffix_dedup._minimisers(x, 100, 32)
+    assert (np.repeat(h, e - a) == np.repeat(whole, f - b)).all()

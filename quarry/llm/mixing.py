@@ -103,7 +103,9 @@ def copied(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ends = written(own.groupBy(F.col("source").alias("_q_source")).agg(F.max("_q_epochs").alias("_q_epochs"), last.alias("_q_last")), "mix-ends")
     # a row a source
     side = F.broadcast(ends) if ends.count() <= 1_000_000 else ends
-    rows = df.join(side, F.col(f"`{source}`").eqNullSafe(F.col("_q_source"))).withColumn("_q_size", words(F.col(f"`{text}`")))
+    rows = df.join(side, F.col(f"`{source}`").eqNullSafe(F.col("_q_source")))
+    # an exploded array of one keeps the count from being inlined, and so repeated, wherever it is used
+    rows = rows.withColumn("_q_size", F.explode(F.array(words(F.col(f"`{text}`")))))
     taken = F.col("_q_epochs") + F.coalesce((place(F.col("_q_size")) <= F.col("_q_last")).cast("int"), F.lit(0))
     rows = rows.withColumn("_q_copies", F.least(F.lit(options.get("most", MOST)), taken).cast("int")).filter("_q_copies > 0")
     return rows.withColumn("_q_copy", F.explode(F.sequence(F.lit(1), F.col("_q_copies")))).select(*[f"`{c}`" for c in df.columns])

@@ -209,6 +209,45 @@ def test_planted_motif(spark, tmp_path):
     assert (tmp_path / "out" / "summary.html").exists() and list((tmp_path / "out" / "matrices" / "meme").glob("motif_id=*"))
 
 
+def test_dominant_passage_leaves_rarer_motifs(spark):
+    # shifted versions of the passage alone are more patterns than any small number of places
+    rng = random.Random(12)
+    out = []
+    for i in range(300):
+        s = [rng.choice("ACGT") for _ in range(60)]
+        if i % 2 == 0:
+            at = rng.randint(0, 42)
+            s[at : at + 18] = "ACCATGGTTCAGACTTGC"
+        elif i % 4 == 1:
+            at = rng.randint(0, 48)
+            s[at : at + 12] = "TGACGTCATCAG"
+        out.append("".join(s))
+    found = discover.discover(seqs(spark, *out), 60, config=Config(height=8, levels=(0.05, 0.5)))
+    text = [r.consensus for r in found.report.collect()]
+    assert any("GACGTCA" in t for t in text) or any("TGACGTC" in t for t in text)
+
+
+def test_merges_in_bulk_decide_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    base = [rng.dirichlet([0.3] * 4, n) for n in (6, 6, 9)]
+    own = {m: rng.poisson(base[m % 3] * rng.integers(5, 200)).astype(float)[:: 1 - 2 * (m % 2), :: 1 - 2 * (m % 2)] for m in range(1, 25)}
+    order = sorted(own, key=lambda m: (len(own[m]), -own[m].sum(), m))
+    longer = merge._Longer(own, order)
+    for x, i in enumerate(order):
+        want = [(y, *f) for y in range(x + 1, len(order)) if (f := merge.sub_alignment(own[i], own[order[y]], 0.5, 80))]
+        assert longer.candidates(own[i], x, 0.5, 80) == want
+    passage = "TGACGTCATCAGGTCA"
+    texts = []
+    for _ in range(40):
+        s = [rng.choice(list("ACGT")) for _ in range(60)]
+        s[20:36] = passage
+        texts.append("".join(s))
+    h = hits(spark, [(m, q + 1, 21 + o, m == 3, n) for q in range(40) for m, (o, n) in enumerate([(0, 8), (2, 9), (1, 10), (0, 16)], 1)])
+    q = spark.createDataFrame(list(enumerate(texts, 1)), "seq_id long, seq string")
+    a, b = (merge.alignment_merge(h, q, 60, ahead=n).collect() for n in (250, 1))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and {(r.motif_id, r.pos, r.len) for r in a} >= {(4, 21, 16)} and len({r.motif_id for r in a}) < 4
+
+
 def test_learned_encoder_finds_planted_word(spark):
     from quarry.operators import learned
 

@@ -1,4 +1,4 @@
-"""Suffix sorting by external induced sorting, for shards of many short texts.
+"""Suffix sorting by induced sorting, for shards of many short texts.  Text, types and output are held in memory, so a shard must fit.
 
 Suffixes are of type S or L as they are smaller or larger than the one behind them; the leftmost S of each run is an anchor.  Sorted
 anchors induce the order of all L suffixes in one scan from the smallest symbol on, and these the order of all S suffixes in a

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with suffix arrays built by external induced sorting.
+"""Removal of repeated byte strings with suffix arrays built by induced sorting.
 
 A byte goes if a string of ``length`` bytes covers it that also starts earlier: in a document with a smaller key, or earlier in the
 same one.  Strings are judged on the input; matches never cross documents.
@@ -13,8 +13,9 @@ same one.  Strings are judged on the input; matches never cross documents.
    neighbours with a common prefix of ``length`` bytes are equal strings, and all but the earliest are repeats.
 5. Repeats are united to runs for each document, and only documents with runs are read again with their runs.
 
-A passage that millions of documents share is one context for each map task.  A minimiser with very many different contexts makes
-a large shard, which is sorted on disk; shards never need the memory of their text.
+A passage that millions of documents share is one context for each map task.  A shard is sorted in memory and holds at most twice
+``SHARD`` bytes of contexts: a minimiser whose different contexts exceed ``SHARD`` is not sorted but cut into its strings, which meet by
+128-bit digests in shuffles that spill, as equal texts do.
 
 Defined results: a null or empty text has no bytes, nothing removed and the hash of nothing; texts shorter than ``length`` keep
 everything, copies or not; null keys come first; documents with one key are ordered by a digest of their texts, and of rows equal in
@@ -40,7 +41,7 @@ from .jaccard_join import bitmap, in_bitmap
 LENGTH = 100
 #: Bytes of a minimiser; the window of starts it is the least of is LENGTH - GRAM + 1 wide.
 GRAM = 32
-#: Bytes of contexts that are sorted at once; a larger group is a shard of its own.
+#: Bytes of contexts that are sorted at once; a larger group is compared string by string.
 SHARD = 2 << 20
 _POWER = np.uint64(0xD6E8FEB86659FD93)
 _VALUES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,7 +154,7 @@ class _Firsts:
         return self.long.mapInArrow(lambda batches: f(once(batches)), schema).unionByName(self.copied.mapInArrow(f, schema))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", most: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(a row (k, dg, tie, n_bytes, sha, c) for each key and text with its count, texts with their ranges of repeats)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -209,15 +210,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     # one shuffle of narrow rows; a context with very many occurrences is split as a skewed join
     whole = every.join(first, ["h", "ch"]).filter(~F.col("at").eqNullSafe(F.col("first"))).select("k", "tie", "from", "to")
     # a minimiser with one context has nothing to compare: by a bitmap its bytes are spared the way to the shards
-    several = spark.sparkContext.broadcast(bitmap(distinct.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "h", 1 << 25))
+    sizes = written(distinct.groupBy("h").agg(F.count("*").alias("m"), F.sum(F.octet_length("c")).alias("n_bytes")).filter("m > 1"), "suffix-sizes")
+    several = spark.sparkContext.broadcast(bitmap(sizes, "h", 1 << 25))
 
     def of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(in_bitmap(several.value, b.column(0).to_numpy())))
 
     n = partitions(spark)
-    inside = distinct.select("h", "c", "k", "tie", "a").mapInArrow(of_several, "h bigint, c binary, k bigint, tie bigint, a bigint").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shards(length), "k bigint, tie bigint, from bigint, to bigint")
+    # at most one minimiser for each ``most`` bytes of contexts
+    large = F.broadcast(sizes.filter(F.col("n_bytes") > most).select("h"))
+    some = not large.isEmpty()
+    fit = distinct.select("h", "c", "k", "tie", "a")
+    if some:
+        fit, over = fit.join(large, "h", "left_anti"), fit.join(large, "h", "left_semi")
+        whole = whole.unionByName(_by_strings(over, length))
+    inside = fit.mapInArrow(of_several, "h bigint, c binary, k bigint, tie bigint, a bigint").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shards(length, most), "k bigint, tie bigint, from bigint, to bigint")
     ranges = written(whole.unionByName(inside), "suffix-ranges")
+    dropped(sizes)
     dropped(found, distinct)
     released(spark)
 
@@ -234,6 +244,44 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     return t, cut
 
 
+def _by_strings(contexts: DataFrame, length: int) -> DataFrame:
+    """Ranges of repeats among contexts (c, k, tie, a): every string of ``length`` bytes is a row with its digest, and all but the
+    earliest of a digest are repeats.  No group is held in memory: an aggregate and a join that Spark splits where they are skewed."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _parts(batch):
+                dg, row, at = [], [], []
+                for i, c in enumerate(b.column(0).to_pylist()):
+                    for p in range(len(c) - length + 1):
+                        dg.append(xxhash.xxh3_128_digest(c[p : p + length]))
+                        row.append(i)
+                        at.append(p)
+                a = b.column(3).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(dg, pa.binary()), b.column(1).take(pa.array(row, pa.int64())), b.column(2).take(pa.array(row, pa.int64())), pa.array(a), pa.array(a + np.array(at, np.int64))], ["dg", "k", "tie", "a", "p"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, start, end = [], [], []
+            for i, p in enumerate(b.column(2).to_pylist()):
+                p = np.sort(np.array(p, np.int64))
+                cut = np.flatnonzero(np.diff(p) > 1)
+                first, last = p[np.append(0, cut + 1)], p[np.append(cut, len(p) - 1)]
+                row += [i] * len(first)
+                start.append(first)
+                end.append(last + length)
+            if row:
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(start)), pa.array(np.concatenate(end))], ["k", "tie", "from", "to"])
+
+    every = written(contexts.select("c", "k", "tie", "a").mapInArrow(strings, "dg binary, k bigint, tie bigint, a bigint, p bigint"), "suffix-strings")
+    me = F.struct(F.col("k").isNotNull().alias("some"), F.col("k").alias("k"), F.col("tie").alias("tie"), F.col("p").alias("p"))
+    first = every.groupBy("dg").agg(F.min(me).alias("first"), F.count("*").alias("times")).filter("times > 1").select("dg", "first")
+    later = every.join(first, "dg").filter(~me.eqNullSafe(F.col("first")))
+    # a context has at most LENGTH - GRAM + 1 strings
+    return later.groupBy("k", "tie", "a").agg(F.collect_list("p").alias("p")).select("k", "tie", "p").mapInArrow(runs, "k bigint, tie bigint, from bigint, to bigint")
+
+
 def _shards(length: int, most: int = SHARD):
     """Streams contexts in order of ``h``, gathers minimisers with two or more to shards and yields ranges of repeats."""
 
@@ -322,9 +370,9 @@ def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], reach[np.append(np.flatnonzero(first)[1:], len(start)) - 1]
 
 
-def removed(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", most: int = SHARD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
-    t, cut = repeats(docs, length, key, text)
+    t, cut = repeats(docs, length, key, text, most)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

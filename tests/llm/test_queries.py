@@ -1,6 +1,7 @@
 """The ten queries and the pipeline on messy and empty tables, against brute force."""
 
 import collections
+import random
 import hashlib
 import math
 import zlib
@@ -215,6 +216,32 @@ def test_repeats(run, rows):
     assert any(r.n_removed and r.n_removed < r.n_bytes for r in run("op7_suffix_dedup"))
 
 
+def test_repeats_of_a_frequent_minimiser_need_no_shard(spark, rows, monkeypatch):
+    from quarry.llm import suffix_dedup
+
+    rng = random.Random(8)
+    core = "".join(rng.choice("abcdefgh") for _ in range(60))
+    pad = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(12)]
+    own = [(100 + i, pad[rng.randrange(12)] + core + pad[rng.randrange(12)]) for i in range(60)]
+    own += [(i, t) for i, t, *_ in rows if i is not None and i not in (3, 4)]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    want = [(i, *x) for (i, _), x in zip(sorted(own), brute.repeats(sorted(own)), strict=True)]
+
+    def unused(length, most):
+        # every minimiser with two contexts exceeds ``most``, so no context may reach the sort in memory
+        def run(batches):
+            for b in batches:
+                counts = collections.Counter(b.column(0).to_pylist())
+                assert max(counts.values(), default=1) == 1
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_shards", unused)
+    got = suffix_dedup.removed(docs, most=1).collect()
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], want)
+
+
 def test_shards(run, rows):
     got = run("op8_feistel_shards")
     same([(r.doc_id, r.size, r.text_crc32) for r in got], [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows])

@@ -179,6 +179,24 @@ def test_merge_and_trim(spark):
     assert sorted((r.pos, r.len) for r in refine.trim_hits(h, refine.span(ic, width=3)).collect()) == [(11, 3), (21, 3)]
 
 
+def test_expansion_and_shrinkage_have_no_bound(spark):
+    rng = random.Random(3)
+    core = "".join(rng.choice("ACGT") for _ in range(40))
+    texts = ["".join(rng.choice("ACGT") for _ in range(5)) + core + "".join(rng.choice("ACGT") for _ in range(15)) for _ in range(200)]
+    flip = [t[::-1].translate(str.maketrans("ACGT", "TGCA")) for t in texts[:100]] + texts[100:]
+    q = spark.createDataFrame(list(enumerate(flip)), "seq_id long, seq string")
+    # core is columns 6 to 45; the hits see 8 of them, seen on either strand
+    h = hits(spark, [(1, i, 30 if i < 100 else 24, i < 100, 8) for i in range(200)])
+    out = refine.expansion(h, q)
+    assert [tuple(r) for r in out.collect()] == [(1, 18, 14)]
+    # 15 uninformative columns behind the core
+    w = hits(spark, [(2, i, 1 if i < 100 else 6, i < 100, 55) for i in range(200)])
+    got = refine.shrinkage(w, q, spark.createDataFrame([(2, 0, 0)], "motif_id long, left int, right int"))
+    assert [tuple(r) for r in got.collect()] == [(2, 0, 15)]
+    edge = hits(spark, [(3, i, 1, False, 60) for i in range(100, 200)])
+    assert [tuple(r) for r in refine.expansion(edge, q).collect()] == [(3, 0, 0)]
+
+
 def test_strings(spark):
     f = spark.createDataFrame([(1, 1, "A", 0.9), (1, 1, "C", 0.1), (1, 2, "A", 0.4), (1, 2, "C", 0.4)], "motif_id long, offset int, base string, freq double")
     assert strings.consensus(f).first().consensus == "A."

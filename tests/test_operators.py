@@ -197,6 +197,33 @@ def test_expansion_and_shrinkage_have_no_bound(spark):
     assert [tuple(r) for r in refine.expansion(edge, q).collect()] == [(3, 0, 0)]
 
 
+def test_wide_motifs_have_a_threshold(spark):
+    rng = random.Random(4)
+    # about four of five letters of the passage are kept: 24 informative columns in one segment
+    core = "".join(rng.choice("ACGT") for _ in range(24))
+    own = []
+    for i in range(300):
+        s = [rng.choice("ACGT") for _ in range(60)]
+        if i % 2 == 0:
+            s[20:44] = [c if rng.random() < 0.75 else rng.choice("ACGT") for c in core]
+        own.append((i, "".join(s)))
+    q = spark.createDataFrame(own, "seq_id long, seq string")
+    train, test = q.filter("seq_id < 200"), q.filter("seq_id >= 200")
+    # motif 2 is noise without a segment
+    words = [(1, s[20:44]) for i, s in own[:200] if i % 2 == 0] + [(2, "".join(rng.choice("ACGT") for _ in range(12))) for _ in range(400)]
+    counted = matrices.count_matrix(spark.createDataFrame(words, "motif_id long, word string"))
+    weights = matrices.weight_matrix(matrices.frequency_matrix(counted))
+    segments = matrices.high_segments(matrices.information(counted))
+    assert [(r.motif_id, r.end - r.start + 1 > 15) for r in segments.collect()] == [(1, True)]
+    mats = scan.gathered(weights)
+    marks = discover.score_marks(weights, segments, mats, train, encode.dinucleotide_shuffled(train), 2 * 200 * 60)
+    assert marks[1] > 3
+    rows = discover.report(counted, train, test, 60).collect()
+    assert [r.motif_id for r in rows] == [1] and rows[0].p_value < 1e-10
+    # about one hit in each sequence that has the passage
+    assert 130 <= rows[0].counts <= 170
+
+
 def test_strings(spark):
     f = spark.createDataFrame([(1, 1, "A", 0.9), (1, 1, "C", 0.1), (1, 2, "A", 0.4), (1, 2, "C", 0.4)], "motif_id long, offset int, base string, freq double")
     assert strings.consensus(f).first().consensus == "A."

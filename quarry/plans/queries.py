@@ -645,7 +645,7 @@ def learned_encoder(spark, d):
     from ..operators.learned import train
 
     own = seqs(spark, d)
-    return train(own, epochs=2, sample=512).encode(own).select("seq", "position", "fil", "mag")
+    return train(own).encode(own).select("seq", "position", "fil", "mag")
 
 
 @query()

@@ -316,6 +316,26 @@ def test_learned_encoder_finds_planted_word(spark):
     assert sorted(map(tuple, code.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_learned_encoder_takes_all_sequences(spark):
+    from quarry.operators import learned
+
+    rng = random.Random(6)
+    out = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(900)]
+    q = seqs(spark, *out)
+
+    def step(f):
+        return np.full((2, 2, 4), 0.25), float(len(f))
+
+    blocks = q.select("seq_id", "seq", F.pmod(F.xxhash64("seq_id"), F.lit(9)).alias("block"))
+    logs, spent = learned._epoch(blocks, step)
+    assert spent == 900 and np.allclose(logs, 900 * np.log(0.25))
+    a, b = (learned.train(x, epochs=2, block=100) for x in (q, q.repartition(5)))
+    assert np.allclose(a.filters, b.filters) and np.allclose(a.filters.sum(-1), 1) and a.history[-1] < a.history[0]
+    # a change of any one sequence changes the filters
+    other = q.withColumn("seq", F.when(F.col("seq_id") == q.agg(F.max("seq_id")).first()[0], "A" * 40).otherwise(F.col("seq")))
+    assert not np.allclose(a.filters, learned.train(other, epochs=2, block=100).filters, atol=1e-12, rtol=0)
+
+
 def test_epochs_and_sinks(spark):
     assert [DEFAULT.epochs(n) for n in (10, 5_000, 50_000, 500_000)] == [25, 10, 5, 3]
     c = matrices.count_matrix(spark.createDataFrame([(1, "AC")] * 4, "motif_id long, word string"))

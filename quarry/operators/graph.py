@@ -1,4 +1,4 @@
-"""Connected components by hooking on the least neighbour and jumping pointers."""
+"""Connected components by alternating large and small stars; nothing leaves the cluster but a checksum a round."""
 
 from __future__ import annotations
 
@@ -8,23 +8,38 @@ from pyspark.sql import functions as F
 from ..tables import dropped, written
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", rounds: int = 60) -> DataFrame:
-    """(node, comp): ``comp`` is the least node reachable over ``edges(i, j)``.
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """(node, comp): ``comp`` is the least node reachable over ``edges(i, j)`` between nodes; rounds go on until nothing changes."""
+    labels = components(edges, "i", "j").withColumnRenamed("node", "n2")
+    own = nodes.select(F.col(node).alias("node")).distinct()
+    return own.join(labels, F.col("node") == F.col("n2"), "left").select("node", F.coalesce("label", "node").alias("comp"))
 
-    Each round takes the least label of a node's neighbours and then the label of that label.  Each round is a table in the
-    shared folder; their number grows with the logarithm of the longest path.
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label) for each node of an edge: ``label`` is the least node of its component.
+
+    Each round points every node's larger neighbours at the least neighbour, then its smaller ones; rounds are logarithmic.
+    Minima are pre-aggregated and a hub's edges are joined as a skewed join, so no node's neighbours are gathered in one place.
+    Loops and repeated edges change nothing; an edge with a null end is ignored; no edges give an empty table.
     """
-    both = edges.select(F.col("i").alias("u"), F.col("j").alias("v")).unionByName(edges.select(F.col("j").alias("u"), F.col("i").alias("v"))).distinct()
-    labels = written(nodes.select(F.col(node).alias("node"), F.col(node).alias("comp")).distinct(), "labels")
-    both = written(both, "edges")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), F.col("comp").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
-        hooked = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("comp", F.coalesce("c", "comp")).alias("comp"))
-        jumped = hooked.join(hooked.select(F.col("node").alias("n2"), F.col("comp").alias("c2")), F.col("comp") == F.col("n2")).select("node", F.col("c2").alias("comp"))
-        new = written(jumped, "labels")
-        changed = new.join(labels.select("node", F.col("comp").alias("old")), "node").filter("comp <> old").limit(1).count()
-        dropped(labels)
-        labels = new
-        if not changed:
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+    e = written(e, "components")
+    seen = _sum(e)
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        near = large.join(least, F.col("u") == F.col("w"))
+        small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
+        new = written(small, "components")
+        dropped(e)
+        e, now = new, _sum(new)
+        if now == seen:
             break
-    return labels
+        seen = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def _sum(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())

@@ -126,6 +126,14 @@ def test_components(spark):
     assert got == {1: 1, 2: 2, 3: 2, 7: 2, 8: 2, 4: 4, 5: 4, 6: 6}
 
 
+def test_components_of_a_long_chain(spark):
+    # 1 - n - (n - 1) - ... - 3 - 2, and a node alone
+    n = 150
+    edges = spark.createDataFrame([(1, n), *((k, k - 1) for k in range(n, 2, -1))], "i long, j long")
+    got = {r.node: r.comp for r in graph.connected_components(spark.range(1, n + 2).withColumnRenamed("id", "node"), edges).collect()}
+    assert got == {k: 1 for k in range(1, n + 1)} | {n + 1: n + 1}
+
+
 def test_fisher():
     assert stats.log10_right_tail(0, 0, 100) == 0
     exact = lambda a, b, t: sum(math.comb(t, x) * math.comb(t, a + b - x) for x in range(a, min(t, a + b) + 1)) / math.comb(2 * t, a + b)

@@ -159,6 +159,21 @@ def test_touzet():
         assert t == pytest.approx((min(below) if below else max(brute)) * 0.1)
 
 
+def test_touzet_on_whole_matrices(spark):
+    # ten columns, so p is that of 10 and 11 columns; all words by brute force
+    rng = np.random.default_rng(9)
+    freq = rng.dirichlet([0.4] * 4, 10) * 0.96 + 0.01
+    w = np.log2(freq / 0.25)
+    rows = [(1, o + 1, b, float(w[o, i])) for o in range(10) for i, b in enumerate("ACGT")]
+    got = stats.touzet(spark.createDataFrame(rows, "motif_id long, offset int, base string, weight double")).first().alpha
+    bins, total = np.floor(w / DEFAULT.granularity).astype(int), np.zeros(1, int)
+    for column in bins:
+        total = (total[:, None] + column).ravel()
+    scores, n = np.unique(total, return_counts=True)
+    tail = np.cumsum(n[::-1])[::-1] / 4**10
+    assert DEFAULT.p_mid != DEFAULT.p_small and got == pytest.approx(scores[tail < DEFAULT.p_mid].min() * DEFAULT.granularity)
+
+
 def test_scan_strands(spark):
     rng = random.Random(1)
     own = ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(20)]

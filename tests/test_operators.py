@@ -247,6 +247,24 @@ def test_wide_motifs_have_a_threshold(spark):
     assert 130 <= rows[0].counts <= 170
 
 
+def test_greedy_align_trims(spark):
+    import inspect
+
+    rng = random.Random(14)
+    core = "TGACGTCATCAGGC"
+    own, rows = [], []
+    for i in range(120):
+        s = [rng.choice("ACGT") for _ in range(60)]
+        s[20:34] = core
+        own.append((i, "".join(s)))
+        # three uninformative columns on each side
+        rows.append((1, i, 18, False, 20))
+    q = spark.createDataFrame(own, "seq_id long, seq string")
+    got = discover.greedy_align(hits(spark, rows), q, 60, rounds=0, last=1)
+    assert {(r.pos, r.len) for r in got.filter("not comp").collect()} >= {(21, 14)} and {r.len for r in got.collect()} == {14}
+    assert inspect.signature(discover.greedy_align).parameters["rounds"].default == 13
+
+
 def test_strings(spark):
     f = spark.createDataFrame([(1, 1, "A", 0.9), (1, 1, "C", 0.1), (1, 2, "A", 0.4), (1, 2, "C", 0.4)], "motif_id long, offset int, base string, freq double")
     assert strings.consensus(f).first().consensus == "A."

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import dropped, released, shared_dir, small_batches, written
 
-__all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "documents", "dropped", "partitions", "released", "shared_dir", "small_batches", "written"]
+__all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "deleted", "documents", "dropped", "partitions", "released", "scratch", "shared_dir", "small_batches", "written"]
 
 #: A-Z to a-z and nothing else; ``lower`` would also change other scripts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,3 +31,13 @@ def ascii_lower(c):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """The name of a new folder in the shared one, for files that tasks write themselves."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -216,7 +216,9 @@ def test_repeats(run, rows):
     assert any(r.n_removed and r.n_removed < r.n_bytes for r in run("op7_suffix_dedup"))
 
 
-def test_repeats_of_a_frequent_minimiser_need_no_shard(spark, rows, monkeypatch):
+@pytest.mark.parametrize("bounds", [{"most": 1}, {"most": 400, "memory": 4000}, {"most_bits": 1}, {"most": 300, "memory": 4000, "most_bits": 64}])
+def test_repeats_of_frequent_minimisers(spark, rows, bounds, monkeypatch):
+    """Hot minimisers are named anew, shards spill and filters are open: the same rows."""
     from quarry.llm import suffix_dedup
 
     rng = random.Random(8)
@@ -226,20 +228,12 @@ def test_repeats_of_a_frequent_minimiser_need_no_shard(spark, rows, monkeypatch)
     own += [(i, t) for i, t, *_ in rows if i is not None and i not in (3, 4)]
     docs = spark.createDataFrame(own, "doc_id long, text string")
     want = [(i, *x) for (i, _), x in zip(sorted(own), brute.repeats(sorted(own)), strict=True)]
-
-    def unused(length, most):
-        # every minimiser with two contexts exceeds ``most``, so no context may reach the sort in memory
-        def run(batches):
-            for b in batches:
-                counts = collections.Counter(b.column(0).to_pylist())
-                assert max(counts.values(), default=1) == 1
-            yield from ()
-
-        return run
-
-    monkeypatch.setattr(suffix_dedup, "_shards", unused)
-    got = suffix_dedup.removed(docs, most=1).collect()
+    rounds = []
+    inner = suffix_dedup._renamed
+    monkeypatch.setattr(suffix_dedup, "_renamed", lambda c, length, hot: rounds.append(len(hot[-1])) or inner(c, length, hot))
+    got = suffix_dedup.removed(docs, **bounds).collect()
     same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], want)
+    assert (len(rounds) == suffix_dedup.ROUNDS) if bounds.get("most") == 1 else True
 
 
 def test_shards(run, rows):

@@ -72,28 +72,41 @@ FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
 
 
 def _op9() -> str:
-    """Each template is entered at its rarest word; a place's share is the templates' words that stand right, by IDF."""
-    from .licenses import Index
+    """Rare words vote for starts, starts within the slack are one place, and there all words and mandatory phrases are checked."""
+    from .licenses import SHARE, SLACK, Index
 
     index = Index()
-    cells, entries = [], []
-    for t, (words, label, base) in enumerate(index.phrases):
-        total = sum(index.idf[w] for w in words)
-        cells += [f"({t}, {k}, '{w}', {index.idf[w]!r}::DOUBLE)" for k, w in enumerate(words)]
-        entries.append(f"({t}, {index.entry[t]}, '{words[index.entry[t]]}', {len(words)}, {total!r}::DOUBLE, '{label}', {str(base).lower()})")
+    cells, rare, heads, keys = [], [], [], []
+    for t, x in enumerate(index.templates):
+        cells += [f"({t}, {k}, '{w}', {index.idf[w]!r}::DOUBLE)" for k, w in enumerate(x.words)]
+        rare += [f"({t}, {k}, '{w}')" for w, k in x.rare]
+        heads.append(f"({t}, {x.need}, {x.slack}, {len(x.words)}, {x.total!r}::DOUBLE, '{x.label}', {str(x.base).lower()}, {str(x.phrase).lower()})")
+        keys += [f"({t}, ' {' '.join(k)} ')" for k in x.keys]
     return rf"""
-WITH cells(t, k, word, idf) AS (VALUES {", ".join(cells)}), entries(t, j, word, width, total, label, base) AS (VALUES {", ".join(entries)}),
+WITH cells(t, k, word, idf) AS (VALUES {", ".join(cells)}), rare(t, k, word) AS (VALUES {", ".join(rare)}),
+heads(t, need, slack, width, total, label, base, phrase) AS (VALUES {", ".join(heads)}), keys(t, key) AS (VALUES {", ".join(keys)}),
 d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
 w AS (SELECT doc_id, unnest(range(len(words))) AS pos, unnest(words) AS word FROM d),
-votes AS (SELECT w.doc_id, e.t, w.pos - e.j AS v, width, total, label, base FROM w JOIN entries e USING (word)),
-found AS (
-  SELECT votes.doc_id, votes.t, v, width, total, label, base, count(w.word) AS n, coalesce(sum(CASE WHEN w.word IS NOT NULL THEN idf END), 0) AS got
-  FROM votes JOIN cells ON cells.t = votes.t LEFT JOIN w ON w.doc_id = votes.doc_id AND w.pos = v + k AND w.word = cells.word GROUP BY ALL
+votes AS (SELECT DISTINCT w.doc_id, r.t, w.pos - r.k AS v, word FROM w JOIN rare r USING (word)),
+near AS (SELECT *, CASE WHEN v - lag(v) OVER o <= slack THEN 0 ELSE 1 END AS fresh FROM votes JOIN heads USING (t) WINDOW o AS (PARTITION BY doc_id, t ORDER BY v)),
+places AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY v) AS place FROM near),
+met AS (SELECT doc_id, t, place, min(v) AS first, max(v) AS last FROM places GROUP BY doc_id, t, place HAVING count(DISTINCT word) >= any_value(need)),
+starts AS (SELECT DISTINCT doc_id, t, place, v FROM places SEMI JOIN met USING (doc_id, t, place)),
+stands AS (
+  SELECT doc_id, t, place, sum(idf) AS got FROM (
+    SELECT DISTINCT s.doc_id, s.t, s.place, c.k, c.idf FROM starts s JOIN cells c ON c.t = s.t JOIN w ON w.doc_id = s.doc_id AND w.pos = s.v + c.k AND w.word = c.word
+  ) GROUP BY doc_id, t, place
+), shares AS (SELECT doc_id, t, place, first, last, got / total AS share, label, base, phrase, width FROM met JOIN stands USING (doc_id, t, place) JOIN heads USING (t)),
+lacks AS (
+  SELECT DISTINCT s.doc_id, s.t, s.place FROM shares s JOIN keys ON keys.t = s.t JOIN d ON d.doc_id = s.doc_id
+  WHERE NOT contains(' ' || array_to_string(words[greatest(first - {SLACK}, 0) + 1 : last + width + {SLACK}], ' ') || ' ', key)
+), judged AS (
+  SELECT s.*, (phrase AND share = 1) OR (NOT phrase AND share >= {SHARE} AND l.t IS NULL) AS found FROM shares s LEFT JOIN lacks l ON l.doc_id = s.doc_id AND l.t = s.t AND l.place = s.place
 ), p AS (
-  SELECT doc_id, count(*) FILTER (base AND n = width) AS n_base, min(v) FILTER (base AND n = width) AS first_word, max(v) FILTER (base AND n = width) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND n = width) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n = width) AS labels,
-    max(CASE WHEN n = width THEN 1.0 ELSE 0.5 * got / total END) AS score
-  FROM found GROUP BY doc_id
+  SELECT doc_id, count(*) FILTER (base AND found) AS n_base, min(first) FILTER (base AND found) AS first_word, max(first) FILTER (base AND found) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND found) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels,
+    max(CASE WHEN found THEN share ELSE 0.5 * share END) AS score
+  FROM judged GROUP BY doc_id
 )
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6)::DOUBLE AS score
 FROM d LEFT JOIN p USING (doc_id)

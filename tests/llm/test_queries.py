@@ -282,6 +282,62 @@ def test_licenses(run, rows):
     assert all(set(x.base_labels.split(",")) <= set(x.labels.split(",")) and 0 <= x.score <= 1 for x in got)
 
 
+def edited_words(rng, words, each):
+    """Words with a share of ``each`` left out, changed, and put in."""
+    out = []
+    for w in words:
+        x = rng.random()
+        if x >= each:
+            out.append("changed" if x < 2 * each else w)
+        if rng.random() < each:
+            out.append("extra")
+    return out
+
+
+def test_edited_licence_texts_are_found(spark):
+    rng = random.Random(3)
+    docs, want = [], []
+    for label, text, keys in licenses.TEXTS:
+        for _ in range(8):
+            own = edited_words(rng, text.split(), 0.01)
+            docs.append((len(docs), "words before " + " ".join(own) + " words behind"))
+            seen = " " + " ".join(brute.tokens(docs[-1][1])) + " "
+            want.append((label, all(f" {k} " in seen for k in keys)))
+    # texts with the rarest words in another order, and a text without its mandatory phrase
+    shuffled = [w for _, text, _ in licenses.TEXTS for w in text.split()]
+    rng.shuffle(shuffled)
+    docs.append((len(docs), " ".join(shuffled)))
+    docs.append((len(docs), licenses.TEXTS[0][1].replace("without restriction", "without any restriction")))
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    whole = [label in got[i].labels.split(",") for i, (label, kept) in enumerate(want) if kept]
+    assert len(whole) > 80 and sum(whole) >= 0.9 * len(whole)
+    assert "mit" not in got[len(docs) - 2].labels and "mit" not in got[len(docs) - 1].labels and 0.3 < got[len(docs) - 1].score <= 0.5
+
+
+def test_rare_postings_lose_no_phrase():
+    """Every phrase of the index is found wherever it stands, beside many rarer words of other templates."""
+    index = licenses.Index()
+    rng = random.Random(4)
+    phrases = [t for t in index.templates if t.phrase]
+    text, places = [], collections.Counter()
+    for _ in range(300):
+        t = rng.choice(phrases)
+        text += ["x", *t.words]
+        text += rng.sample(index.words, 3)
+    for t in phrases:
+        n = len(t.words)
+        places[t.label, tuple(t.words)] = sum(text[i : i + n] == t.words for i in range(len(text) - n + 1))
+    ids = {w: i for i, w in enumerate(index.words)}
+    import numpy as np
+
+    word = np.array([ids.get(w, -1) for w in text])
+    got = collections.Counter()
+    for _, t, *_, found in zip(*index.find(word, np.array([0, len(word)])), strict=True):
+        if found and index.templates[t].phrase:
+            got[index.templates[t].label, tuple(index.templates[t].words)] += 1
+    assert got == places
+
+
 def test_quality(run):
     for r in run("op10_quality_rank"):
         assert r.held_out == (brute.held_out(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)

@@ -1,4 +1,4 @@
-"""Filters of hashes that spare rows a shuffle: bitmaps sized by the number of hashes."""
+"""Filters of hashes that spare rows a shuffle: bitmaps sized by the number of hashes, two bits for each."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 #: Bits for each hash, and of a filter at least and at most.
-EACH, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 28
+EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+#: Where in a hash the second place begins.
+SECOND = 30
 #: Bits of a page, as which a filter comes to the driver.
 PAGE = 1 << 15
 
@@ -24,7 +26,7 @@ def bits_for(count: int, most: int = MOST_BITS) -> int | None:
 
 
 def bitmap(hashes: DataFrame, h: str, bits: int) -> np.ndarray:
-    """A bitmap of ``bits`` bits, set at the hashes; the driver gets its pages, bits / 8 bytes at most."""
+    """A bitmap of ``bits`` bits, set at two places of each hash; the driver gets its pages, bits / 8 bytes at most."""
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
@@ -41,7 +43,8 @@ def bitmap(hashes: DataFrame, h: str, bits: int) -> np.ndarray:
         if own:
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["page", "x"])
 
-    at = hashes.select(F.pmod(F.col(h), F.lit(bits)).alias("at")).select((F.col("at") / PAGE).cast("long").alias("page"), "at")
+    places = F.array(F.pmod(F.col(h), F.lit(bits)), F.pmod(F.shiftright(F.col(h), SECOND), F.lit(bits)))
+    at = hashes.select(F.explode(places).alias("at")).select((F.col("at") / PAGE).cast("long").alias("page"), "at")
     got = at.repartition(min(partitions(hashes.sparkSession), max(1, bits // PAGE)), "page").mapInArrow(pages, "page bigint, x binary").toArrow()
     out = np.zeros(max(bits, PAGE) // 32, np.uint32)
     for page, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
@@ -66,5 +69,8 @@ class Filter:
     def passes(self, h: np.ndarray) -> np.ndarray:
         if self.open:
             return np.ones(len(h), bool)
-        at = (h.view(np.uint64) & np.uint64(self.bits - 1)).astype(np.int64)
-        return (self.shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+        found = np.ones(len(h), bool)
+        for x in (h, h >> SECOND):
+            at = x & (self.bits - 1)
+            found &= (self.shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+        return found

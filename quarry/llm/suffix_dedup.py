@@ -240,6 +240,10 @@ def _collapsed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = found.select("h", F.xxhash64("c").alias("ch"), F.struct("k", "tie", "a").alias("at"), "k", "tie", F.col("a").alias("from"), (F.col("a") + F.octet_length("c")).alias("to"))
     # one shuffle of narrow rows; a context with very many occurrences is split as a skewed join
     whole = every.join(first, ["h", "ch"]).filter(~F.col("at").eqNullSafe(F.col("first"))).select("k", "tie", "from", "to")
+    whole = written(whole, "suffix-whole")
+    # the contexts' bytes are not needed twice on disk
+    dropped(found)
+    released(found.sparkSession)
     return distinct, whole
 
 
@@ -305,8 +309,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     dropped(shared)
     # contexts that occurred before: all strings of each but the first are repeats
     distinct, whole = _collapsed(found)
-    released(spark)
-    used, hot, shards = [found, distinct], [], []
+    used, hot, shards = [distinct, whole], [], []
     for _ in range(ROUNDS + 1):
         # a minimiser with one context has nothing to compare: by a filter its bytes are spared the way to the shards
         sizes = written(distinct.groupBy("h").agg(F.count("*").alias("m"), F.sum(F.octet_length("c")).alias("n_bytes")).filter("m > 1"), "suffix-sizes")
@@ -329,7 +332,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
         again = written(_renamed(own.join(side, "h", "left_semi"), length, hot), "suffix-renamed")
         distinct, more = _collapsed(again)
         whole = whole.unionByName(more)
-        used += [again, distinct]
+        used += [distinct, more]
     folder = scratch(spark, "suffix-sort")
     inside = None
     for own, several in shards:

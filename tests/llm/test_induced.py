@@ -173,7 +173,7 @@ def test_queue_spills_in_order(tmp_path):
 
 
 def test_filters_are_sized_by_count(spark):
-    assert filters.bits_for(0) == filters.LEAST_BITS and filters.bits_for(10**6) == 1 << 23 and filters.bits_for(10**6, 1 << 20) is None
+    assert filters.bits_for(0) == filters.LEAST_BITS and filters.bits_for(10**6) == 1 << 24 and filters.bits_for(10**6, 1 << 20) is None
     h = np.random.default_rng(1).integers(0, 2**63, 5000)
     df = spark.createDataFrame([(int(x),) for x in h], "h long")
     f = filters.Filter.of(df, "h", 1 << 20)

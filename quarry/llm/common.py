@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import dropped, released, shared_dir, small_batches, written
 
-__all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "deleted", "documents", "dropped", "partitions", "released", "scratch", "shared_dir", "small_batches", "written"]
+__all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "deleted", "documents", "dropped", "partitions", "released", "scratch", "shared_dir", "small_batches", "unused", "written"]
 
 #: A-Z to a-z and nothing else; ``lower`` would also change other scripts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,3 +41,11 @@ def scratch(spark: SparkSession, label: str) -> str:
 def deleted(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it while ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -2,7 +2,8 @@
 
 A text is normalised (Unicode NFKC, full case folding, NFKC again, runs of white space to one blank, ends trimmed) and hashed to
 128 bits of xxhash, so texts that differ in form only have one fingerprint.  Documents are grouped by it, and inside each bucket
-of equal digests canonical bytes are compared: should two canonical texts ever meet in a digest, they stay two groups.
+of equal digests canonical bytes are compared: should two canonical texts ever meet in a digest, they stay two groups, and a document
+finds its own by digest and text.
 
 ``likeness`` of exact digests is 1 where canonical texts are equal, else 0.
 
@@ -10,7 +11,8 @@ Grouping shuffles a digest for each document, and the canonical bytes only of do
 collapse before the shuffle, so a digest with millions of copies is one row for each map task.
 
 ``with_next`` pairs each document with its successor in the order of a key without sorting the table in one task: keys are cut
-into ranges at their quantiles, each range's least row is also sent to the range before it, and ranges are streamed in order.
+into ranges at their quantiles, found by bisection, each range's least row is also sent to the range before it, and ranges are
+streamed in order.  Rows of one key stay in one range; keys are meant to name documents.
 
 Defined results: a null text is empty; null keys come first; documents with equal keys are ordered by their texts; the only
 document of a table is its own successor; repeated rows are rows of their own; extra columns are ignored.
@@ -19,21 +21,20 @@ document of a table is its own successor; repeated rows are rows of their own; e
 from __future__ import annotations
 
 import hashlib
+import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, written
-from .sharding import _bisect
+from .common import documents, dropped, partitions, written
+from .filters import Filter
 
-#: Bits of the filter of digests that occur again; see ``repeated_digests``.
-FILTER_BITS = 1 << 25
-SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canon_sha256 string"
 
 
 def canonical(text: str) -> str:
@@ -52,6 +53,20 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
+def range_of(key: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` are at or below the key, by bisection; null for a null key."""
+    array = F.expr(f"from_json('{json.dumps(cuts)}', 'array<double>')")
+
+    def half(state: Column, _: Column) -> Column:
+        # the answer lies in lo..hi
+        mid = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        below = F.get(array, mid) <= key
+        return F.when(state["lo"] >= state["hi"], state).when(below, F.struct((mid + 1).alias("lo"), state["hi"].alias("hi"))).otherwise(F.struct(state["lo"].alias("lo"), mid.alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.when(key.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, half)["lo"])
+
+
 def with_next(docs: DataFrame, schema: str, of_pair, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``of_pair(key, text, next_text)`` for each document and its successor in key order, wrapping around."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -59,7 +74,7 @@ def with_next(docs: DataFrame, schema: str, of_pair, key: str = "doc_id", text:
     ids = rows.select("k")
     n = partitions(spark)
     cuts = sorted(set(ids.approxQuantile("k", [i / n for i in range(1, n)], 1 / (8 * n))))
-    bucket = F.coalesce(_bisect(F.col("k").cast("double"), cuts), F.lit(0))
+    bucket = F.coalesce(range_of(F.col("k").cast("double"), cuts), F.lit(0))
     # a row for each range: the least key, and the range that comes before it (the last, for the first)
     least = ids.groupBy(bucket.alias("b")).agg(F.min(F.struct(F.col("k").isNotNull().alias("some"), F.col("k").alias("k"))).alias("least"))
     every = Window.orderBy("b")
@@ -94,48 +109,47 @@ def with_next(docs: DataFrame, schema: str, of_pair, key: str = "doc_id", text:
     return dealt.mapInArrow(run, schema)
 
 
-def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprinted(docs: DataFrame, key: str = "doc_id", text: str = "text", digest_of: Callable[[str], str] = digest) -> DataFrame:
     """(key, digest) for each document; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([digest(canonical(t.as_py() or "")) for t in b.column(1)], pa.string())], ["doc_id", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([digest_of(canonical(t.as_py() or "")) for t in b.column(1)], pa.string())], ["doc_id", "digest"])
 
     return docs.select(f"`{key}`", f"`{text}`").mapInArrow(run, "doc_id bigint, digest string")
 
 
-def repeated_digests(digests: DataFrame) -> bytes:
-    """A bitmap of ``FILTER_BITS`` bits, set at the digests that occur more than once: 4 MB at any size of the table.
+def _number(digests: list[str]) -> np.ndarray:
+    return np.array([int(d[:16], 16) >> 1 for d in digests], np.int64)
+
+
+def repeated_digests(digests: DataFrame) -> Filter:
+    """A filter of the digests that occur more than once.
 
-    It only spares canonical bytes the shuffle: a bit that is set by chance costs a row and changes nothing.
+    It only spares canonical bytes the shuffle: what passes by chance costs a row and changes nothing, and so does an open filter.
     """
     again = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    bit = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % FILTER_BITS
-    words = again.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(conv(substring(digest, 1, 8), 16, 10) % 32 as int))")).alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
-    got = words.toArrow()
-    bitmap[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    return bitmap.tobytes()
+    # the first 63 bits, from two halves, as a number above 2**63 is none
+    number = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * (1 << 31) + F.floor(F.conv(F.substring("digest", 9, 8), 16, 10).cast("long") / 2).cast("long")
+    again = written(again.select(number.alias("h")), "fingerprint-again")
+    out = Filter.of(again, "h")
+    dropped(again)
+    return out
 
 
-def groups(docs: DataFrame, digests: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of more than one document with equal canonical texts: (digest, canon_sha256, rank, size, first_doc_id).
+def groups(docs: DataFrame, digests: DataFrame | None = None, key: str = "doc_id", text: str = "text", digest_of: Callable[[str], str] = digest) -> DataFrame:
+    """Groups of documents with equal canonical texts, where a digest occurs again: (digest, canon_sha256, rank, size, first_doc_id).
 
     ``rank`` counts the different canonical texts of a digest from 0; above 0 means that digests collided.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(repeated_digests(fingerprinted(docs, key, text) if digests is None else digests))
+    found = repeated_digests(fingerprinted(docs, key, text, digest_of) if digests is None else digests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint32)
         for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                canon = canonical(t.as_py() or "")
-                d = digest(canon)
-                at = int(d[:8], 16) % FILTER_BITS
-                if bits[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
-                    rows.append((k, d, canon.encode("utf-8", "surrogatepass")))
+            canon = [canonical(t.as_py() or "") for t in b.column(1)]
+            digests = [digest_of(c) for c in canon]
+            keys = b.column(0).to_pylist()
+            rows = [(keys[i], digests[i], canon[i].encode("utf-8", "surrogatepass")) for i in np.flatnonzero(found.passes(_number(digests))).tolist()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.binary()], strict=True)], ["doc_id", "digest", "canon"])
 
@@ -148,15 +162,24 @@ def groups(docs: DataFrame, digests: DataFrame | None = None, key: str = "doc_id
     return ranked.filter((F.col("size") > 1) | (F.col("rank") > 0))
 
 
-def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest_of: Callable[[str], str] = digest) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, with the byte-compared group of each document."""
-    docs = documents(spark, sf_dir)
 
     def of_pair(k, t, after):
         e = edited(t, after)
         a, b, c = canonical(t), canonical(e), canonical(after)
-        return k, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), digest(a), digest(b), float(a == b), float(a == c)
+        sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (e, a)]
+        return k, len(t), sha[0], digest_of(a), digest_of(b), float(a == b), float(a == c), sha[1]
+
+    rows = written(with_next(docs, SCHEMA, of_pair, key, text), "fingerprints")
+    found = groups(docs, rows.select(F.col("fingerprint").alias("digest")), key, text, digest_of).select(
+        F.col("digest").alias("_q_digest"), F.col("canon_sha256").alias("_q_sha"), F.col("size").alias("group_size"), F.col("first_doc_id").alias("group_doc_id")
+    )
+    # a digest alone could name the group of another text
+    own = (F.col("fingerprint") == F.col("_q_digest")) & (F.col("canon_sha256") == F.col("_q_sha"))
+    columns = [c for c in rows.columns if c != "canon_sha256"]
+    return rows.join(found, own, "left").select(*columns, F.coalesce("group_doc_id", "doc_id").alias("group_doc_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
 
-    rows = written(with_next(docs, SCHEMA, of_pair), "fingerprints")
-    found = groups(docs, rows.select(F.col("fingerprint").alias("digest"))).filter("rank = 0").select(F.col("digest").alias("_q_digest"), F.col("size").alias("group_size"), F.col("first_doc_id").alias("group_doc_id"))
-    return rows.join(found, F.col("fingerprint") == F.col("_q_digest"), "left").select(*rows.columns, F.coalesce("group_doc_id", "doc_id").alias("group_doc_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))

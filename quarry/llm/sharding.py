@@ -4,12 +4,12 @@ Rows are numbered 0..N-1 in the order of a key, the number goes through a keyed
 shard ``p % shards`` and slot ``p div shards``.  So shard sizes differ by one row at most, slots have no gaps, and anyone who
 knows N, the seed and a row number can compute where the row is without looking at the data.
 
-Nothing is gathered: the numbering range-partitions the key at quantiles, counts the rows of each range and numbers inside
-the ranges; only the counts of the ranges meet.
+Nothing is gathered: the numbering range-partitions the rows by key and ties, which splits a key that holds many of them, sorts each
+partition and writes them with their places; only the counts of the partitions meet, one row each.
 
 Defined results: a null key sorts first; rows with equal keys are ordered by the text's CRC and then its length (identical
-rows are interchangeable); a null text is empty; an empty table gives an empty table; every input column may be carried along,
-and helper columns are named so that they can't clash.
+rows are interchangeable); a null text is empty; an empty table gives an empty table; every input column is carried along.  Helper
+columns avoid the input's names, and a result column whose name the input has gets underscores before its own.
 """
 
 from __future__ import annotations
@@ -19,39 +19,28 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, partitions, unused, written
 
 #: Fixed constants of the round function.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263, 374761393, 1181783497)
 PRIME = 2305843009213693951
-#: Images out of range are walked on so many times at most; see ``permuted``.
-WALKS = 24
 
 
-def numbered(df: DataFrame, key: str = "doc_id", ties: tuple[str, ...] = (), out: str = "row_number", per_range: int = 200_000, total: int | None = None) -> DataFrame:
-    """Adds the 0-based position of each row in the order of ``key``, then ``ties``, without a single-task sort."""
-    total = df.count() if total is None else total
-    ranges = max(1, math.ceil(total / per_range), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if total > 20_000 else 1)
-    cuts = sorted({x for x in df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))}) if ranges > 1 else []
-    #: The number of cuts at or below the key, by bisection over the sorted cuts.
-    bucket = _bisect(F.col(key).cast("double"), cuts)
-    df = df.withColumn("_q_range", F.coalesce(bucket, F.lit(0)))
-    sizes = df.groupBy("_q_range").agg(F.count("*").alias("_q_n"))
-    starts = sizes.select(F.col("_q_range").alias("_q_of"), F.coalesce(F.sum("_q_n").over(Window.orderBy("_q_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q_start"))
-    inside = Window.partitionBy("_q_range").orderBy(F.col(key).asc_nulls_first(), *[F.col(t) for t in ties])
-    df = df.withColumn("_q_in", F.row_number().over(inside))
-    # one row a range
-    return df.join(F.broadcast(starts), F.col("_q_range") == F.col("_q_of")).withColumn(out, F.col("_q_start") + F.col("_q_in") - 1).drop("_q_range", "_q_of", "_q_start", "_q_in")
+def numbered(df: DataFrame, key: str = "doc_id", ties: tuple[str, ...] = (), out: str = "row_number") -> DataFrame:
+    """Adds the 0-based position of each row in the order of ``key`` (nulls first), then ``ties``, without a single-task sort.
 
-
-def _bisect(c: Column, cuts: list[float]) -> Column:
-    def half(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c >= F.lit(cuts[mid]), half(mid + 1, hi)).otherwise(half(lo, mid))
-
-    return half(0, len(cuts))
+    The sorted partitions are written once: their bounds come from a sample, so that places and counts must be of one run.
+    """
+    at, part, start = (unused(df, n) for n in ("_q_at", "_q_part", "_q_start"))
+    order = [F.col(f"`{key}`").asc_nulls_first(), *[F.col(f"`{t}`").asc_nulls_first() for t in ties]]
+    # an id has the partition above its 33rd bit and the place in the sorted partition below it
+    rows = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    rows = written(rows, "numbered")
+    counts = rows.groupBy(F.shiftright(F.col(at), 33).alias(part)).agg(F.count("*").alias(start))
+    # one row a partition
+    starts = counts.select(part, F.coalesce(F.sum(start).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    placed = rows.withColumn(part, F.shiftright(F.col(at), 33)).join(F.broadcast(starts), part)
+    return placed.withColumn(out, F.col(start) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).select(*[f"`{c}`" for c in df.columns], out)
 
 
 def feistel(x: Column, left: int, right: int, seed: int, rounds: int = 6) -> Column:
@@ -75,25 +64,36 @@ def _round(i: int, left: int, right: int, mixed):
     return lambda s: F.struct(s["lo"].alias("lo"), ((s["hi"] + mixed(s["lo"], i)) % F.lit(right)).alias("hi"))
 
 
-def permuted(x: Column, n: int, seed: int) -> Column:
-    """The image of ``x`` under a keyed bijection of [0, n).
+def permuted(df: DataFrame, number: str, n: int, seed: int, out: str) -> DataFrame:
+    """Adds the image of the column ``number`` under a keyed bijection of [0, n).
 
-    The Feistel domain left * right is the least of its shape that holds n, so at most ``left - 1`` numbers lie outside and an
-    image lands there with probability under 1/sqrt(n); it is walked on until it is inside.  A walk is as long as the run of
-    outside numbers at most, so ``WALKS`` steps always suffice up to n = 500; beyond, the chance of a longer one is under
-    (1/22)**WALKS a row, and such a row raises an error rather than be misplaced.
+    The Feistel domain left * right is the least of its shape that holds n, so at most ``left - 1`` numbers, under the square root of n,
+    lie outside.  These are walked until all are inside, each a row of a table; a row whose first image is outside looks its end
+    up there.
     """
     left = max(1, math.isqrt(max(0, n - 1)) + 1)
     right = max(1, -(-n // left))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), feistel(x, left, right, seed), lambda p, _: F.when(p < F.lit(n), p).otherwise(feistel(p, left, right, seed)))
-    return F.when(walked < F.lit(n), walked).otherwise(F.raise_error(F.lit("the cycle walk did not end")).cast("long"))
-
-
-def sharded(df: DataFrame, shards: int, seed: int = 17, key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``shard`` int and ``slot`` long to each row of ``df``: law `rows`, counts at most one apart."""
-    n = df.count()
-    rows = numbered(df, key, ties, out="_q_row", total=n).withColumn("_q_image", permuted(F.col("_q_row"), n, seed))
-    return rows.withColumns({"shard": (F.col("_q_image") % shards).cast("int"), "slot": F.expr(f"_q_image div {int(shards)}").cast("long")}).drop("_q_row", "_q_image")
+    outside, end = unused(df, "_q_outside"), unused(df, "_q_end")
+    spark = df.sparkSession
+    walks = spark.range(n, left * right).select(F.col("id").alias(outside), feistel(F.col("id"), left, right, seed).alias(end))
+    # a walk that comes back to its start never was inside, so nothing inside leads to it
+    while not (walks := walks.filter(F.col(end) != F.col(outside))).filter(F.col(end) >= n).isEmpty():
+        walks = written(walks.select(outside, F.when(F.col(end) < n, F.col(end)).otherwise(feistel(F.col(end), left, right, seed)).alias(end)), "walks")
+    df = df.withColumn(out, feistel(F.col(number), left, right, seed))
+    # under sqrt(n) rows
+    df = df.join(F.broadcast(walks), F.col(out) == F.col(outside), "left")
+    return df.withColumn(out, F.coalesce(F.col(end), F.col(out))).drop(outside, end)
+
+
+def sharded(df: DataFrame, shards: int, seed: int = 17, key: str = "doc_id", ties: tuple[str, ...] = (), shard: str = "shard", slot: str = "slot") -> DataFrame:
+    """Adds ``shard`` int and ``slot`` long to each row of ``df``: law `rows`, counts at most one apart.
+
+    If ``df`` has a column of such a name, the new one gets underscores before its own.
+    """
+    row, image, shard, slot = (unused(df, n) for n in ("_q_row", "_q_image", shard, slot))
+    rows = numbered(df, key, ties, out=row)
+    rows = permuted(rows, row, rows.count(), seed, image)
+    return rows.withColumns({shard: (F.col(image) % shards).cast("int"), slot: F.expr(f"{image} div {int(shards)}").cast("long")}).drop(row, image)
 
 
 def op8(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:

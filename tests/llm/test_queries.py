@@ -127,6 +127,43 @@ def test_fingerprints(run, rows):
     assert len({r.fingerprint for r in got}) == len(set(canon))
 
 
+def test_colliding_digests_stay_apart(spark, tables, rows):
+    """With a digest of one hexadecimal figure, documents are still grouped by their bytes."""
+    got = fingerprint.fingerprints(documents(spark, tables), digest_of=lambda c: fingerprint.digest(c)[0] * 32).collect()
+    canon = collections.Counter(fingerprint.canonical(t or "") for _, t, *_ in rows)
+    firsts = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        firsts[fingerprint.canonical(t or "")].append(i)
+    assert len({r.fingerprint for r in got}) < len(canon)
+    of = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        of[i].append(fingerprint.canonical(t or ""))
+    for r in got:
+        # rows of one key may hold different texts
+        assert any(r.group_size == canon[c] and (r.group_doc_id == min((i for i in firsts[c] if i is not None), default=r.doc_id)) for c in of[r.doc_id])
+
+
+def test_canonical_texts():
+    """The normalisation by its definition, code point by code point: NFKC, case folding, NFKC, blanks."""
+    import unicodedata
+
+    for t in ["A  b\tC\u00a0d", "Stra\u00dfe \ufb01ne \u212b \u1e9e", "\u0130\u0131 \u03a3\u03c2", "e\u0301 \u00e9", "\u2460 \uff21", ""]:
+        want = unicodedata.normalize("NFKC", "".join(c.casefold() for c in unicodedata.normalize("NFKC", t)))
+        want = "".join(" " if c.isspace() else c for c in want)
+        while "  " in want:
+            want = want.replace("  ", " ")
+        assert fingerprint.canonical(t) == want.strip()
+
+
+def test_ranges_by_bisection(spark):
+    cuts = [1.0, 4.0, 4.5, 9.0, 12.0]
+    keys = [None, -3.0, 1.0, 2.0, 4.0, 4.2, 4.5, 8.0, 9.0, 11.0, 12.0, 99.0]
+    df = spark.createDataFrame([(k,) for k in keys], "k double")
+    for n in range(len(cuts) + 1):
+        got = {r.k: r.b for r in df.select("k", fingerprint.range_of(fingerprint.F.col("k"), cuts[:n]).alias("b")).collect()}
+        assert got == {k: None if k is None else sum(c <= k for c in cuts[:n]) for k in keys}
+
+
 def test_one_document_is_its_own_successor(spark, tmp_path):
     spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     (r,) = fingerprint.op4(spark, str(tmp_path)).collect()
@@ -249,19 +286,48 @@ def test_shards(run, rows):
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 1_000])
 def test_permutation(spark, n):
-    got = [r.p for r in spark.range(n).select(sharding.permuted(sharding.F.col("id"), n, 5).alias("p")).collect()]
-    assert sorted(got) == list(range(n))
-    if n == 1_000:
-        assert got != sorted(got)
-        other = [r.p for r in spark.range(n).select(sharding.permuted(sharding.F.col("id"), n, 6).alias("p")).collect()]
-        assert sum(a == b for a, b in zip(got, other, strict=True)) < 20
+    rows = spark.range(n).withColumnRenamed("id", "_q_end")
+    images = [sorted((r["_q_end"], r.p) for r in sharding.permuted(rows, "_q_end", n, seed, "p").collect()) for seed in (5, 6)]
+    for got in images:
+        assert sorted(p for _, p in got) == list(range(n)) and [i for i, _ in got] == list(range(n))
+    assert n < 100 or images[0] != images[1]
+
+
+def test_walks_end_inside(spark):
+    """Numbers outside walk until they are inside, however often: the images are those of the plain walk."""
+    n, seed = 1_003, 3
+    left, right = 32, 32
+
+    images = {r.id: r.p for r in spark.range(left * right).select("id", sharding.feistel(sharding.F.col("id"), left, right, seed).alias("p")).collect()}
+
+    def walk(x):
+        x = images[x]
+        while x >= n:
+            x = images[x]
+        return x
+
+    got = {r.id: r.p for r in sharding.permuted(spark.range(n), "id", n, seed, "p").collect()}
+    assert got == {i: walk(i) for i in range(n)} and any(images[i] >= n for i in range(n))
 
 
 def test_numbering_over_many_ranges(spark):
-    df = spark.range(5_000).selectExpr("IF(id % 50 = 0, NULL, 5000 - id) AS key", "id")
-    got = sharding.numbered(df, "key", ("id",), per_range=300).collect()
+    """A key that holds a third of the rows is split by the ties, and no column is lost or overwritten."""
+    df = spark.range(5_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 50 = 0 THEN 7 ELSE 5000 - id END AS key", "id", "'x' AS _q_range", "id AS _q_at", "1 AS row_numbers")
+    numbered = sharding.numbered(df, "key", ("id",))
+    assert numbered.columns == [*df.columns, "row_number"]
+    got = numbered.collect()
     order = sorted(((r.key is not None, r.key or 0, r.id) for r in got))
     assert {(r.key is not None, r.key or 0, r.id): r.row_number for r in got} == {x: i for i, x in enumerate(order)}
+    assert all(r["_q_range"] == "x" and r["_q_at"] == r.id for r in got)
+
+
+def test_shards_keep_columns_of_their_names(spark):
+    df = spark.range(100).selectExpr("id AS doc_id", "'a' AS shard", "'b' AS slot", "id AS _q_range", "id AS _q_row", "id AS _shard")
+    got = sharding.sharded(df, 7)
+    assert got.columns == [*df.columns, "__shard", "_slot"]
+    rows = got.collect()
+    assert all((r.shard, r.slot, r["_q_range"], r["_q_row"], r["_shard"]) == ("a", "b", r.doc_id, r.doc_id, r.doc_id) for r in rows)
+    assert sorted((r["__shard"], r["_slot"]) for r in rows) == sorted((p % 7, p // 7) for p in range(100))
 
 
 def test_licenses(run, rows):

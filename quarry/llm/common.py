@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import dropped, released, shared_dir, small_batches, written
 
-__all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "deleted", "documents", "dropped", "partitions", "released", "scratch", "shared_dir", "small_batches", "unused", "written"]
+__all__ = ["LOWER", "TOKEN", "UPPER", "WORD", "ascii_lower", "deleted", "documents", "dropped", "masked", "partitions", "released", "scratch", "shared_dir", "small_batches", "unused", "written"]
 
 #: A-Z to a-z and nothing else; ``lower`` would also change other scripts.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,3 +50,11 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def masked(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """(``df`` with columns named by their places, so that helpers can't clash with them; the names of ``columns`` there; a function that
+    takes a table's columns of ``df`` and gives them their own names again)."""
+    places = [f"_q_c{i}" for i in range(len(df.columns))]
+    own = dict(zip(df.columns, places, strict=True))
+    return df.toDF(*places), [own[c] for c in columns], lambda out: out.select(*places).toDF(*df.columns)

@@ -6,22 +6,22 @@ generated-code stage, looked up, and a hit counts only if its words equal the wi
 covered words, and documents or only the covered spans can be removed.
 
 The broadcast side is measured first.  Beyond ``limit`` bytes the windows are dealt into blocks by hash, and each block is one
-more pass over the documents with a broadcast of at most about that size; nothing of the documents is shuffled but one row for
-each document and its hits.
+more pass over the documents, numbered and written once, with a broadcast of at most about that size; nothing of the documents is
+shuffled but one row for each document and its hits, which are united to spans in one sorted pass.
 
 Defined results: a null text, benchmark or training, has no words and no hits; repeated rows are judged one by one, also with
-equal or null ids; a null item id is named as the empty string; an empty benchmark hits nothing; other columns pass through
-``removed_documents`` and ``removed_spans`` untouched.
+equal or null ids; a null item id is named as the empty string; an empty benchmark hits nothing; other columns, of any
+type and name, pass through ``removed_documents`` and ``removed_spans`` untouched.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TOKEN, ascii_lower, documents, written
+from .common import TOKEN, ascii_lower, documents, unused, written
 
 #: Words of a window.
 N = 13
@@ -48,6 +48,9 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, limit: int = LIMIT, text
     blocks = max(1, math.ceil((size or 0) / limit))
     own = [F.col(f"`{c}`").alias(f"_q_k{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.monotonically_increasing_id().alias("_q_row"), *own, tokens(F.col(f"`{text}`")).alias("_q_words"))
+    if blocks > 1:
+        # each block reads the rows again: their numbers must be the same each time, whatever shuffle or lost executor they come from
+        rows = written(rows, "decontam-rows")
     # position -1 stands for the document itself, which so comes through without a hit
     at = rows.select("*", F.size("_q_words").alias("_q_n"), F.explode(F.sequence(F.lit(-1), F.size("_q_words") - 1)).alias("_q_i"))
     if len(lengths or ()) > 1:
@@ -56,6 +59,7 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, limit: int = LIMIT, text
         at = at.withColumn("_q_len", F.lit(lengths[0] if lengths else n))
     gram = F.slice("_q_words", F.col("_q_i") + 1, F.col("_q_len"))
     at = at.withColumn("_q_h", F.when((F.col("_q_i") >= 0) & (F.col("_q_i") + F.col("_q_len") <= F.col("_q_n")), F.xxhash64(gram)))
+    kept = [f"_q_k{i}" for i in range(len(keep))]
     parts = []
     for k in range(blocks):
         block = grams if blocks == 1 else grams.filter(F.pmod("h", F.lit(blocks)) == k)
@@ -63,30 +67,27 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, limit: int = LIMIT, text
         here = F.slice("_q_words", F.greatest(F.col("_q_i"), F.lit(0)) + 1, F.col("_q_len"))
         verified = (F.col("_q_len") >= F.col("len")) & (F.col("_q_len") <= F.col("len")) & (here >= F.col("gram")) & (here <= F.col("gram"))
         found = at.join(F.broadcast(block), (F.col("_q_h") == F.col("h")) & verified, "left")
-        parts.append(found.filter(F.col("h").isNotNull() | ((F.col("_q_i") < 0) if k == 0 else F.lit(False))))
+        document = (F.col("_q_i") < 0) if k == 0 else F.lit(False)
+        end = F.when(F.col("_q_i") < 0, -1).otherwise(F.col("_q_i") + F.col("_q_len")).alias("_q_to")
+        # only the document's own row carries its columns
+        parts.append(found.filter(F.col("h").isNotNull() | document).select("_q_row", "_q_i", end, *[F.when(F.col("_q_i") < 0, F.struct(F.col(c))).alias(c) for c in kept], F.when(F.col("_q_i") < 0, F.col("_q_n")).alias("_q_n"), "items"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    kept = [f"_q_k{i}" for i in range(len(keep))]
-    merged = every.groupBy("_q_row").agg(
-        *[F.max(F.when(F.col("_q_i") < 0, F.struct(F.col(c)))).alias(c) for c in kept],
+    # hits in order of their starts: one that starts behind all ends so far begins a span; a document's own row is span 0
+    before = Window.partitionBy("_q_row").orderBy("_q_i", "_q_to")
+    every = every.withColumn("_q_reach", F.max("_q_to").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    every = every.withColumn("_q_span", F.sum((F.col("_q_i") > F.col("_q_reach")).cast("int")).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = every.groupBy("_q_row", F.coalesce("_q_span", F.lit(0)).alias("_q_span")).agg(
+        F.min("_q_i").alias("from"), F.max("_q_to").alias("to"), *[F.first(c, ignorenulls=True).alias(c) for c in [*kept, "_q_n"]], F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
+    )
+    merged = spans.groupBy("_q_row").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in kept],
         F.max("_q_n").cast("long").alias("n_words"),
-        F.array_sort(F.collect_list(F.when(F.col("h").isNotNull(), F.struct(F.col("_q_i").alias("from"), (F.col("_q_i") + F.col("_q_len")).alias("to"))))).alias("_q_spans"),
+        F.array_sort(F.collect_list(F.when(F.col("_q_span") > 0, F.struct("from", "to")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    return merged.select(*[F.col(c)[c].alias(name) for c, name in zip(kept, keep, strict=True)], "n_words", united(F.col("_q_spans")).alias("spans"), "items")
-
-
-def united(spans: Column) -> Column:
-    """Sorted spans as disjoint ones: a span that starts at or before the last one's end prolongs it."""
-    empty = F.array().cast("array<struct<from:int,to:int>>")
-
-    def add(done, s):
-        last = F.element_at(done, -1)
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], s["to"]).alias("to"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["to"] >= s["from"]), longer).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(spans, empty, add)
+    return merged.select(*[F.col(c)[c].alias(name) for c, name in zip(kept, keep, strict=True)], "n_words", "spans", "items")
 
 
 def covered(spans: Column) -> Column:
@@ -108,10 +109,11 @@ def removed_documents(docs: DataFrame, bench: DataFrame, n: int = N, limit: int
     Only the keys and text hashes of contaminated documents go to the second pass: broadcast if there are at most a million, else
     joined by a shuffle.  Equal texts have equal verdicts, so repeated rows are safe.
     """
-    mark = docs.select(F.col(key).alias("_q_key"), F.xxhash64(text).alias("_q_hash"), F.col(text).alias("_q_text"))
-    bad = written(judged(mark, bench, n=n, limit=limit, text="_q_text", keep=("_q_key", "_q_hash")).filter("contaminated").select("_q_key", "_q_hash").distinct(), "decontam-bad")
+    bad_key, bad_hash = unused(docs, "_q_key"), unused(docs, "_q_hash")
+    mark = docs.select(F.col(f"`{key}`").alias("_q_key"), F.xxhash64(F.col(f"`{text}`")).alias("_q_hash"), F.col(f"`{text}`").alias("_q_text"))
+    bad = written(judged(mark, bench, n=n, limit=limit, text="_q_text", keep=("_q_key", "_q_hash")).filter("contaminated").select(F.col("_q_key").alias(bad_key), F.col("_q_hash").alias(bad_hash)).distinct(), "decontam-bad")
     side = F.broadcast(bad) if bad.count() <= 1_000_000 else bad
-    return docs.join(side, (F.xxhash64(docs[text]) == side["_q_hash"]) & docs[key].eqNullSafe(side["_q_key"]), "left_anti")
+    return docs.join(side, (F.xxhash64(F.col(f"`{text}`")) == F.col(bad_hash)) & F.col(f"`{key}`").eqNullSafe(F.col(bad_key)), "left_anti")
 
 
 def removed_spans(docs: DataFrame, bench: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -123,7 +125,12 @@ def removed_spans(docs: DataFrame, bench: DataFrame, text: str = "text", **optio
     gap, letter = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(F.col(own), F.lit(f"^{gap}+|{letter}+{gap}*"), F.lit(0))
     lead = F.when(F.col(own).rlike(f"^{gap}"), 1).otherwise(0)
-    kept = F.array_join(F.filter(pieces, lambda _, i: ~F.exists("spans", lambda s: (i - lead >= s["from"]) & (i - lead < s["to"]))), "")
+    # what lies between two spans, as slices
+    edges = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("spans")["to"]).alias("a"), F.concat(F.col("spans")["from"], F.array(F.col("n_words").cast("int"))).alias("b"))
+    between = F.flatten(F.transform(edges, lambda e: F.slice("_q_pieces", e["a"] + 1 + F.col("_q_lead"), e["b"] - e["a"])))
+    kept = F.concat(F.array_join(F.slice("_q_pieces", F.lit(1), F.col("_q_lead")), ""), F.array_join(between, ""))
+    # an exploded array of one keeps the pieces from being cut anew for each slice
+    found = found.withColumn("_q_lead", lead).withColumn("_q_pieces", F.explode(F.array(F.when(F.size("spans") > 0, pieces))))
     found = found.withColumn(own, F.when(F.size("spans") > 0, kept).otherwise(F.col(own)))
     return found.select(*[F.col(f"_q_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

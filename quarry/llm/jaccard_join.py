@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .common import documents, dropped, partitions, written
+from .common import documents, dropped, masked, partitions, written
 from .components import components
 
 #: Prefix count from which a shingle is frequent, and bytes of the table of frequency classes.
@@ -479,6 +479,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_
     ids are broadcast if there are at most a million, else joined by a shuffle.  Rows with the same key and the same text are one
     document; rows with the same key and different texts are told apart by the text's hash.
     """
+    docs, (key, text), back = masked(docs, key, text)
     me = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
     t, links = linked_sets(docs.select(me.alias("_q_me"), F.col(text).alias("_q_text")), k, percent, "_q_me", "_q_text")
     labels = components(links)
@@ -500,7 +501,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_
     if not again.isEmpty():
         # repeated rows of a key and a text that stays: one of them
         left = left.join(side(again), same, "left_anti").unionByName(left.join(side(again), same, "left_semi").dropDuplicates(["_q_me"]))
-    return left.drop("_q_me")
+    return back(left)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ DIMENSIONS, SEED = 512, 11
 SAMPLE = 12_000
 UNKNOWN = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
-#: Letters that are worked on at once; a longer text is cut into such pieces and its pieces' vectors add up.
+#: Letters that are worked on at once; a longer text is worked on by pieces, with the same result.
 PIECE = 1 << 18
 
 
@@ -81,52 +81,67 @@ class Hyper:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Vectors (rows x dimensions) and whether the text has a letter."""
         out, some = np.zeros((len(texts), self.d), np.float32), np.zeros(len(texts), bool)
-        rows, parts, held = [], [], 0
+        rows, held = [], 0
         for i, t in enumerate(texts):
-            for a in range(0, len(t or ""), PIECE):
-                # two letters before a piece belong to the trigrams that cross its start
+            if len(t or "") > PIECE:
+                self._add_long(out, some, i, t)
+            elif t:
                 rows.append(i)
-                parts.append(t[max(0, a - 2) : a + PIECE] if a else t[:PIECE])
-                held += len(parts[-1])
+                held += len(t)
                 if held > PIECE:
-                    self._add(out, some, rows, parts)
-                    rows, parts, held = [], [], 0
-        self._add(out, some, rows, parts)
+                    self._add(out, some, rows, texts)
+                    rows, held = [], 0
+        self._add(out, some, rows, texts)
         return out, some
 
-    def _add(self, out, some, rows, parts) -> None:
-        if not parts:
+    def _codes(self, text: str) -> np.ndarray:
+        return self.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+
+    def _add_long(self, out, some, row: int, text: str) -> None:
+        """A text by pieces: the last two letters of each go before the next, so every trigram is counted once."""
+        carry = np.zeros(1, np.int64)
+        for a in range(0, len(text) + 1, PIECE):
+            # a blank ends the text
+            x = np.concatenate([carry, self._codes(text[a : a + PIECE]), np.zeros(int(a + PIECE > len(text)), np.int64)])
+            keep = np.ones(len(x), bool)
+            keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
+            x = x[keep]
+            self._bundle(out, some, np.array([row]), x, np.zeros(len(x), np.int64), 1)
+            carry = x[-2:]
+
+    def _add(self, out, some, rows, texts) -> None:
+        if not rows:
             return
-        points = np.frombuffer(" ".join(["", *parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        x = self.letters[points]
+        parts = [texts[i] for i in rows]
+        x = self._codes(" ".join(["", *parts, ""]))
         owner = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
         owner = np.concatenate([owner, owner[-1:]])[: len(x)]
         keep = np.ones(len(x), bool)
         keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
-        x, owner = x[keep].astype(np.int64), owner[keep]
+        self._bundle(out, some, np.asarray(rows), x[keep], owner[keep], len(parts))
+
+    def _bundle(self, out, some, rows, x, owner, n) -> None:
+        """Adds the trigrams of the letters ``x`` to the rows of their owners; blanks (0) are single."""
         if len(x) < 3:
             return
         # blank 0 is a letter of its own; the trigram belongs to its middle letter's text, and blanks end every text
         codes = (x[:-2] << 42) | (x[1:-1] << 21) | x[2:]
         middle = owner[1:-1]
-        # "x y" with a blank in the middle never spans two texts' letters by accident: parts are set apart by blanks
+        # a trigram with a blank in its middle counts inside a text only
         whole = (x[1:-1] != 0) | ((owner[:-2] == owner[2:]) & (x[:-2] != 0) & (x[2:] != 0))
         codes, middle = codes[whole], middle[whole]
         if not len(codes):
             return
-        some[np.asarray(rows)[np.unique(middle)]] = True
+        some[rows[np.unique(middle)]] = True
         distinct, inverse = np.unique(codes, return_inverse=True)
-        rows = np.asarray(rows)
-        at = 0
-        order = np.searchsorted(middle, np.arange(len(parts) + 1))
-        while at < len(parts):
-            end = min(len(parts), at + 256)
+        order = np.searchsorted(middle, np.arange(n + 1))
+        for at in range(0, n, 256):
+            end = min(n, at + 256)
             lo, hi = order[at], order[end]
             if hi > lo:
                 used, local = np.unique(inverse[lo:hi], return_inverse=True)
                 counts = np.bincount((middle[lo:hi] - at) * len(used) + local, minlength=(end - at) * len(used)).reshape(end - at, len(used)).astype(np.float32)
-                np.add.at(out, rows[at:end], counts @ self.bound(distinct[used]))
-            at = end
+                out[rows[at:end]] += counts @ self.bound(distinct[used])
 
 
 @lru_cache(maxsize=1)
@@ -160,12 +175,12 @@ def fraction(key: Column, mod: int) -> Column:
 
 
 def learned(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Prototypes from at most ``sample`` rows of ``labelled`` (about so many at random by a hash of the key, cut at the bound)."""
+    """Prototypes from at most ``sample`` rows of ``labelled``: at random by a hash of the key, about 5 % fewer so that the bound holds."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     # the share to take comes from a count that reads no text; null texts only make the sample a little smaller
     total = labelled.filter(F.col(lang).isNotNull()).count()
     if total > sample:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * sample / total))
+        rows = rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * 0.95 * sample / total)).limit(sample)
     d = DIMENSIONS
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

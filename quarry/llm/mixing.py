@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, written
+from .common import WORD, documents, masked, written
 
 #: Weights of sources in code-point order, repeating; a target stops at so many times its source's size.
 WEIGHTS, MOST = (1.0, 2.0, 3.0), 3
@@ -96,6 +96,7 @@ def copied(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     the sort is over keys and sizes only, and rows with their texts are held against their source's last taken draw, without a
     shuffle; rows that equal it in draw, key and size are all taken.
     """
+    df, (key, text, source), back = masked(df, key, text, source)
     place = lambda size: F.struct((-F.log(uniform(F.col(f"`{key}`"), seed)) / weight(size)).alias("draw"), F.col(f"`{key}`").isNotNull().alias("some"), F.col(f"`{key}`").alias("key"), size.alias("size"))
     narrow = written(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size")), "mix-sizes")
     own = mixed(narrow, key="key", source="source", size="size", seed=seed, weight=weight, **options)
@@ -108,7 +109,7 @@ def copied(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = rows.withColumn("_q_size", F.explode(F.array(words(F.col(f"`{text}`")))))
     taken = F.col("_q_epochs") + F.coalesce((place(F.col("_q_size")) <= F.col("_q_last")).cast("int"), F.lit(0))
     rows = rows.withColumn("_q_copies", F.least(F.lit(options.get("most", MOST)), taken).cast("int")).filter("_q_copies > 0")
-    return rows.withColumn("_q_copy", F.explode(F.sequence(F.lit(1), F.col("_q_copies")))).select(*[f"`{c}`" for c in df.columns])
+    return back(rows.withColumn("_q_copy", F.explode(F.sequence(F.lit(1), F.col("_q_copies")))))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

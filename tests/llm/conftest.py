@@ -30,7 +30,7 @@ def tables(spark, tmp_path_factory):
     """A folder like the driver's, with messy documents that also have columns named like helpers of the operators."""
     d = str(tmp_path_factory.mktemp("tables"))
     rows, passage = messy()
-    clash = ["h", "k", "t", "n", "len", "items", "spans", "gram", "sid", "vec", "label", "tie", "size", "b", "s", "me", "class", "a", "shard", "target"]
+    clash = ["h", "k", "t", "n", "len", "items", "spans", "gram", "sid", "vec", "label", "tie", "size", "b", "s", "me", "class", "a", "shard", "slot", "target", "_q_me", "_q_size", "_q_copy", "_q_source", "_q_key", "_q_hash", "_q_text", "_q_range", "_q_row", "_q_lang", "_q_c0", "_q_draw"]
     df = spark.createDataFrame(rows, DOCS)
     for c in clash:
         df = df.selectExpr("*", f"'clash' AS `{c}`")

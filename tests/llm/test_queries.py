@@ -4,8 +4,10 @@ import collections
 import random
 import hashlib
 import math
+import re
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -394,8 +396,6 @@ def test_rare_postings_lose_no_phrase():
         n = len(t.words)
         places[t.label, tuple(t.words)] = sum(text[i : i + n] == t.words for i in range(len(text) - n + 1))
     ids = {w: i for i, w in enumerate(index.words)}
-    import numpy as np
-
     word = np.array([ids.get(w, -1) for w in text])
     got = collections.Counter()
     for _, t, *_, found in zip(*index.find(word, np.array([0, len(word)])), strict=True):
@@ -421,13 +421,135 @@ def test_redaction():
 
 
 def test_long_texts_in_pieces(monkeypatch):
-    h = langid.Hyper()
-    text = "Das ist ein längerer Satz. " * 50
-    whole, _ = h.encode([text, "x", None])
-    monkeypatch.setattr(langid, "PIECE", 97)
-    pieces, some = langid.Hyper().encode([text, "x", None])
-    cos = (whole[0] @ pieces[0]) / math.sqrt((whole[0] @ whole[0]) * (pieces[0] @ pieces[0]))
-    assert cos > 0.98 and some.tolist() == [True, True, False]
+    """Pieces change nothing, wherever the cuts fall."""
+    text = "Das ist ein längerer Satz.  Ça va, 12 ... mots—et encore " * 40
+    texts = [text, "x", None, text[:-1], "!" * 300, " " + text, "a", ""]
+    whole, has = langid.Hyper().encode(texts)
+    for piece in (1, 2, 3, 97, 256):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        pieces, some = langid.Hyper().encode(texts)
+        assert (whole == pieces).all() and (some == has).all()
+    assert has.tolist() == [True, True, False, True, False, True, True, False]
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_language_against_brute_force(spark):
+    """Prototypes and cosines in plain Python, trigram by trigram, from all labelled texts; a floor on held-out accuracy."""
+    docs = documents(spark, SMALL)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    hyper, d = langid.Hyper(), langid.DIMENSIONS
+
+    def letter(c):
+        return hyper.letter(ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha() else ord(c) if c.isalpha() else 0)
+
+    known = {}
+
+    def vector(text):
+        out = np.zeros(d)
+        chars = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text or ''} "))
+        for tri, n in collections.Counter(chars[i : i + 3] for i in range(len(chars) - 2)).items():
+            if tri not in known:
+                known[tri] = np.array([letter(tri[0])[(j - 2) % d] * letter(tri[1])[(j - 1) % d] * letter(tri[2])[j] for j in range(d)])
+            out += n * known[tri]
+        return out
+
+    short = [r for r in rows if len(r.text or "") < 2_500]
+    vectors = {r.doc_id: vector(r.text) for r in short}
+    sums = {}
+    for r in short:
+        if brute.held_out(r.doc_id, 3) != 1 and r.lang is not None and any(c.isalpha() for c in r.text or ""):
+            sums[r.lang] = sums.get(r.lang, 0) + vectors[r.doc_id] / np.linalg.norm(vectors[r.doc_id])
+    names = sorted(sums)
+    raw = np.array([sums[k] / np.linalg.norm(sums[k]) for k in names])
+    mean = raw.mean(0)
+    prototypes = (raw - mean) / np.linalg.norm(raw - mean, axis=1, keepdims=True)
+    few = docs.filter("coalesce(length(text), 0) < 2500")
+    model = langid.learned(few.filter(langid.fraction(langid.F.col("doc_id"), 3) != 1))
+    assert model.languages == names
+    right = total = 0
+    for r in langid.identified(few, model, ["doc_id", "lang"]).collect():
+        v = vectors[r.doc_id]
+        if not v.any():
+            assert (r["_q_lang"], r["_q_score"]) == ("und", 0)
+            continue
+        v = v / np.linalg.norm(v) - mean
+        cosines = prototypes @ (v / np.linalg.norm(v))
+        assert r["_q_lang"] == names[int(cosines.argmax())] and abs(r["_q_score"] - max(0, cosines.max())) < 1e-4
+        if brute.held_out(r.doc_id, 3) == 1 and r.lang is not None:
+            total += 1
+            right += r["_q_lang"] == r.lang
+    assert total > 150 and right >= 0.97 * total
+
+
+def plain_features(text):
+    """What a document's strength is a function of, from the definition."""
+    raw = (text or "").encode()
+    kinds = [sum(b in k.encode() for b in raw) for k in quality.CLASSES]
+    kinds += [sum(b >= 128 for b in raw)]
+    kinds += [len(raw) - sum(kinds)]
+    share = [k / max(len(raw), 1) for k in kinds]
+    words = brute.WORD.findall((text or "").translate(brute.LOWER))
+    sizes = [len(w.encode()) for w in words]
+    n = len(words)
+    runs = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    mean = sum(sizes) / max(n, 1)
+    spread = math.sqrt(max(sum(x * x for x in sizes) / max(n, 1) - mean**2, 0))
+    base = [*share, *map(math.sqrt, share), math.log1p(len(raw)), math.log1p(n), len(set(words)) / max(n, 1), len(set(runs)) / len(runs) if runs else 1.0, mean / 10, spread / 10, sum(x <= 3 for x in sizes) / max(n, 1)]
+    k = 2 * len(share)
+    return base + [math.log1p(len(raw)) * base[k + 2], math.log1p(len(raw)) * base[k + 3]] + [x * x for x in base[k:]]
+
+
+def test_quality_against_brute_force(spark):
+    """Features in plain Python, the pairwise loss minimised by gradient descent, scores from it; floors on held-out accuracy and AUC."""
+    docs = {r.doc_id: r.text for r in documents(spark, SMALL).select("doc_id", "text").collect()}
+    labels = {r.doc_id: r.quality for r in documents(spark, SMALL, "labels").collect() if r.quality is not None}
+    x = {i: plain_features(t) for i, t in docs.items()}
+    got = {r.doc_id: r for r in quality.op10(spark, SMALL).collect()}
+    own = sorted(i for i in labels if brute.held_out(i, 5) != 0)
+    features = np.array([x[i] for i in own])
+    good = np.array([labels[i] == 1 for i in own])
+    mean, scale = features.mean(0), np.maximum(features.std(0), 1e-6)
+    z = lambda f: np.clip((np.array(f) - mean) / scale, -6, 6)
+    rng = np.random.default_rng(quality.SEED)
+    zs = z(features)
+    a, b = rng.choice(np.flatnonzero(good), quality.PAIRS), rng.choice(np.flatnonzero(~good), quality.PAIRS)
+    d, w, speed = zs[a] - zs[b], np.zeros(zs.shape[1]), np.zeros(zs.shape[1])
+    for _ in range(1_500):
+        gradient = -(d * (1 / (1 + np.exp(np.clip(d @ w, -30, 30))))[:, None]).mean(0) + 1e-3 * w
+        speed = 0.9 * speed - 0.05 * gradient
+        w = w + speed
+    cut = np.quantile(zs @ w, 1 - good.mean())
+    score = {i: 1 / (1 + math.exp(-max(-30, min(30, float(z(f) @ w - cut + math.log(0.3 / 0.7)))))) for i, f in x.items()}
+    # descent comes near the minimum that Newton's method reaches
+    assert np.corrcoef([score[i] for i in score], [got[i].score for i in score])[0, 1] > 0.995
+    assert sum((score[i] >= 0.3) == bool(got[i].predicted) for i in score) >= 0.98 * len(score)
+    held = [(got[i].score, labels[i]) for i in labels if brute.held_out(i, 5) == 0]
+    assert len(held) > 50 and sum((s >= 0.3) == (m == 1) for s, m in held) >= 0.95 * len(held)
+    ones, zeros = [s for s, m in held if m == 1], [s for s, m in held if m == 0]
+    assert sum((p > q) + (p == q) / 2 for p in ones for q in zeros) >= 0.98 * len(ones) * len(zeros)
+
+
+def test_features_follow_the_definition(spark):
+    texts = ["", None, "one", "One two  two,\tthree one two two three four five one two two three four", "é€ 12 | # <b> \"q\" \n" * 30, "a b c d"]
+    got = quality.features(quality.pa.array(texts))
+    assert np.allclose(got, [plain_features(t) for t in texts])
+
+
+def test_spans_are_united_in_one_pass(spark):
+    """Many separate spans in one document, and blocks over an input that comes out of a shuffle, with columns of any type and name."""
+    text = " ".join("hit miss" for _ in range(20_000)) + " hit hit hit"
+    docs = spark.createDataFrame([(i, text if i == 3 else f"miss {i} hit") for i in range(40)], "doc_id long, text string").selectExpr("*", "map('k', doc_id) AS m", "'x' AS h", "'y' AS _q_key", "'z' AS _q_i")
+    bench = spark.createDataFrame([(1, "hit"), (2, "hit hit"), (3, "miss 7"), (4, "never seen")], "item_id long, text string")
+    want = brute.contamination([text if i == 3 else f"miss {i} hit" for i in range(40)], [(1, "hit"), (2, "hit hit"), (3, "miss 7")])
+    for limit in (decontam.LIMIT, 100):
+        got = {r.doc_id: r for r in decontam.judged(docs.repartition(5), bench, keep=("doc_id", "m"), limit=limit).collect()}
+        assert [(got[i].n_words, got[i].n_hit, got[i]["items"]) for i in range(40)] == want and got[5].m == {"k": 5}
+        assert len(got[3].spans) == 20_001 and got[3].spans[-1] == (40_000, 40_003)
+    cut = decontam.removed_spans(docs, bench)
+    assert cut.columns == docs.columns and brute.tokens({r.doc_id: r.text for r in cut.collect()}[3]) == ["miss"] * 20_000
+    assert decontam.removed_documents(docs, bench).columns == docs.columns
 
 
 def test_pipeline(spark, tables, empty):
@@ -437,5 +559,6 @@ def test_pipeline(spark, tables, empty):
         extra = set(out.columns) - set(docs.columns)
         assert not extra or i == 4, name
         docs = spark.createDataFrame(out.collect(), out.schema)
-    assert {"shard", "slot"} <= set(docs.columns) and docs.count() > 0
-    assert corpus_pipeline.run(spark, empty).count() == 0
+    assert docs.columns[-2:] == ["_shard", "_slot"] and docs.count() > 0
+    nothing = corpus_pipeline.run(spark, empty)
+    assert nothing.columns[-2:] == ["shard", "slot"] and nothing.count() == 0

@@ -139,7 +139,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["key", "mark", "x"])
 
     # at most ``sample`` short rows
-    rows = docs.join(F.broadcast(own), F.col(key) == F.col("_q_key")).select("_q_key", "_q_mark", F.col(text).alias("_q_text")).mapInArrow(run, "key bigint, mark int, x array<double>").collect()
+    texts = docs.select(F.col(key).alias("_q_doc"), F.col(text).alias("_q_text"))
+    rows = texts.join(F.broadcast(own), F.col("_q_doc") == F.col("_q_key")).select("_q_key", "_q_mark", "_q_text").mapInArrow(run, "key bigint, mark int, x array<double>").collect()
     rows.sort(key=lambda r: (r.key, r.mark))
     if not rows:
         return Ranker(np.zeros((0, 1)), np.zeros(0, bool))

@@ -38,18 +38,23 @@ def shuffled(sequences: DataFrame, salt: str = "") -> DataFrame:
     """(seq_id, seq) with each sequence's letters in the order of a hash of id and position: the same multiset, the same on each run."""
     key = F.concat(F.lit(salt), F.col("seq_id").cast("string"), F.lit(":"))
     places = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda p: F.struct(F.md5(F.concat(key, p.cast("string"))).alias("h"), p.alias("p"), F.substring(F.col("seq"), p, F.lit(1)).alias("c")))
-    return sequences.filter(F.length("seq") > 0).select("seq_id", F.array_join(F.transform(F.array_sort(places), lambda x: x["c"]), "").alias("seq"))
+    # an exploded array of one is evaluated once, whatever filters on the result are pushed down
+    return sequences.filter(F.length("seq") > 0).select("seq_id", F.explode(F.array(F.array_join(F.transform(F.array_sort(places), lambda x: x["c"]), ""))).alias("seq"))
 
 
-def euler_shuffle(seq: str, rng: np.random.Generator) -> str:
-    """A random sequence with the same dinucleotide counts: a random Euler walk of the letters' multigraph from the first letter
-    to the last, whose last exits form a random tree towards the end (drawn by loop-erased random walks)."""
-    if len(seq) < 3:
+def euler_shuffle(seq: str, rng: np.random.Generator, k: int = 2) -> str:
+    """A random sequence with the same counts of all strings of ``k`` letters: a random Euler walk of the multigraph of strings of
+    ``k - 1`` letters from the first to the last, whose last exits form a random tree towards the end (drawn by loop-erased random
+    walks).  With ``k`` 1 the letters are permuted."""
+    if k == 1:
+        return "".join(rng.permutation(list(seq)).tolist())
+    if len(seq) <= k:
         return seq
+    nodes = [seq[i : i + k - 1] for i in range(len(seq) - k + 2)]
     out: dict[str, list[str]] = {}
-    for a, b in zip(seq, seq[1:], strict=False):
+    for a, b in zip(nodes, nodes[1:], strict=False):
         out.setdefault(a, []).append(b)
-    last, exits = seq[-1], {}
+    last, exits = nodes[-1], {}
     done = {last}
     for start in out:
         at = start
@@ -67,23 +72,28 @@ def euler_shuffle(seq: str, rng: np.random.Generator) -> str:
             edges.append(final)
         else:
             rng.shuffle(edges)
-    walk, used = [seq[0]], dict.fromkeys(out, 0)
+    walk, used = [nodes[0]], dict.fromkeys(out, 0)
     while (at := walk[-1]) in out and used[at] < len(out[at]):
         walk.append(out[at][used[at]])
         used[at] += 1
-    return "".join(walk)
+    return walk[0] + "".join(w[-1] for w in walk[1:])
 
 
-def dinucleotide_shuffled(sequences: DataFrame, seed: int = 1) -> DataFrame:
-    """(seq_id, seq) shuffled with dinucleotide counts kept; the generator is seeded with each id, so partitioning doesn't matter."""
+def klet_shuffled(sequences: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """(seq_id, seq) shuffled with the counts of strings of ``k`` letters kept; the generator is seeded with each id, so partitioning
+    doesn't matter."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"seq_id": f.seq_id, "seq": [euler_shuffle(s, np.random.default_rng([seed, i & 0xFFFFFFFF, i >> 32])) for i, s in zip(f.seq_id.tolist(), f.seq, strict=True)]})
+            yield pd.DataFrame({"seq_id": f.seq_id, "seq": [euler_shuffle(s, np.random.default_rng([seed, i & 0xFFFFFFFF, i >> 32]), k) for i, s in zip(f.seq_id.tolist(), f.seq, strict=True)]})
 
     return sequences.select("seq_id", "seq").mapInPandas(run, "seq_id bigint, seq string")
 
 
+def dinucleotide_shuffled(sequences: DataFrame, seed: int = 1) -> DataFrame:
+    return klet_shuffled(sequences, 2, seed)
+
+
 def frequencies(sequences: DataFrame) -> DataFrame:
     """(base, n, freq): shares of the bases."""
     counts = bases(sequences).groupBy("base").agg(F.count("*").alias("n"))
@@ -120,3 +130,20 @@ def data_matrices(sequences: DataFrame, seed: int = 1) -> DataFrame:
     test = dinucleotide_shuffled(real.filter("split = 'test'"), seed).withColumn("split", F.lit("test"))
     fake = train.unionByName(test).withColumn("kind", F.lit("shuffled"))
     return real.select("seq_id", "split", "kind", "seq").unionByName(fake.select("seq_id", "split", "kind", "seq"))
+
+
+def labelled_matrices(sequences: DataFrame, ratio: float = 0.85, k_train: int = 1, k_test: int = 2, seed: int = 1) -> DataFrame:
+    """``sequences(seq_id, seq, label)`` as (seq_id, split, kind, seq, label): the share ``ratio`` is train, and each part comes real and
+    shuffled with its own ``k``.  A shuffled sequence keeps its label."""
+    from .ranks import labelled_split
+
+    real = labelled_split(sequences.select("seq_id", "seq", "label"), "seq_id", ratio)
+    parts = [real.withColumn("kind", F.lit("real"))]
+    for name, k in (("train", k_train), ("test", k_test)):
+        own = real.filter(F.col("split") == name)
+        fake = shuffled(own) if k == 1 else klet_shuffled(own, k, seed)
+        parts.append(own.select("seq_id", "label", "split").join(fake, "seq_id").withColumn("kind", F.lit("shuffled")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("seq_id", "split", "kind", "seq", "label")

@@ -80,6 +80,22 @@ def longest_segment(segments: DataFrame) -> DataFrame:
     return segments.groupBy("motif_id").agg(F.max(F.col("end") - F.col("start") + 1).alias("longest"))
 
 
+def kept(frame: DataFrame, mask: DataFrame) -> DataFrame:
+    """Rows of the motifs that ``mask(motif_id, keep)`` keeps; motifs it doesn't name go."""
+    return frame.join(mask.filter("keep").select("motif_id").distinct(), "motif_id", "left_semi")
+
+
+def without(frame: DataFrame, motifs: DataFrame) -> DataFrame:
+    """Rows of all motifs but those of ``motifs(motif_id)``."""
+    return frame.join(motifs.select("motif_id").distinct(), "motif_id", "left_anti")
+
+
+def by_length(counts: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+    """(matrices of ``low`` to ``high`` columns, all others)."""
+    inside = counts.groupBy("motif_id").agg(F.max("offset").alias("len")).filter(F.col("len").between(low, high)).select("motif_id")
+    return counts.join(inside, "motif_id", "left_semi"), counts.join(inside, "motif_id", "left_anti")
+
+
 def with_segments(frame: DataFrame, segments: DataFrame) -> DataFrame:
     """Rows of motifs that have a high segment."""
     return frame.join(segments.select("motif_id").distinct(), "motif_id", "left_semi")

@@ -90,6 +90,11 @@ def mono_shuffle(spark, d):
     return encode.shuffled(seqs(spark, d)).withColumnRenamed("seq", "shuffled")
 
 
+@query(f"WITH {SEQUENCES_SQL} SELECT seq_id, replace(replace(replace(replace(seq, 'A', '1000'), 'C', '0100'), 'G', '0010'), 'T', '0001') AS bits FROM sequences")
+def onehot_vectors(spark, d):
+    return seqs(spark, d).select("seq_id", F.array_join(encode.onehot(F.col("seq")), "").alias("bits"))
+
+
 @query()
 def dinucleotide_shuffle(spark, d):
     """Random by nature: the invariant (equal pair counts) is tested."""
@@ -150,6 +155,11 @@ def median_filter(spark, d):
     return patterns.above_median(code(spark, d)).select(*EVENT)
 
 
+@query(f"WITH {CODE_SQL} SELECT seq, position, fil, mag FROM (SELECT *, rank() OVER (PARTITION BY seq ORDER BY mag DESC) AS r FROM code) WHERE r <= 2")
+def filter_dispatch(spark, d):
+    return patterns.filtered(code(spark, d), patterns.top_q, q=2).select(*EVENT)
+
+
 def _triplets(of: str, name: str = "trip") -> str:
     return f"""{name}_e AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY position, fil, t1, t2, t3, mag) AS rn FROM {of}),
 {name} AS (
@@ -164,6 +174,11 @@ def triplet_support(spark, d):
     return patterns.supports(patterns.triplets(code(spark, d)))
 
 
+@query(f"WITH {CODE_SQL}, {_triplets('code')} SELECT {KEY}, count(*) AS support FROM trip GROUP BY {KEY} ORDER BY support DESC, {KEY} LIMIT 40")
+def top_words(spark, d):
+    return patterns.top_words(patterns.supports(patterns.triplets(code(spark, d))), 40)
+
+
 QS = (DEFAULT.base_quantile, *DEFAULT.levels)
 
 
@@ -351,6 +366,80 @@ def edge_expansion(spark, d):
     return refine.expansion(motif_hits(own), own)
 
 
+TRIM_SQL = f"""{COUNTS_SQL}, tr AS (SELECT motif_id, min("offset") AS a, max("offset") AS b FROM ic WHERE ic >= 1 GROUP BY motif_id HAVING max("offset") - min("offset") + 1 >= 6)"""
+
+
+@query(f"""WITH {TRIM_SQL} SELECT h.motif_id, seq_id, (pos + CASE WHEN comp THEN len - b ELSE a - 1 END)::INTEGER AS pos, comp, (b - a + 1)::INTEGER AS len FROM hits h JOIN tr ON tr.motif_id = h.motif_id""")
+def trim_hits(spark, d):
+    own = seqs(spark, d)
+    found = motif_hits(own)
+    spans = refine.span(matrices.information(matrices.count_matrix(matrices.windows(found, own))), width=6)
+    return refine.trim_hits(found, spans).select("motif_id", "seq_id", F.col("pos").cast("int").alias("pos"), "comp", F.col("len").cast("int").alias("len"))
+
+
+@query(f"""WITH {SEGMENTS_SQL}, long AS (SELECT motif_id FROM segs GROUP BY motif_id HAVING max("end" - "start" + 1) >= 8) SELECT motif_id, "offset", base, cnt FROM counts SEMI JOIN long USING (motif_id)""")
+def motifs_with_segments(spark, d):
+    own = counts(spark, d)
+    segments = matrices.high_segments(matrices.information(own))
+    return matrices.with_segments(own, segments.filter(F.col("end") - F.col("start") + 1 >= 8))
+
+
+def trimmed_counts(spark, d) -> DataFrame:
+    own = counts(spark, d)
+    return refine.trim_matrix(own, refine.span(matrices.information(own), width=6))
+
+
+TRIMMED_SQL = f"""{TRIM_SQL}, tm AS (SELECT c.motif_id, (c."offset" - a + 1)::INTEGER AS "offset", base, cnt FROM counts c JOIN tr s ON c.motif_id = s.motif_id AND c."offset" BETWEEN a AND b),
+tl AS (SELECT motif_id, max("offset") AS n FROM tm GROUP BY motif_id)"""
+
+
+@query(f"""WITH {TRIMMED_SQL} SELECT CASE WHEN n BETWEEN 6 AND 7 THEN 'inside' ELSE 'outside' END AS part, motif_id, "offset", base, cnt FROM tm JOIN tl USING (motif_id)""")
+def motifs_by_length(spark, d):
+    inside, outside = matrices.by_length(trimmed_counts(spark, d), 6, 7)
+    return inside.withColumn("part", F.lit("inside")).unionByName(outside.withColumn("part", F.lit("outside"))).select("part", "motif_id", "offset", "base", "cnt")
+
+
+@query(f"""WITH {HITS_SQL}, n AS (SELECT motif_id, count(*) AS n FROM hits GROUP BY motif_id), big AS (SELECT motif_id FROM n WHERE n >= (SELECT median(n) FROM n))
+SELECT 'kept' AS part, motif_id, seq_id, pos, comp FROM hits WHERE motif_id IN (SELECT motif_id FROM big) UNION ALL SELECT 'without', motif_id, seq_id, pos, comp FROM hits WHERE motif_id NOT IN (SELECT motif_id FROM big)""")
+def motif_masks(spark, d):
+    own = motif_hits(seqs(spark, d)).select("motif_id", "seq_id", "pos", "comp")
+    n = own.groupBy("motif_id").agg(F.count("*").alias("n"))
+    mask = n.join(F.broadcast(n.agg(F.median("n").alias("m")))).select("motif_id", (F.col("n") >= F.col("m")).alias("keep"))
+    return matrices.kept(own, mask).withColumn("part", F.lit("kept")).unionByName(matrices.without(own, mask.filter("keep")).withColumn("part", F.lit("without"))).select("part", "motif_id", "seq_id", "pos", "comp")
+
+
+# the same information, inside the edges: without the expansion's pseudo-count, and under the trimming mark
+SHRINK_SQL = f"""{HITS_SQL}, n AS (SELECT motif_id, count(*) AS n FROM hits GROUP BY motif_id),
+steps AS (SELECT 'left' AS side, i AS step, i AS o FROM (SELECT unnest(range(1, {WIDTH + 1})) AS i) UNION ALL SELECT 'right', i, {WIDTH} - i + 1 FROM (SELECT unnest(range(1, {WIDTH + 1})) AS i)),
+near AS (SELECT motif_id, side, step, comp, CASE WHEN comp THEN pos + len - o ELSE pos + o - 1 END AS place, seq FROM hits, steps),
+l2 AS (SELECT motif_id, side, step, CASE WHEN comp THEN translate(substr(seq, place, 1), 'ACGT', 'TGCA') ELSE substr(seq, place, 1) END AS base FROM near),
+q AS (SELECT motif_id, side, step, count(*) FILTER (base = 'A') + 0.01::DOUBLE AS a, count(*) FILTER (base = 'C') + 0.01::DOUBLE AS c, count(*) FILTER (base = 'G') + 0.01::DOUBLE AS g, count(*) FILTER (base = 'T') + 0.01::DOUBLE AS t FROM l2 GROUP BY ALL),
+r AS (SELECT q.motif_id, side, step, (a + c + g + t) / n AS coverage, 2 + a/(a+c+g+t)*log2(a/(a+c+g+t)) + c/(a+c+g+t)*log2(c/(a+c+g+t)) + g/(a+c+g+t)*log2(g/(a+c+g+t)) + t/(a+c+g+t)*log2(t/(a+c+g+t)) AS ic FROM q JOIN n USING (motif_id)),
+lead AS (SELECT motif_id, side, min((coverage > {DEFAULT.coverage} AND ic < {DEFAULT.ic_trim})::INTEGER) OVER (PARTITION BY motif_id, side ORDER BY step) AS ok FROM r),
+shrunk AS (SELECT motif_id, CASE WHEN motif_id % 2 = 0 THEN 0 ELSE sum(ok) FILTER (side = 'left') END::INTEGER AS "left", sum(ok) FILTER (side = 'right')::INTEGER AS "right" FROM lead GROUP BY motif_id)"""
+
+
+def shrunk(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hits, made-up expansions (motifs of even number by three columns on the left) and shrinkage."""
+    own = seqs(spark, d)
+    found = motif_hits(own)
+    out = spark.range(1, len(WORDS) + 1).select(F.col("id").alias("motif_id"), F.when(F.col("id") % 2 == 0, 3).otherwise(0).alias("left"), F.lit(0).alias("right"))
+    return found, out, refine.shrinkage(found, own, out)
+
+
+@query(f'WITH {SHRINK_SQL} SELECT motif_id, "left", "right" FROM shrunk')
+def edge_shrinkage(spark, d):
+    return shrunk(spark, d)[2].select("motif_id", F.col("left").cast("int").alias("left"), F.col("right").cast("int").alias("right"))
+
+
+@query(f"""WITH {SHRINK_SQL}, dl AS (SELECT motif_id, "left" - CASE WHEN motif_id % 2 = 0 THEN 3 ELSE 0 END AS dl, -"right" AS dr FROM shrunk),
+mv AS (SELECT h.motif_id, seq_id, (pos + CASE WHEN comp THEN -dr ELSE dl END)::INTEGER AS pos, comp, (len - dl + dr)::INTEGER AS len FROM hits h JOIN dl ON dl.motif_id = h.motif_id)
+SELECT motif_id, seq_id, pos, comp, len FROM mv WHERE len > 0 AND pos >= 1 AND pos + len - 1 <= {LENGTH}""")
+def edges_applied(spark, d):
+    found, out, less = shrunk(spark, d)
+    return refine.applied(found, out, less, LENGTH).select("motif_id", "seq_id", F.col("pos").cast("int").alias("pos"), "comp", F.col("len").cast("int").alias("len"))
+
+
 # ---------------------------------------------------------------- ratios and merges
 
 
@@ -474,9 +563,15 @@ def touzet_threshold(spark, d):
     return stats.touzet(core).select("motif_id", F.round("alpha", 6).alias("alpha"))
 
 
-@query()
+# hits of a sequence one after the other, best first; motifs are of one width
+@query(f"""WITH RECURSIVE {STRANDS_SQL}, {_scan_sql('sequences', 'sc')}, hit AS (SELECT sc.motif_id, seq_id, pos, comp, round(score, 3)::DOUBLE AS score FROM sc JOIN cut USING (motif_id) WHERE round(score, 3) > t),
+turn AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, motif_id, pos, comp) AS rn FROM hit),
+g(seq_id, rn, taken, took) AS (
+  SELECT DISTINCT seq_id, 0::BIGINT, []::INTEGER[], false FROM turn
+  UNION ALL SELECT g.seq_id, turn.rn, CASE WHEN len(list_filter(taken, lambda x: abs(x - pos) < {WIDTH})) = 0 THEN list_append(taken, pos) ELSE taken END, len(list_filter(taken, lambda x: abs(x - pos) < {WIDTH})) = 0
+  FROM g JOIN turn ON turn.seq_id = g.seq_id AND turn.rn = g.rn + 1
+) SELECT motif_id, turn.seq_id, pos, comp, score FROM turn JOIN g ON g.seq_id = turn.seq_id AND g.rn = turn.rn WHERE took""")
 def non_overlap_greedy(spark, d):
-    """Sequential inside a sequence: rows only, invariants are tested."""
     found = pwm_scan_both_strands(spark, d)
     return scan.non_overlapping(found, {i + 1: WIDTH for i in range(len(WORDS))})
 
@@ -570,6 +665,11 @@ def fisher_pvalue(spark, d):
     return stats.fisher(occupied_counts(spark, d)).select("motif_id", "a", "b", F.round("log10_p", 4).alias("log10_p"))
 
 
+@query(f"WITH {TEST_SQL}, p AS (SELECT l.motif_id, least(0, (top + ln(sum(exp(l - top)))) / ln(10)) AS p FROM l JOIN m USING (motif_id) GROUP BY l.motif_id, top) SELECT motif_id, round(p, 4) + 0.0 AS log10_p FROM p WHERE p < log10({DEFAULT.insignificance}::DOUBLE)")
+def significant_motifs(spark, d):
+    return stats.drop_insignificant(stats.fisher(occupied_counts(spark, d))).select("motif_id", F.round("log10_p", 4).alias("log10_p"))
+
+
 # ---------------------------------------------------------------- report
 
 CONSENSUS_SQL = f"""{SEGMENTS_SQL}, best AS (SELECT motif_id, "offset", arg_min(base, (-freq, base)) AS base, max(freq) AS f FROM freqs GROUP BY ALL),
@@ -592,6 +692,24 @@ def dashed_string(spark, d):
     return strings.dashed(consensi(spark, d), segments).select("motif_id", "dashed")
 
 
+@query(f"""WITH {CONSENSUS_SQL}, ch AS (SELECT motif_id, length(consensus) AS n, i, CASE WHEN EXISTS (SELECT 1 FROM segs s WHERE s.motif_id = c.motif_id AND i BETWEEN s."start" + 1 AND s."end" - (s.motif_id % 2)) THEN substr(consensus, i, 1) ELSE '-' END AS c
+  FROM (SELECT *, unnest(range(1, length(consensus) + 1)) AS i FROM cons) c),
+isl AS (SELECT *, (c = '-') AS dash, i - row_number() OVER (PARTITION BY motif_id, (c = '-') ORDER BY i) AS g FROM ch),
+wide AS (SELECT *, count(*) OVER (PARTITION BY motif_id, dash, g) AS w, min(i) OVER (PARTITION BY motif_id, dash, g) AS a, max(i) OVER (PARTITION BY motif_id, dash, g) AS b FROM isl)
+SELECT motif_id, regexp_replace(string_agg(CASE WHEN NOT dash AND w <= 3 AND a > 1 AND b < n THEN '-' ELSE c END, '' ORDER BY i), '^[-.]+|[-.]+$', '', 'g') AS text FROM wide GROUP BY motif_id""")
+def cleaned_string(spark, d):
+    """Segments are cut a little narrower, so that there are dashes and islands."""
+    segments = matrices.high_segments(matrices.information(counts(spark, d))).select("motif_id", (F.col("start") + 1).alias("start"), (F.col("end") - F.col("motif_id") % 2).alias("end"))
+    return strings.dashed(consensi(spark, d), segments).select("motif_id", strings.cleaned(F.col("dashed")).alias("text"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS motif_id, length(p_name) AS len, p_partkey AS rank, p_retailprice * 1e-8::DOUBLE AS p_value FROM part)
+SELECT motif_id, row_number() OVER (ORDER BY p_value >= 1e-5::DOUBLE, rank)::INTEGER AS first, row_number() OVER (ORDER BY p_value >= 1e-5::DOUBLE, len DESC, p_value, motif_id)::INTEGER AS by_len FROM p""")
+def significance_order(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("motif_id"), F.length("p_name").alias("len"), F.col("p_partkey").alias("rank"), (F.col("p_retailprice") * 1e-8).alias("p_value"))
+    return p.select("motif_id", strings.significant_first(p).alias("first"), strings.by_length_and_p().alias("by_len"))
+
+
 @query("""SELECT a.n_name AS i, b.n_name AS j, round(CASE WHEN levenshtein(a.n_name, b.n_name) = 0 THEN 'inf'::DOUBLE ELSE least(length(a.n_name), length(b.n_name)) / levenshtein(a.n_name, b.n_name) END, 9)::DOUBLE AS sim FROM nation a JOIN nation b ON a.n_name < b.n_name""")
 def edit_similarity(spark, d):
     return strings.similarity(spark.read.parquet(f"{d}/nation.parquet").select("n_name"), "n_name", "n_name").select("i", "j", F.round("sim", 9).alias("sim"))
@@ -621,7 +739,10 @@ def transfac_lines(spark, d):
     return sinks.transfac_lines(counts(spark, d))
 
 
-@query()
+@query(f"""WITH {COUNTS_SQL}, n AS (SELECT motif_id, sum(cnt)::BIGINT AS n FROM counts WHERE "offset" = 1 GROUP BY motif_id)
+SELECT motif_id, ("offset" + 11)::INTEGER AS line_no, ' ' || string_agg(printf('%.6f', freq), ' ' ORDER BY base) AS line FROM freqs GROUP BY motif_id, "offset"
+UNION ALL SELECT motif_id, line_no, line FROM n, (VALUES (1, 'MEME version 4'), (2, ''), (3, 'ALPHABET= ACGT'), (4, ''), (5, 'strands: + -'), (6, ''), (7, 'Background letter frequencies'), (8, 'A 0.25 C 0.25 G 0.25 T 0.25'), (9, '')) v(line_no, line)
+UNION ALL SELECT motif_id, 10, 'MOTIF ' || motif_id || ' unspecified' FROM n UNION ALL SELECT motif_id, 11, 'letter-probability matrix: alength= 4 w= {WIDTH} nsites= ' || n || ' E= 0' FROM n""")
 def meme_lines(spark, d):
     return sinks.meme_lines(counts(spark, d))
 
@@ -632,6 +753,24 @@ def data_matrices(spark, d):
     return encode.data_matrices(seqs(spark, d))
 
 
+SPLIT_SQL = f"""{BASES_SQL}, shuffled AS (SELECT seq_id, string_agg(base, '' ORDER BY md5(seq_id::VARCHAR || ':' || pos::VARCHAR), pos) AS seq FROM bases GROUP BY seq_id),
+place AS (SELECT seq_id, seq, row_number() OVER (ORDER BY md5(seq_id::VARCHAR), seq_id) AS r, count(*) OVER () AS n FROM sequences)"""
+
+
+@query(f"""WITH {SPLIT_SQL}, s AS (SELECT seq_id, seq, CASE WHEN r <= n // 10 THEN 'test' ELSE 'train' END AS split FROM place)
+SELECT seq_id, split, 'real' AS kind, seq FROM s UNION ALL SELECT s.seq_id, split, 'shuffled', shuffled.seq FROM s JOIN shuffled USING (seq_id) WHERE split = 'train'""")
+def data_matrices_train(spark, d):
+    """All but the held-out half's background, which is a random walk."""
+    return encode.data_matrices(seqs(spark, d)).filter("split = 'train' OR kind = 'real'")
+
+
+@query(f"""WITH {SPLIT_SQL}, s AS (SELECT seq_id, seq, (seq_id % 3)::INTEGER AS label, CASE WHEN r <= round_even(n * 0.85, 0) THEN 'train' ELSE 'test' END AS split FROM place)
+SELECT seq_id, split, 'real' AS kind, seq, label FROM s UNION ALL SELECT s.seq_id, split, 'shuffled', shuffled.seq, label FROM s JOIN shuffled USING (seq_id)""")
+def labelled_matrices(spark, d):
+    """Letters are shuffled in both parts here, so that SQL expresses it; the operator's default walks for the test part."""
+    return encode.labelled_matrices(seqs(spark, d).withColumn("label", (F.col("seq_id") % 3).cast("int")), k_test=1)
+
+
 @query()
 def kmer_encoder(spark, d):
     from ..operators.encoder import encode as run
@@ -648,7 +787,14 @@ def learned_encoder(spark, d):
     return train(own).encode(own).select("seq", "position", "fil", "mag")
 
 
+@query()
+def trinucleotide_shuffle(spark, d):
+    """Random by nature: the invariant (equal counts of three letters) is tested."""
+    return encode.klet_shuffled(seqs(spark, d), 3)
+
+
 @query()
 def discover_report(spark, d):
-    """The whole pipeline; iterative, so rows only.  A planted motif is recovered in the tests."""
-    return discover(seqs(spark, d), LENGTH).report
+    """The whole pipeline, with and without overlaps; iterative, so rows only.  A planted motif is recovered in the tests."""
+    found = discover(seqs(spark, d), LENGTH)
+    return found.report.withColumn("overlaps", F.lit(True)).unionByName(found.report_no_overlap.withColumn("overlaps", F.lit(False)))

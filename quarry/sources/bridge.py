@@ -12,7 +12,8 @@ LENGTH, PER_DOCUMENT = 60, 1 << 20
 def sequences(spark: SparkSession, sf_dir: str, length: int = LENGTH) -> DataFrame:
     """(seq_id, seq): the letters A, C, G, T of each whole text, cut into consecutive sequences of equal length; a rest that is
     shorter is dropped, as sequences have one length."""
-    letters = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("s"))
+    # an exploded array of one is evaluated once, whatever filters on it are pushed down
+    letters = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.array(F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")))).alias("s"))
     cut = letters.filter(F.length("s") >= length).select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.expr(f"length(s) div {length} - 1").cast("int"))).alias("i"))
     return cut.select((F.col("doc_id") * PER_DOCUMENT + F.col("i")).alias("seq_id"), F.substring("s", F.col("i") * length + 1, F.lit(length)).alias("seq"))
 

@@ -18,8 +18,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", "block", "offset", F.trim(lines[0]).alias("header"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("body"), F.trim(F.try_element_at(lines, F.lit(2))).alias("first_line"))
 
 
-def read_fasta(spark: SparkSession, path: str, max_entries: int | None = 100_000) -> DataFrame:
-    """(seq_id, header, seq) in file order: records with N are dropped, the first ``max_entries`` are kept, then those whose length is
+def read_fasta(spark: SparkSession, path: str, max_entries: int | None = None) -> DataFrame:
+    """(seq_id, header, seq) in file order: records with N are dropped, the first ``max_entries`` are kept if a number is given, then those whose length is
     the first one's; letters become upper case.  Without a cap nothing is sorted and ids only increase."""
     clean = records(spark, path).filter(~F.col("body").contains("N") & ~F.col("body").contains("n") & (F.length("body") > 0))
     if max_entries is not None:
@@ -38,10 +38,12 @@ def read_regression(spark: SparkSession, path: str) -> DataFrame:
     return records(spark, path).select(F.upper("first_line").alias("seq"), F.expr("try_cast(header AS double)").alias("label")).filter("label IS NOT NULL")
 
 
-def read_classification(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, label int, onehot array<int>): a place of ``onehot`` for each label, in order.  The labels are gathered."""
+def read_classification(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
+    """(seq, label int, onehot array<int>): a place of ``onehot`` for each label, in order.  At most ``most`` labels are gathered."""
     rows = records(spark, path).select(F.upper("first_line").alias("seq"), F.expr("try_cast(header AS int)").alias("label")).filter("label IS NOT NULL")
-    labels = sorted(r.label for r in rows.select("label").distinct().collect())
+    labels = sorted(r.label for r in rows.select("label").distinct().limit(most + 1).collect())
+    if len(labels) > most:
+        raise ValueError(f"more than {most} labels")
     return rows.withColumn("onehot", F.transform(F.array(*[F.lit(x) for x in labels]), lambda x: (x == F.col("label")).cast("int")))
 
 

@@ -8,9 +8,10 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import shown_p
 from ..operators.matrices import frequency_matrix
 
-FOLDERS = ("logos", "logos_no_overlap", "pictures", "pictures_no_overlap")
+FOLDERS = ("matrices", "matrices_no_overlap")
 
 
 def folders(target: str) -> list[str]:
@@ -58,9 +59,11 @@ def write_matrices(counts: DataFrame, target: str) -> None:
         lines.repartition("motif_id").sortWithinPartitions("motif_id", "line_no").select("motif_id", "line").write.partitionBy("motif_id").mode("overwrite").text(f"{target}/{kind}")
 
 
-def write_html(report: DataFrame, path: str, sequences: int) -> None:
-    """One table of ``report(label, p_value, consensus, counts)``, a row a motif."""
-    rows = "\n".join(f"<tr><td>{html.escape(str(r.label))}</td><td>{r.p_value}</td><td><code>{html.escape(r.consensus)}</code></td><td>{r.counts}</td></tr>" for r in report.orderBy("rank").collect())
-    page = f"<!doctype html><meta charset=utf-8><title>Patterns</title><p>Sequences: {sequences}</p><table><tr><th>Label</th><th>p</th><th>Consensus</th><th>Count</th></tr>\n{rows}\n</table>\n"
+def write_html(report: DataFrame, path: str, sequences: int, overlapping: bool = True, alpha: float = 1e-5) -> None:
+    """One table of ``report(label, p_value, consensus, counts)``, a row a motif; ``overlapping`` says how its hits were counted."""
+    shown = report.withColumn("shown", shown_p(F.col("p_value"), F.col("p_value") < alpha))
+    rows = "\n".join(f"<tr><td>{html.escape(str(r.label))}</td><td>{r.shown}</td><td><code>{html.escape(r.consensus)}</code></td><td>{r.counts}</td></tr>" for r in shown.orderBy("rank").collect())
+    kind = "" if overlapping else " (without overlaps)"
+    page = f"<!doctype html><meta charset=utf-8><title>Patterns{kind}</title><p>Sequences: {sequences}</p><table><tr><th>Label</th><th>p</th><th>Consensus</th><th>Count</th></tr>\n{rows}\n</table>\n"
     with open(path, "w", encoding="utf-8") as f:
         f.write(page)

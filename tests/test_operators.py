@@ -190,6 +190,183 @@ def test_non_overlap(spark):
     assert kept == {(1, 5), (2, 12)}
 
 
+def test_non_overlap_wrapper(spark):
+    """Both sides by brute force; motifs without a real hit left go."""
+    rng = random.Random(2)
+    lengths = {1: 4, 2: 7, 3: 5}
+
+    def some(n, motifs):
+        return [(rng.choice(motifs), rng.randrange(5), rng.randrange(1, 60), rng.random() < 0.5, float(rng.randrange(40))) for _ in range(n)]
+
+    def brute(rows):
+        out, taken = [], {}
+        for m, q, p, c, x in sorted(rows, key=lambda r: (-r[4], r[0], r[2], r[3])):
+            own = set(range(p, p + lengths[m]))
+            if not own & taken.setdefault(q, set()):
+                taken[q] |= own
+                out.append((m, q, p, c, x))
+        return sorted(out)
+
+    schema = "motif_id long, seq_id long, pos int, comp boolean, score double"
+    real, fake = list(set(some(200, [1, 2]))), list(set(some(200, [1, 2, 3])))
+    a, b = scan.non_overlap_scan(spark.createDataFrame(real, schema), spark.createDataFrame(fake, schema), lengths)
+    assert sorted(map(tuple, a.collect())) == brute(real)
+    assert sorted(map(tuple, b.collect())) == [r for r in brute(fake) if r[0] != 3]
+
+
+def test_masks_and_lengths(spark):
+    c = matrices.count_matrix(spark.createDataFrame([(1, "ACG"), (2, "AC"), (3, "ACGTA")], "motif_id long, word string"))
+    ids = lambda df: {r.motif_id for r in df.collect()}
+    inside, others = matrices.by_length(c, 3, 4)
+    assert ids(inside) == {1} and ids(others) == {2, 3}
+    assert ids(matrices.kept(c, spark.createDataFrame([(1, True), (2, False)], "motif_id long, keep boolean"))) == {1}
+    assert ids(matrices.without(c, spark.createDataFrame([(1,), (1,)], "motif_id long"))) == {2, 3}
+
+
+def test_shuffles_of_any_k(spark):
+    rng = random.Random(9)
+    q = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(60)) if i > 2 else "ACG"[:i]) for i in range(30)], "seq_id long, seq string")
+    own = {r.seq_id: r.seq for r in q.collect()}
+    for k in (1, 2, 3, 4):
+        got = {r.seq_id: r.seq for r in encode.klet_shuffled(q, k).collect()}
+        cut = lambda s, k=k: sorted(s[i : i + k] for i in range(len(s) - k + 1))
+        assert all(cut(got[i]) == cut(own[i]) and len(got[i]) == len(own[i]) for i in own)
+        assert sum(got[i] != own[i] for i in own) > 15
+        assert got == {r.seq_id: r.seq for r in encode.klet_shuffled(q.repartition(5), k).collect()}
+
+
+def test_labelled_matrices(spark):
+    rng = random.Random(9)
+    q = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(40)), i % 3) for i in range(40)], "seq_id long, seq string, label int")
+    rows = encode.labelled_matrices(q).collect()
+    assert len(rows) == 80 and {(r.split, r.kind): sum((x.split, x.kind) == (r.split, r.kind) for x in rows) for r in rows} == {("train", "real"): 34, ("train", "shuffled"): 34, ("test", "real"): 6, ("test", "shuffled"): 6}
+    real = {r.seq_id: r for r in rows if r.kind == "real"}
+    pairs = lambda s: sorted(s[i : i + 2] for i in range(len(s) - 1))
+    for r in rows:
+        assert r.label == r.seq_id % 3 and r.split == real[r.seq_id].split and sorted(r.seq) == sorted(real[r.seq_id].seq)
+        assert r.split == "train" or pairs(r.seq) == pairs(real[r.seq_id].seq)
+
+
+def test_hits_moved_for_a_merge(spark):
+    """Widening as the hit's strand sees it, and motifs taken in on the other strand, against letters."""
+    seq = "ACGTTGCAAGGCTTACCGAT"
+    q = spark.createDataFrame([(1, seq)], "seq_id long, seq string")
+    h = hits(spark, [(1, 1, 5, False, 4), (1, 1, 12, True, 4), (1, 1, 2, False, 4), (2, 1, 9, True, 5)])
+    got = {(r.pos, r.len, r.comp) for r in merge.enlarged(h.filter("motif_id = 1"), 2, 1, False, len(seq)).collect()}
+    assert got == {(3, 7, False), (11, 7, True)}
+    flipped = {(r.pos, r.len, r.comp) for r in merge.enlarged(h.filter("motif_id = 1"), 2, 1, True, len(seq)).collect()}
+    assert flipped == {(3, 7, True), (11, 7, False)}
+    into = merge.relabelled(h, {1: (1, False), 2: (1, True)})
+    assert {(r.motif_id, r.pos, r.comp) for r in into.collect()} == {(1, 5, False), (1, 12, True), (1, 2, False), (1, 9, False)}
+    words = {(r.pos, r.word) for r in matrices.windows(into, q).collect()}
+    assert (9, seq[8:13]) in words
+
+
+def test_equal_length_merge_against_pairs(spark):
+    """What is merged is what greedy comparison of one pair after the other gives."""
+    rng = np.random.default_rng(4)
+    base = [np.eye(4)[rng.integers(0, 4, 6)] * 40 for _ in range(5)]
+    mats = {}
+    for i in range(30):
+        c = base[i % 5] + rng.integers(0, 3, (6, 4))
+        mats[i + 1] = c[::-1, ::-1] if i % 4 == 0 else c
+    live, into = {m: c.copy() for m, c in mats.items()}, {m: m for m in mats}
+    changed = True
+    while changed:
+        changed = False
+        order = sorted(live, key=lambda m: (-live[m].sum(), m))
+        for x, i in enumerate(order):
+            for j in order[x + 1 :]:
+                if i in live and j in live:
+                    forward, reverse = merge.mean_ratio(live[i], live[j]), merge.mean_ratio(live[i], live[j][::-1, ::-1])
+                    if max(forward, reverse) > DEFAULT.allr:
+                        live[i] = live[i] + (live[j] if forward >= reverse else live[j][::-1, ::-1])
+                        del live[j]
+                        into = {m: i if r == j else r for m, r in into.items()}
+                        changed = True
+    assert {m: r for m, (r, _) in merge.merge_equal_lengths(mats).items()} == into and len(set(into.values())) < 30
+
+
+def test_redundant_motifs_become_one(spark):
+    """A motif whose hits are another's, three columns aside, joins it; one elsewhere stays."""
+    rng = random.Random(6)
+    word = "ACGTTGCAAGTTCAGACCAT"
+    texts = []
+    for _ in range(80):
+        t = [rng.choice("ACGT") for _ in range(60)]
+        t[10:30] = word
+        t[40:46] = "GGGCCC"
+        texts.append("".join(t))
+    q = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    h = hits(spark, [(1, i, 10, False, 21) for i in range(80)] + [(2, i, 11, False, 20) for i in range(80)] + [(3, i, 41, False, 6) for i in range(80)])
+    left = merge.remove_redundancy(h, q, 60)
+    assert {r.motif_id for r in left.collect()} == {2, 3}
+    assert {(r.pos, r.len) for r in left.filter("motif_id = 2").collect()} == {(11, 20)}
+
+
+def test_fallback_takes_the_whole_base_set(spark):
+    """No level enriches anything: every base pattern is mined, however many there are."""
+    from dataclasses import replace
+
+    from quarry.plans import discover as plan
+
+    rows = [(s, 4 * k + 1, k, 1.0 + (k + s) % 3, None) for s in range(60) for k in range(6)]
+    code = spark.createDataFrame(rows, "seq long, position int, fil int, mag double, tie string")
+    config = replace(DEFAULT, max_keep=3, max_trigger=3, support_from=10**6, support_to=10**6)
+    low = patterns.quantiles(code, [config.base_quantile])[0]
+    want = patterns.base_patterns(patterns.triplets(code, config.height), low).count()
+    assert want > 3
+    import unittest.mock as mock
+
+    none = patterns.merged_levels(code, config.levels, config.base_quantile, config.height, trigger=3, keep=3).limit(0)
+    with mock.patch.object(patterns, "merged_levels", lambda *a, **k: none):
+        assert plan.mined(code, config).select("motif_id").distinct().count() == want
+        with mock.patch.object(plan, "MOST_PATTERNS", 2), pytest.raises(ValueError, match="more than 2 patterns"):
+            plan.mined(code, config)
+
+
+def test_shown_p(spark):
+    values = [0.0, 0.5, 0.0123456, 0.99999, 2.34567e-9, 9.999e-5, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "p double")
+    got = [r.s for r in df.select(strings.shown_p(F.col("p"), F.lit(True)).alias("s")).collect()]
+    assert got == ["0.0", "0.5", "0.0123", "1", "2.34e-9", "9.99e-5", "1"]
+    assert df.select(strings.shown_p(F.col("p"), F.lit(False)).alias("s")).first().s == '<p style="color:grey">0.0</p>'
+
+
+def test_tail_of_many_terms():
+    """Summed block by block, against all terms at once; a tail of a billion background places is cut where it adds nothing."""
+    from math import exp, lgamma, log
+
+    def all_terms(a, b, total):
+        k = a + b
+        logs = [2 * lgamma(total + 1) - lgamma(x + 1) - lgamma(total - x + 1) - lgamma(k - x + 1) - lgamma(total - k + x + 1) - lgamma(2 * total + 1) + lgamma(k + 1) + lgamma(2 * total - k + 1) for x in range(a, min(k, total) + 1)]
+        top = max(logs)
+        return min(0.0, (top + log(sum(exp(x - top) for x in logs))) / log(10))
+
+    for a, b, total in [(30_000, 29_000, 100_000), (100, 40_000, 100_000), (25_000, 24_900, 60_000), (5, 3, 20), (20, 20, 20)]:
+        assert abs(stats.log10_right_tail(a, b, total) - all_terms(a, b, total)) < 1e-4
+    import time
+
+    began = time.perf_counter()
+    assert stats.log10_right_tail(600_000_000, 500_000_000, 10**10) < -10**6
+    assert time.perf_counter() - began < 5
+
+
+def test_tail_probability_is_the_distribution_s():
+    rng = np.random.default_rng(3)
+    w = np.round(rng.normal(size=(5, 4)), 1)
+    words = np.array([sum(np.floor(w[i, c] / 0.1) for i, c in enumerate(x)) for x in np.ndindex(4, 4, 4, 4, 4)])
+    for score in (-1.0, 0.0, 2.5):
+        assert abs(stats.tail_probability(w, score, 0.1) - (words * 0.1 >= score).mean()) < 1e-9
+
+
+def test_classes_have_a_bound(spark, tmp_path):
+    p = tmp_path / "c.fa"
+    p.write_text(">7\nAAAA\n>3\nCCCC\n>4\nGGGG\n")
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        fasta.read_classification(spark, str(p), most=2)
+
+
 def test_merge_and_trim(spark):
     c = np.array([[20, 0, 0, 0], [0, 20, 0, 0], [0, 0, 20, 0], [20, 0, 0, 0]], float)
     into = merge.merge_equal_lengths({1: c, 2: c * 0.5, 3: c[::-1, ::-1], 4: c[:, ::-1][[1, 0, 3, 2]]})
@@ -272,7 +449,6 @@ def test_strings(spark):
     assert strings.similarity(s, "n", "n").first().sim == 2
     d = spark.createDataFrame([("--ACG-A-TT-ACGT--.",)], "d string").select(strings.cleaned(F.col("d")).alias("d")).first().d
     assert d == "ACGT"
-    assert strings.rounded_p(0.01234) == "0.0123" and strings.rounded_p(1.23456e-12) == "1.23e-12" and "grey" in strings.rounded_p(0.5, False)
 
 
 def test_planted_motif(spark, tmp_path):

@@ -18,8 +18,12 @@ together that don't agree in nearly everything.
 5. In each canopy a tree again, and pairs that survive and aren't yet connected are verified on the sets.
 6. Components of the verified links.
 
-Groups above ``BLOCK`` members are cut into blocks and each pair of blocks is a task of its own, so a hot group is neither one
-task nor dropped.  Filters of shared hashes are bitmaps of fixed size.  Equal sets collapse to one before anything is paired.
+A group above ``BLOCK`` members is a tree over many tasks (``hot_links``).  Its members are first held against a few pivots, one task for
+each block of them; those near one pivot are linked through it and need no comparison with each other.  What is near one pivot, or
+near none, is cut into nodes of a block, whose upper corners are known to every block, and a member goes to those nodes only which
+its bound reaches.  So a group of near copies costs a few copies of each member, whatever its size, and no pair is lost.
+
+Filters of shared hashes are sized by their count.  Equal sets collapse to one before anything is paired.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its own component; fewer words than ``k`` are one
 shingle; equal sets link; repeated rows are linked with each other; null keys take part and are passed over when a component's
@@ -39,13 +43,16 @@ from pyspark.sql import functions as F
 from . import scan
 from .common import documents, dropped, masked, partitions, written
 from .components import components
+from .filters import Filter
 
 #: Prefix count from which a shingle is frequent, and bytes of the table of frequency classes.
 FREQUENT, SLOTS = 4, 1 << 22
-#: Bits of the filters that spare rows the shuffle.
-FILTER_BITS = 1 << 26
-#: Members of a block of a large group, and bytes of sets in one.
-BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Members of a block of a large group, and bytes of sets in one; pivots of a large group.
+BLOCK, BLOCK_BYTES, PIVOTS = 2048, 16 << 20, 16
+#: Occurrences from which a shingle goes to the trees without being looked at, and how many such shingles there are at most.
+HOT_ROWS, HOT_SHINGLES = 4096, 1_000_000
+#: Coordinates of a node's upper corner.
+CORNER = 64
 LEAF, FAN = 16, 8
 TABLE = "n bigint, sid binary, vec binary, prefix array<bigint>"
 
@@ -169,8 +176,11 @@ class RTree:
 class Forest:
     """Union-find over 0..n-1 that keeps the links which joined two trees."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, label: list | None = None):
         self.up = np.arange(n)
+        if label is not None:
+            first: dict = {}
+            self.up = np.array([i if x is None else first.setdefault(x, i) for i, x in enumerate(label)], np.int64)
         self.links: list[tuple[int, int]] = []
 
     def root(self, i: int) -> int:
@@ -192,9 +202,12 @@ class Forest:
         return self.up[i] != self.up[j]
 
 
-def linked(vecs: list[bytes], sizes: np.ndarray, percent: int, check: Callable[[int, int], bool] | None = None, block: int = 64) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that the bound, and ``check`` if given, let through."""
-    forest = Forest(len(vecs))
+def linked(vecs: list[bytes], sizes: np.ndarray, percent: int, check: Callable[[int, int], bool] | None = None, block: int = 64, resident: np.ndarray | None = None, label: list | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that the bound, and ``check`` if given, let through.
+
+    With ``resident``, pairs have a resident; members of one ``label`` (not None) are linked already.
+    """
+    forest = Forest(len(vecs), label)
     kinds = np.array([groups_of(int(n)) for n in sizes])
     for g in np.unique(kinds).tolist():
         own = np.flatnonzero(kinds == g)
@@ -208,6 +221,8 @@ def linked(vecs: list[bytes], sizes: np.ndarray, percent: int, check: Callable[[
             q, p = tree.query(pts[rows], sizes[both[rows]], percent)
             i, j = both[rows[q]], both[p]
             new = (i < j) | (kinds[j] != g)
+            if resident is not None:
+                new &= resident[i] | resident[j]
             i, j = i[new], j[new]
             new = forest.apart(i, j) if len(i) else np.zeros(0, bool)
             for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
@@ -249,41 +264,197 @@ def ordered_prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarr
     return s[np.argsort(own, kind="stable")[:p]] if own.any() else s[:p]
 
 
-def bitmap(hashes: DataFrame, h: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bits set at the hashes; a fixed size, whatever the table's."""
-    at = F.pmod(F.col(h), F.lit(bits))
-    words = hashes.select(F.shiftright(at, 5).alias("w"), (at % 32).cast("int").alias("s")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("x")).toArrow()
-    out = np.zeros(bits // 32, np.uint32)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
-    return out
-
-
-def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h.view(np.uint64) & np.uint64(len(bits) * 32 - 1)).astype(np.int64)
-    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
-
-
-def _four(c: Column) -> Column:
-    """Four bytes of an id as a number."""
-    return F.conv(F.hex(F.substring(c, 5, 4)), 16, 10).cast("long")
+def _number(c: Column) -> Column:
+    """Seven bytes of an id as a number."""
+    return F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long")
 
 
 def sid_of(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def blocked(rows: DataFrame, group: Column, weight: Column) -> DataFrame:
-    """Adds ``key``: the group, and for a group above a block the pairs of its blocks, to each of which a row goes that is in it."""
-    rows = rows.withColumn("_g", group)
-    sizes = rows.groupBy("_g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("int").alias("_nb")).filter("_nb > 1")
-    sizes = sizes.withColumnRenamed("_g", "_h")
+ROW = "g binary, sid binary, n bigint, vec binary, body binary"
+
+
+def hot_and_others(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (ROW) of groups above a block, with ``nb``, how many blocks they have, and ``m``, their number; and all other rows."""
+    sizes = rows.groupBy(F.col("g").alias("_h")).agg(F.count("*").alias("m"), F.sum(F.octet_length("body")).alias("_bytes"))
+    sizes = sizes.withColumn("nb", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.coalesce("_bytes", F.lit(0)) / BLOCK_BYTES)).cast("int")).filter("nb > 1").drop("_bytes")
     # each row here stands for more rows or bytes than a block has; beyond a million it is joined by a shuffle
     sizes = written(sizes, "jaccard-large")
     side = F.broadcast(sizes) if sizes.count() < 1_000_000 else sizes
-    rows = rows.join(side, F.col("_g") == F.col("_h"), "left")
-    own = F.pmod(F.xxhash64("sid"), F.coalesce("_nb", F.lit(1))).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    return rows.withColumn("_p", F.explode(pairs)).withColumn("key", F.xxhash64("_g", "_p.i", "_p.j")).drop("_h", "_nb", "_p", "_g")
+    return rows.join(side, F.col("g") == F.col("_h")).drop("_h"), rows.join(side, F.col("g") == F.col("_h"), "left_anti")
+
+
+def by_key(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over batches whose rows come key by key, in order of ``flag`` inside a key."""
+    n = partitions(rows.sparkSession)
+    return rows.repartition(n, "key").sortWithinPartitions("key", "flag", "sid").mapInArrow(run, schema)
+
+
+def batches_of(out: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+
+def similar(x: tuple, y: tuple, percent: int) -> bool:
+    """Whether (n, vec, body) of two sets pass the bound and, where bodies are given, the comparison of the sets."""
+    n, m = x[0], y[0]
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    g = groups_of(min(n, m))
+    a, b = points([x[1]], np.array([n]), g)[0], points([y[1]], np.array([m]), g)[0]
+    if np.minimum(a, b).sum(dtype=np.int64) < least_overlap(n, m, percent):
+        return False
+    return x[2] is None or agree(np.frombuffer(x[2], np.uint64), np.frombuffer(y[2], np.uint64), percent)
+
+
+def agree(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def hot_links(hot: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of similar members of each large group; ``hot`` is ROW with ``m`` and ``nb``."""
+    own = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
+    block = F.xxhash64("g", own)
+    none = F.lit(None).cast("binary")
+    members = hot.select(block.alias("key"), F.lit(1).alias("flag"), "g", "nb", "sid", "n", "vec", "body")
+    # about PIVOTS of a group, by a hash, known to each of its blocks
+    chosen = hot.filter(F.pmod(F.xxhash64("sid", F.lit("pivot")), F.ceil(F.col("m") / PIVOTS)) == 0).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pivots = chosen.select(F.xxhash64("g", "_b").alias("key"), F.lit(0).alias("flag"), "g", "nb", "sid", "n", "vec", "body")
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, out = None, [], []
+        types = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        for b in batches:
+            for key, flag, g, nb, sid, n, vec, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != last:
+                    last, held = key, []
+                if not flag:
+                    held.append((sid, (n, vec, body)))
+                else:
+                    label = next((p for p, x in held if p == sid or similar((n, vec, body), x, percent)), None)
+                    out.append((g, nb, sid, n, vec, body, label))
+            if out:
+                yield batches_of(out, ["g", "nb", "sid", "n", "vec", "body", "label"], types)
+                out = []
+
+    labelled = written(by_key(members.unionByName(pivots), labels, "g binary, nb int, sid binary, n bigint, vec binary, body binary, label binary"), "jaccard-labelled")
+    # nodes of a block of members with one label; not larger in bytes than a block on average
+    counts = labelled.groupBy("g", "label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)) / BLOCK_BYTES)).cast("int").alias("_of"))
+    counts = counts.withColumnsRenamed({"g": "_g", "label": "_l"})
+    part = F.pmod(F.xxhash64("sid", F.lit("node")), F.col("_of"))
+    noded = written(labelled.join(counts, (F.col("g") == F.col("_g")) & F.col("label").eqNullSafe(F.col("_l"))).withColumn("node", F.xxhash64("g", F.coalesce("label", F.lit(b"")), part)).drop("_g", "_l", "_of"), "jaccard-nodes")
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, out = None, None, []
+        for b in batches:
+            for key, _, g, nb, _, n, vec, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = points([vec], np.array([n]), CORNER)[0].astype(np.uint32)
+                if key != last:
+                    if state:
+                        out.append((last, *state[:3], state[3].tobytes(), *state[4:]))
+                    last, state = key, [g, nb, label, x, n, n]
+                else:
+                    state[3], state[4], state[5] = np.maximum(state[3], x), min(state[4], n), max(state[5], n)
+        if state:
+            out.append((last, *state[:3], state[3].tobytes(), *state[4:]))
+        if out:
+            yield batches_of(out, ["node", "g", "nb", "label", "corner", "lo", "hi"], [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()])
+
+    nodes = by_key(noded.select(F.col("node").alias("key"), F.lit(0).alias("flag"), "g", "nb", "sid", "n", "vec", "label"), corners, "node bigint, g binary, nb int, label binary, corner binary, lo bigint, hi bigint")
+    # every block of a group learns its nodes' corners: one small row for a block of members and a block that asks
+    known = nodes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(F.xxhash64("g", "_b").alias("key"), F.lit(0).alias("flag"), none.alias("sid"), F.col("lo").alias("n"), "hi", F.col("corner").alias("vec"), "label", "node")
+    asking = noded.select(block.alias("key"), F.lit(1).alias("flag"), "sid", "n", F.lit(0).cast("long").alias("hi"), "vec", "label", "node")
+
+    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, ready, out = None, [], None, []
+        for b in batches:
+            for key, flag, sid, n, hi, vec, label, node in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != last:
+                    last, held, ready = key, [], None
+                if not flag:
+                    held.append((node, n, hi, vec, label))
+                    continue
+                if ready is None:
+                    ids: dict = {}
+                    ready = (np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.array([np.frombuffer(h[3], np.uint32) for h in held]), ids, np.array([-1 if h[4] is None else ids.setdefault(h[4], len(ids)) for h in held]))
+                to, lo, most, corner, ids, of = ready
+                x = points([vec], np.array([n]), CORNER)[0]
+                least = -(-percent * n // 100)
+                fits = (to > node) & (most >= least) & (100 * lo <= 100 * (100 * n // percent)) & ((of < 0) | (of != ids.get(label, -2)))
+                fits &= np.minimum(corner, x).sum(1, dtype=np.int64) >= least_overlap(n, np.maximum(lo, least), percent)
+                out += [(sid, int(t)) for t in to[fits].tolist()]
+            if len(out) > 4096:
+                yield batches_of(out, ["sid", "to"], [pa.binary(), pa.int64()])
+                out = []
+        if out:
+            yield batches_of(out, ["sid", "to"], [pa.binary(), pa.int64()])
+
+    visits = by_key(known.unionByName(asking), routes, "sid binary, to bigint").withColumnRenamed("sid", "_s").distinct()
+    columns = ["sid", "n", "vec", "body", "label"]
+    # a set that is in several groups has one body; it visits a node once
+    once = noded.select(*columns).withColumnRenamed("label", "_label").groupBy("sid").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("body").alias("body"))
+    visitors = visits.join(once, F.col("_s") == F.col("sid")).select(F.col("to").alias("key"), F.lit(1).alias("flag"), "sid", "n", "vec", "body", none.alias("label"))
+    residents = noded.select(F.col("node").alias("key"), F.lit(0).alias("flag"), *columns)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own, guests, met, out = None, [], [], False, []
+
+        def close(end: bool) -> None:
+            """Residents among each other, once, and the guests so far against them."""
+            nonlocal guests, met
+            # residents of a label are linked through their pivot
+            if own and (guests or (end and not met and own[0][4] is None)):
+                every = own + guests
+                sets = [np.frombuffer(x[3], np.uint64) if x[3] is not None else None for x in every]
+                check = None if sets[0] is None else lambda i, j: agree(sets[i], sets[j], percent)
+                links = linked([x[2] for x in every], np.array([x[1] for x in every], np.int64), percent, check, 64, np.arange(len(every)) < len(own), [x[4] for x in every])
+                out.extend((every[i][0], every[j][0]) for i, j in links)
+                met = True
+            guests = []
+
+        for b in batches:
+            for key, flag, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != last:
+                    close(True)
+                    last, own, guests, met = key, [], [], False
+                if not flag:
+                    own.append(row)
+                else:
+                    guests.append(row)
+                    if len(guests) >= BLOCK or sum(map(len, (x[3] or b"" for x in guests[-1:]))) * len(guests) > BLOCK_BYTES:
+                        close(False)
+            if len(out) > 4096:
+                yield batches_of(out, ["a", "b"], [pa.binary(), pa.binary()])
+                out = []
+        close(True)
+        if out:
+            yield batches_of(out, ["a", "b"], [pa.binary(), pa.binary()])
+
+    pivoted = noded.filter(F.col("label").isNotNull() & (F.col("label") != F.col("sid"))).select(F.col("sid").alias("a"), F.col("label").alias("b"))
+    return pivoted.unionByName(by_key(residents.unionByName(visitors), compared, "a binary, b binary"))
+
+
+def group_links(rows: DataFrame, percent: int, label: str) -> DataFrame:
+    """Links (a, b) of similar members of all groups of ``rows`` (ROW), written."""
+    rows = written(rows, f"jaccard-{label}")
+    hot, others = hot_and_others(rows)
+
+    def near(held):
+        _, sids, ns, vecs, bodies = held
+        sets = [None if b is None else np.frombuffer(b, np.uint64) for b in bodies]
+        check = None if sets[0] is None else lambda i, j: agree(sets[i], sets[j], percent)
+        return [(sids[i], sids[j]) for i, j in linked(vecs, np.array(ns, np.int64), percent, check)]
+
+    links = grouped(others.withColumn("key", F.xxhash64("g")), ["g", "sid", "n", "vec", "body"], near)
+    if not hot.isEmpty():
+        links = links.unionByName(hot_links(hot, percent))
+    out = written(links, f"jaccard-{label}-links")
+    dropped(rows)
+    return out
 
 
 def grouped(rows: DataFrame, columns: list[str], links: Callable[[list[list]], list[tuple[bytes, bytes]]]) -> DataFrame:
@@ -393,38 +564,40 @@ def linked_sets(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text
                 )
 
     t = written(docs.select(f"`{key}`", f"`{text}`").mapInArrow(table, f"`{key}` {docs.schema[key].dataType.simpleString()}, {TABLE}"), "jaccard-sets")
-    shared = t.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    bits = spark.sparkContext.broadcast(bitmap(shared, "h"))
+    shared = written(t.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "jaccard-shared")
+    repeated = Filter.of(shared, "h")
+    # a shingle of very many rows is not brought together to be counted; at most HOT_SHINGLES exceed that share of all
+    total = shared.agg(F.sum("c")).first()[0] or 0
+    hot = shared.filter(F.col("c") > max(HOT_ROWS, total // HOT_SHINGLES)).select(F.col("h").alias("_hot"))
+    hot = F.broadcast(written(hot, "jaccard-hot"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prefix = b.column(2)
             flat = prefix.flatten().to_numpy()
             owner = np.repeat(np.arange(b.num_rows), prefix.value_lengths().fill_null(0).to_numpy())
-            keep = in_bitmap(bits.value, flat) if len(flat) else np.zeros(0, bool)
+            keep = repeated.passes(flat) if len(flat) else np.zeros(0, bool)
             flat, owner = flat[keep], pa.array(owner[keep])
             for at in range(0, len(flat), 1 << 15):
                 own = owner.slice(at, 1 << 15)
                 yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 15)]), b.column(0).take(own), b.column(1).take(own)], ["h", "n", "sid"])
 
     rows = t.select("n", "sid", "prefix").mapInArrow(candidates, "h bigint, n bigint, sid binary").distinct()
-    met = written(small_and_large(rows, percent), "jaccard-met")
+    known = rows.join(hot, F.col("h") == F.col("_hot"), "left")
+    several = known.filter("_hot is not null").select("h", F.col("sid").alias("a"), F.lit(None).cast("binary").alias("b"))
+    met = written(small_and_large(known.filter("_hot is null"), percent).unionByName(several), "jaccard-met")
     vectors = t.filter(F.col("sid").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
     vectors = written(vectors, "jaccard-vectors")
 
-    def near(held):
-        sids, ns, vecs = held
-        return [(sids[i], sids[j]) for i, j in linked(vecs, np.array(ns, np.int64), percent)]
-
     members = met.filter("b is null").select("h", F.col("a").alias("sid")).join(vectors, "sid")
-    trees = grouped(blocked(members, F.col("h"), F.lit(0)), ["sid", "n", "vec"], near)
+    trees = group_links(members.select(F.hex("h").cast("binary").alias("g"), "sid", "n", "vec", F.lit(None).cast("binary").alias("body")), percent, "trees")
     pairs = met.filter("b is not null").select("a", "b").distinct()
     for side in "ab":
         pairs = pairs.join(vectors.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("vec").alias(f"v_{side}")), side)
     maybe = trees.unionByName(pairs.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(_leaf(percent), "a binary, b binary"))
     canopies = written(components(maybe), "jaccard-canopies")
-    dropped(met, vectors)
-    inside = spark.sparkContext.broadcast(bitmap(canopies.select(_four(F.col("node")).alias("h")), "h", 1 << 25))
+    dropped(met, vectors, trees, shared)
+    inside = Filter.of(written(canopies.select(_number(F.col("node")).alias("h")), "jaccard-inside"), "h")
     ids = canopies.select("node", "label")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,32 +606,16 @@ def linked_sets(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text
                 rows = []
                 for s in sets(b.column(0).slice(at, 1024), k):
                     sid = sid_of(s)
-                    # the same four bytes that ``_four`` takes
-                    if len(s) and in_bitmap(inside.value, np.array([int.from_bytes(sid[4:8], "big")], np.int64))[0]:
-                        rows.append((sid, s.tobytes()))
+                    # the same bytes that ``_number`` takes
+                    if len(s) and inside.passes(np.array([int.from_bytes(sid[:7], "big")], np.int64))[0]:
+                        rows.append((sid, s.tobytes(), len(s), vector(s)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["sid", "set"])
-
-    whole = docs.select(f"`{text}`").mapInArrow(full, "sid binary, set binary")
-    whole = whole.groupBy("sid").agg(F.first("set").alias("set"))
-    whole = whole.join(ids, F.col("sid") == F.col("node")).select("sid", "set", "label")
-    whole = written(whole, "jaccard-members")
-
-    def verified(held):
-        sids, raw = held
-        own = [np.frombuffer(s, np.uint64) for s in raw]
-        sizes = np.array([len(s) for s in own], np.int64)
-
-        def check(i, j):
-            both = np.concatenate([own[i], own[j]])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            return 100 * shared >= percent * (len(own[i]) + len(own[j]) - shared)
-
-        return [(sids[i], sids[j]) for i, j in linked([vector(s) for s in own], sizes, percent, check)]
+                    yield batches_of(rows, ["sid", "set", "n", "vec"], [pa.binary(), pa.binary(), pa.int64(), pa.binary()])
 
-    links = written(grouped(blocked(whole, F.col("label"), F.octet_length("set")), ["sid", "set"], verified), "jaccard-links")
-    dropped(whole, canopies)
+    whole = docs.select(f"`{text}`").mapInArrow(full, "sid binary, set binary, n bigint, vec binary")
+    whole = whole.groupBy("sid").agg(F.first("set").alias("body"), F.first("n").alias("n"), F.first("vec").alias("vec"))
+    links = group_links(whole.join(ids, F.col("sid") == F.col("node")).select(F.col("label").alias("g"), "sid", "n", "vec", "body"), percent, "members")
+    dropped(canopies)
     return t, links
 
 

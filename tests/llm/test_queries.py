@@ -216,6 +216,81 @@ def test_join_in_small_blocks(spark, tables, monkeypatch):
     assert {r.component_id for r in got if (r.doc_id or 0) >= 100} == {variants[g][0] for _, g in parts}
 
 
+@pytest.mark.parametrize(("block", "pivots"), [(7, 2), (5, 1), (16, 4)])
+def test_hot_groups_lose_no_link(spark, monkeypatch, block, pivots):
+    """Chains whose ends differ, clusters and strangers in one group, in tiny blocks: the components of brute force."""
+    rng = random.Random(block)
+    shared = ["s%d" % i for i in range(12)]
+    texts = []
+    for c in range(4):
+        w = shared + ["w%d" % rng.randint(0, 10**6) for _ in range(60)]
+        for i in range(30):
+            texts.append(" ".join(w))
+            if c < 2 or i % 6 == 5:
+                # a chain drifts away from its start; clusters jump now and then
+                for _ in range(1 if c < 2 else 12):
+                    w = list(w)
+                    w[rng.randrange(12, len(w))] = "v%d" % rng.randint(0, 10**6)
+    texts += [" ".join(shared + ["x%d" % rng.randint(0, 10**6) for _ in range(rng.randint(5, 60))]) for _ in range(40)]
+    rng.shuffle(texts)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    # every shingle is hot, and all sets are brought together in one group
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(docs, 4, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == brute.components(texts, 4, 85)
+    assert 10 < len({g for _, g in got.values()}) < len(texts)
+
+
+def test_hot_group_links_of_one_group(spark, monkeypatch):
+    """All sets in one group, as a canopy would be, with bodies: the links span the components, and copies follow the group's size."""
+    rng = random.Random(3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+
+    def links(n, count=None):
+        base = [rng.randrange(10**12) for _ in range(100)]
+        rows, sets = [], []
+        for i in range(n):
+            s = set(base if i % 10 else rng.sample(range(10**12), 100))
+            for _ in range(rng.randint(0, 12)):
+                s.discard(rng.choice(sorted(s)))
+            s.add(rng.randrange(10**12))
+            x = np.array(sorted(s), np.uint64)
+            sets.append(s)
+            rows.append((b"g", jaccard_join.sid_of(x), len(x), jaccard_join.vector(x), x.tobytes()))
+        df = spark.createDataFrame(rows, jaccard_join.ROW)
+        hot, others = jaccard_join.hot_and_others(df)
+        assert others.isEmpty() and hot.count() == n
+        seen = []
+        inner = jaccard_join.by_key
+        monkeypatch.setattr(jaccard_join, "by_key", lambda r, f, schema: seen.append(r) or inner(r, f, schema))
+        got = jaccard_join.hot_links(hot, 80).collect()
+        monkeypatch.setattr(jaccard_join, "by_key", inner)
+        return rows, sets, got, sum(r.count() for r in seen)
+
+    rows, sets, got, _ = links(300)
+    at = {r[1]: i for i, r in enumerate(rows)}
+    up = list(range(300))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in got:
+        x, y = sets[at[a]], sets[at[b]]
+        assert 100 * len(x & y) >= 80 * len(x | y)
+        up[max(root(at[a]), root(at[b]))] = min(root(at[a]), root(at[b]))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                assert root(i) == root(j)
+    few, many = links(600)[3], links(2400)[3]
+    # about eight copies of a member, where all pairs of blocks took one for each of 38 blocks
+    assert many < 8 * few and many < 10 * 2400
+
+
 def test_mix(run, rows):
     sizes = collections.Counter()
     for _, t, _, s, _ in rows:

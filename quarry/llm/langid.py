@@ -180,7 +180,7 @@ def learned(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang:
     # the share to take comes from a count that reads no text; null texts only make the sample a little smaller
     total = labelled.filter(F.col(lang).isNotNull()).count()
     if total > sample:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * 0.95 * sample / total)).limit(sample)
+        rows = rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * 0.95 * sample / total))
     d = DIMENSIONS
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

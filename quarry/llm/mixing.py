@@ -6,7 +6,8 @@ of its key, w being its quality weight, the smallest keys come first, and docume
 sizes stays nearest the rest of the budget.
 
 The running sum needs no single-task sort of a hot source: keys are cut into buckets of equal probability, the sums of buckets
-(one row for each source and bucket) are prefix-summed, and rows are sorted only inside a source's bucket.
+(one row for each source and bucket) are prefix-summed, and rows are sorted only inside a source's bucket.  Sources, one row each,
+meet in one task to share their excess.
 
 Defined results: a null or blank text has size 0 and is taken 0 times as words; it is copied as often as complete epochs pass
 over its source, and with the fraction where its key is early; null sources form one source, the last; a null key hashes as the
@@ -63,30 +64,36 @@ def quality(size: Column) -> Column:
     return F.lit(0.5) + size / (F.lit(2.0) * (size + F.lit(32.0)))
 
 
-def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, weight=quality, size: str | None = None) -> DataFrame:
-    """``df`` with ``_q_size``, ``_q_source_size``, ``_q_target`` and ``_q_copies``, how often the mix takes each document.
+def mixed(sizes: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, weight=quality) -> DataFrame:
+    """(key, source, size, source_size, target, epochs, draw, chosen, copies) for each row of ``sizes``, in columns of the first three names
+    and of ``_q_`` and the others': how often the mix takes it.
 
-    ``size`` names a column that holds the sizes already, so that texts needn't be read again.
+    Rows that are equal in the three are one until the end, with their number, so a key that many rows share is one row in a bucket.
     """
-    df = df.withColumn("_q_size", F.col(size) if size else words(F.col(text)))
-    tall = df.groupBy(F.col(source).alias("source")).agg(F.sum("_q_size").alias("source_size"), F.count("*").alias("_q_rows"))
-    table = targets(tall.select("source", "source_size"), weights, most).select(F.col("source").alias("_q_source"), F.col("source_size").alias("_q_source_size"), F.col("target").alias("_q_target"))
-    counts = tall.select(F.col("source").alias("_q_source2"), F.greatest(F.lit(1), F.ceil(F.col("_q_rows") / PER_BUCKET)).cast("int").alias("_q_buckets"))
-    table = table.join(counts, F.col("_q_source").eqNullSafe(F.col("_q_source2"))).drop("_q_source2")
-    draw = -F.log(uniform(F.col(key), seed)) / weight(F.col("_q_size"))
-    rows = df.join(table, F.col(source).eqNullSafe(F.col("_q_source"))).withColumn("_q_draw", draw)
+    df = sizes.groupBy(F.col(key).alias("_q_key"), F.col(source).alias("_q_source"), F.col(size).alias("_q_size")).agg(F.count("*").alias("_q_n"))
+    words_of = F.col("_q_size") * F.col("_q_n")
+    tall = df.groupBy(F.col("_q_source").alias("source")).agg(F.sum(words_of).alias("source_size"), F.count("*").alias("_q_rows"))
+    # a row a source
+    tall = written(tall, "mix-sources")
+    table = targets(tall.select("source", "source_size"), weights, most).select(F.col("source").alias("_q_of"), F.col("source_size").alias("_q_source_size"), F.col("target").alias("_q_target"))
+    counts = tall.select(F.col("source").alias("_q_of2"), F.greatest(F.lit(1), F.ceil(F.col("_q_rows") / PER_BUCKET)).cast("int").alias("_q_buckets"))
+    table = table.join(counts, F.col("_q_of").eqNullSafe(F.col("_q_of2"))).drop("_q_of2")
+    draw = -F.log(uniform(F.col("_q_key"), seed)) / weight(F.col("_q_size"))
+    rows = df.join(table, F.col("_q_source").eqNullSafe(F.col("_q_of"))).withColumn("_q_draw", draw)
     # the draw's own distribution for weight 1, so that buckets in order of the draw are about even
     rows = rows.withColumn("_q_bucket", F.least(F.col("_q_buckets") - 1, F.floor((F.lit(1.0) - F.exp(-F.col("_q_draw"))) * F.col("_q_buckets")).cast("int")))
-    sums = rows.groupBy(F.col("_q_source").alias("_q_s"), F.col("_q_bucket").alias("_q_b")).agg(F.sum("_q_size").alias("_q_sum"))
+    sums = rows.groupBy(F.col("_q_source").alias("_q_s"), F.col("_q_bucket").alias("_q_b")).agg(F.sum(words_of).alias("_q_sum"))
     sums = sums.withColumn("_q_base", F.coalesce(F.sum("_q_sum").over(Window.partitionBy("_q_s").orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.join(sums.select("_q_s", "_q_b", "_q_base"), F.col("_q_source").eqNullSafe(F.col("_q_s")) & (F.col("_q_bucket") == F.col("_q_b")))
-    inside = Window.partitionBy("_q_source", "_q_bucket").orderBy("_q_draw", F.col(key), F.col("_q_size")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_q_before", F.col("_q_base") + F.coalesce(F.sum("_q_size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("_q_source", "_q_bucket").orderBy("_q_draw", "_q_key", "_q_size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_q_before", F.col("_q_base") + F.coalesce(F.sum(words_of).over(inside), F.lit(0)))
     epochs = F.when(F.col("_q_source_size") > 0, F.floor(F.col("_q_target") / F.col("_q_source_size"))).otherwise(F.lit(1)).cast("long")
     rest = F.col("_q_target") - epochs * F.col("_q_source_size")
-    chosen = (F.col("_q_before") + F.col("_q_size") / 2.0 <= rest) & (rest > 0)
-    rows = rows.withColumns({"_q_epochs": epochs, "_q_chosen": chosen, "_q_copies": F.least(F.lit(most), epochs + chosen.cast("long")).cast("long")})
-    return rows.drop("_q_source", "_q_buckets", "_q_bucket", "_q_s", "_q_b", "_q_base", "_q_before")
+    # each of equal rows in turn
+    rows = rows.withColumn("_q_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_q_n"))))
+    chosen = (F.col("_q_before") + (F.col("_q_i") - 1) * F.col("_q_size") + F.col("_q_size") / 2.0 <= rest) & (rest > 0)
+    copies = F.least(F.lit(most), epochs + chosen.cast("long")).cast("long")
+    return rows.select(F.col("_q_key").alias(key), F.col("_q_source").alias(source), F.col("_q_size").alias(size), "_q_source_size", "_q_target", epochs.alias("_q_epochs"), "_q_draw", chosen.alias("_q_chosen"), copies.alias("_q_copies"))
 
 
 def copied(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, weight=quality, **options) -> DataFrame:
@@ -115,7 +122,7 @@ def copied(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     # texts are read once; the mix then works on three narrow columns
     sizes = written(documents(spark, sf_dir).select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sizes")
-    rows = mixed(sizes, size="size")
+    rows = mixed(sizes)
     return rows.select("doc_id", "size", F.col("_q_source_size").alias("source_size"), F.col("_q_target").alias("target"), (F.col("_q_copies") * F.col("size")).alias("taken"))
 
 

@@ -80,7 +80,7 @@ def resident():
 
 def test_shard_of_twenty_times_the_memory(tmp_path):
     """The process grows by a few times the bound and by what numpy keeps, not by the 40 bytes a symbol that whole arrays take."""
-    memory = 25_000
+    memory = 12_000
     rng = np.random.default_rng(8)
     base = rng.integers(97, 123, 20_000).astype(np.uint8)
 

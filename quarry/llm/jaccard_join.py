@@ -316,7 +316,10 @@ def agree(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def hot_links(hot: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that span the components of similar members of each large group; ``hot`` is ROW with ``m`` and ``nb``."""
+    """Links (a, b) that span the components of similar members of each large group; ``hot`` is ROW with ``m`` and ``nb``.
+
+    A member's link through its pivot leads to the first of the pivots that are linked with that one.
+    """
     own = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
     block = F.xxhash64("g", own)
     none = F.lit(None).cast("binary")
@@ -326,17 +329,25 @@ def hot_links(hot: DataFrame, percent: int) -> DataFrame:
     pivots = chosen.select(F.xxhash64("g", "_b").alias("key"), F.lit(0).alias("flag"), "g", "nb", "sid", "n", "vec", "body")
 
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, out = None, [], []
+        last, held, names, out = None, [], None, []
         types = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for b in batches:
             for key, flag, g, nb, sid, n, vec, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != last:
-                    last, held = key, []
+                    last, held, names = key, [], None
                 if not flag:
                     held.append((sid, (n, vec, body)))
-                else:
-                    label = next((p for p, x in held if p == sid or similar((n, vec, body), x, percent)), None)
-                    out.append((g, nb, sid, n, vec, body, label))
+                    continue
+                if names is None:
+                    # pivots that are linked are one label, the same in all blocks as they come in one order
+                    forest = Forest(len(held))
+                    for i, (_, x) in enumerate(held):
+                        for j in range(i):
+                            if forest.root(i) != forest.root(j) and similar(x, held[j][1], percent):
+                                forest.add(j, i)
+                    names = [held[forest.root(i)][0] for i in range(len(held))]
+                label = next((names[i] for i, (p, x) in enumerate(held) if p == sid or similar((n, vec, body), x, percent)), None)
+                out.append((g, nb, sid, n, vec, body, label))
             if out:
                 yield batches_of(out, ["g", "nb", "sid", "n", "vec", "body", "label"], types)
                 out = []
@@ -393,12 +404,19 @@ def hot_links(hot: DataFrame, percent: int) -> DataFrame:
         if out:
             yield batches_of(out, ["sid", "to"], [pa.binary(), pa.int64()])
 
-    visits = by_key(known.unionByName(asking), routes, "sid binary, to bigint").withColumnRenamed("sid", "_s").distinct()
+    visits = written(by_key(known.unionByName(asking), routes, "sid binary, to bigint").withColumnRenamed("sid", "_s").distinct(), "jaccard-visits")
+    # a node that more than a block visits is met in parts, each with the node's residents: as many rows as it has visitors
+    parts = visits.groupBy(F.col("to").alias("_to")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = written(parts, "jaccard-parts")
+    parts = F.broadcast(parts) if parts.count() < 1_000_000 else parts
+    of_parts = F.coalesce("_parts", F.lit(1))
     columns = ["sid", "n", "vec", "body", "label"]
     # a set that is in several groups has one body; it visits a node once
     once = noded.select(*columns).withColumnRenamed("label", "_label").groupBy("sid").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("body").alias("body"))
-    visitors = visits.join(once, F.col("_s") == F.col("sid")).select(F.col("to").alias("key"), F.lit(1).alias("flag"), "sid", "n", "vec", "body", none.alias("label"))
-    residents = noded.select(F.col("node").alias("key"), F.lit(0).alias("flag"), *columns)
+    visitors = visits.join(once, F.col("_s") == F.col("sid")).join(parts, F.col("to") == F.col("_to"), "left")
+    visitors = visitors.select(F.xxhash64("to", F.pmod(F.xxhash64("sid", F.lit("visit")), of_parts).cast("int")).alias("key"), F.lit(1).alias("flag"), "sid", "n", "vec", "body", none.alias("label"))
+    residents = noded.join(parts, F.col("node") == F.col("_to"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), of_parts - 1)))
+    residents = residents.select(F.xxhash64("node", "_part").alias("key"), F.lit(0).alias("flag"), *columns)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own, guests, met, out = None, [], [], False, []

@@ -248,11 +248,11 @@ def test_hot_group_links_of_one_group(spark, monkeypatch):
     rng = random.Random(3)
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
 
-    def links(n, count=None):
+    def links(n, strangers):
         base = [rng.randrange(10**12) for _ in range(100)]
         rows, sets = [], []
         for i in range(n):
-            s = set(base if i % 10 else rng.sample(range(10**12), 100))
+            s = set(base if i % 10 or not strangers else rng.sample(range(10**12), 100))
             for _ in range(rng.randint(0, 12)):
                 s.discard(rng.choice(sorted(s)))
             s.add(rng.randrange(10**12))
@@ -269,7 +269,7 @@ def test_hot_group_links_of_one_group(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "by_key", inner)
         return rows, sets, got, sum(r.count() for r in seen)
 
-    rows, sets, got, _ = links(300)
+    rows, sets, got, _ = links(300, True)
     at = {r[1]: i for i, r in enumerate(rows)}
     up = list(range(300))
 
@@ -279,37 +279,17 @@ def test_hot_group_links_of_one_group(spark, monkeypatch):
         return i
 
     for a, b in got:
-        x, y = sets[at[a]], sets[at[b]]
-        assert 100 * len(x & y) >= 80 * len(x | y)
         up[max(root(at[a]), root(at[b]))] = min(root(at[a]), root(at[b]))
+    joined = [root(i) for i in range(300)]
+    up = list(range(300))
     for i, x in enumerate(sets):
         for j in range(i):
             if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
-                assert root(i) == root(j)
-    few, many = links(600)[3], links(2400)[3]
-    # about eight copies of a member, where all pairs of blocks took one for each of 38 blocks
-    assert many < 8 * few and many < 10 * 2400
-
-
-def test_mix(run, rows):
-    sizes = collections.Counter()
-    for _, t, _, s, _ in rows:
-        sizes[s] += len(brute.WORD.findall(t or ""))
-    want = brute.targets(dict(sizes))
-    taken = collections.Counter()
-    source = {}
-    for r in run("op6_source_mix"):
-        assert r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
-    by_size = {(i, len(brute.WORD.findall(t or ""))): s for i, t, _, s, _ in rows}
-    biggest = collections.Counter()
-    for r in run("op6_source_mix"):
-        s = by_size[r.doc_id, r.size]
-        source[s] = (r.source_size, r.target)
-        taken[s] += r.taken
-        biggest[s] = max(biggest[s], r.size)
-    for s, (size, target) in source.items():
-        assert size == sizes[s] and target == pytest.approx(want[s], abs=1e-4)
-        assert abs(taken[s] - target) <= biggest[s]
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    assert joined == [root(i) for i in range(300)] and 20 < len(set(joined)) < 100
+    # near copies: some rows a member, where all pairs of blocks took one for each of 38 blocks
+    few, many = links(600, False)[3], links(2400, False)[3]
+    assert many < 5.5 * few and many < 8 * 2400
 
 
 def test_equal_keys_are_one_row_in_a_bucket(spark, monkeypatch):

@@ -14,6 +14,7 @@ from ..functions import strings
 from ..operators import encode, graph, intervals, matrices, merge, patterns, ranks, refine, scan, stats
 from ..sources import bridge, sinks
 from ..sources.bridge import CODE_SQL, LENGTH, SEQUENCES_SQL
+from ..tables import written
 from .discover import discover
 
 #: Fixed words of the query motifs, by id.
@@ -514,9 +515,10 @@ def pwm_scan_both_strands(spark, d):
 
 
 def both_kinds(spark, d) -> DataFrame:
-    """Hits above 0 of real and of shuffled sequences."""
-    own = seqs(spark, d)
-    w = scan.gathered(rounded_weights(spark, d))
+    """Hits above 0 of real and of shuffled sequences, which are read and cleaned once."""
+    own = written(seqs(spark, d), "sequences")
+    counted = matrices.count_matrix(matrices.windows(motif_hits(own), own))
+    w = scan.gathered(matrices.weight_matrix(matrices.frequency_matrix(counted)).withColumn("weight", F.round("weight", 3)))
     real = scan.scan(own, w).withColumn("kind", F.lit("real"))
     return real.unionByName(scan.scan(encode.shuffled(own), w).withColumn("kind", F.lit("shuffled"))).withColumn("score", F.round("score", 3))
 

@@ -355,7 +355,7 @@ def trimmed_matrix(spark, d):
 
 
 @query(f"""WITH {HITS_SQL}, n AS (SELECT motif_id, count(*) AS n FROM hits GROUP BY motif_id),
-steps AS (SELECT 'left' AS side, i AS step, 1 - i AS o FROM (SELECT unnest(range(1, 11)) AS i) UNION ALL SELECT 'right', i, {WIDTH} + i FROM (SELECT unnest(range(1, 11)) AS i)),
+steps AS (SELECT 'left' AS side, i AS step, 1 - i AS o FROM (SELECT unnest(range(1, {LENGTH + 1})) AS i) UNION ALL SELECT 'right', i, {WIDTH} + i FROM (SELECT unnest(range(1, {LENGTH + 1})) AS i)),
 near AS (SELECT motif_id, side, step, comp, CASE WHEN comp THEN pos + len - o ELSE pos + o - 1 END AS place, seq FROM hits, steps),
 l2 AS (SELECT motif_id, side, step, CASE WHEN place BETWEEN 1 AND {LENGTH} THEN CASE WHEN comp THEN translate(substr(seq, place, 1), 'ACGT', 'TGCA') ELSE substr(seq, place, 1) END END AS base FROM near),
 q AS (SELECT motif_id, side, step, count(*) FILTER (base = 'A') + 1.01::DOUBLE AS a, count(*) FILTER (base = 'C') + 1.01::DOUBLE AS c, count(*) FILTER (base = 'G') + 1.01::DOUBLE AS g, count(*) FILTER (base = 'T') + 1.01::DOUBLE AS t FROM l2 GROUP BY ALL),
@@ -555,14 +555,17 @@ def fisher_best_threshold(spark, d):
     return scan.fisher_threshold(both_kinds(spark, d).filter("score > 0"), total).select("motif_id", F.round("threshold", 3).alias("threshold"))
 
 
-@query(f"""WITH {COUNTS_SQL}, core AS (SELECT motif_id, "offset" - {FLANK} AS o, base, floor(weight / 0.1::DOUBLE)::INTEGER AS w FROM weights WHERE "offset" BETWEEN {FLANK + 1} AND {FLANK + 6}),
-words6 AS (SELECT a.motif_id, a.w + b.w + c.w + d.w + e.w + f.w AS s FROM core a JOIN core b ON a.motif_id = b.motif_id AND b.o = 2 JOIN core c ON a.motif_id = c.motif_id AND c.o = 3 JOIN core d ON a.motif_id = d.motif_id AND d.o = 4
-  JOIN core e ON a.motif_id = e.motif_id AND e.o = 5 JOIN core f ON a.motif_id = f.motif_id AND f.o = 6 WHERE a.o = 1),
-tail AS (SELECT motif_id, s, sum(count(*)) OVER (PARTITION BY motif_id ORDER BY s DESC) / 4096.0 AS p FROM words6 GROUP BY motif_id, s)
-SELECT motif_id, round(coalesce(min(s) FILTER (p < 0.0003), max(s)) * 0.1::DOUBLE, 6)::DOUBLE AS alpha FROM tail GROUP BY motif_id""")
+# words of each score, one column after the other
+TAILS_SQL = f"""{COUNTS_SQL}, steps AS (SELECT motif_id, "offset" AS o, floor(weight / {DEFAULT.granularity}::DOUBLE)::INTEGER AS w FROM weights),
+d1 AS (SELECT motif_id, w AS s, count(*)::BIGINT AS k FROM steps WHERE o = 1 GROUP BY ALL), """ + ", ".join(
+    f"d{o} AS (SELECT motif_id, s + w AS s, sum(k)::BIGINT AS k FROM d{o - 1} JOIN steps USING (motif_id) WHERE o = {o} GROUP BY motif_id, s + w)" for o in range(2, WIDTH + 1)
+)
+
+
+@query(f"""WITH {TAILS_SQL}, tail AS (SELECT motif_id, s, sum(k) OVER (PARTITION BY motif_id ORDER BY s DESC) / {4.0 ** WIDTH}::DOUBLE AS p FROM d{WIDTH})
+SELECT motif_id, round(coalesce(min(s) FILTER (p < {DEFAULT.touzet_p(WIDTH)}::DOUBLE), max(s)) * {DEFAULT.granularity}::DOUBLE, 6)::DOUBLE AS alpha FROM tail GROUP BY motif_id""")
 def touzet_threshold(spark, d):
-    core = weights(spark, d).filter(F.col("offset").between(FLANK + 1, FLANK + 6))
-    return stats.touzet(core).select("motif_id", F.round("alpha", 6).alias("alpha"))
+    return stats.touzet(weights(spark, d)).select("motif_id", F.round("alpha", 6).alias("alpha"))
 
 
 # hits of a sequence one after the other, best first; motifs are of one width

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, jaccard_join, langid, licenses, mixing, oracles, pii, quality, sharding, suffix_dedup
+from . import decontam, fim, fingerprint, jaccard_join, langid, licenses, mixing, oracles, pii, quality, sharding, suffix_dedup
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5,
     "op7_suffix_dedup": suffix_dedup.op7,
     "op8_feistel_shards": sharding.op8,
+    "op11_fill_in_middle": fim.op11,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_license_scan": oracles.OP9_SQL,
     "op3_decontaminate": decontam.OP3_SQL,
     "op6_source_mix": mixing.OP6_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fim, fingerprint, jaccard_join, langid, licenses, mixing, oracles, pii, quality, sharding, suffix_dedup
+from . import decontam, fim, fingerprint, jaccard_join, langid, licenses, mixing, oracles, pii, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_suffix_dedup": suffix_dedup.op7,
     "op8_feistel_shards": sharding.op8,
     "op11_fill_in_middle": fim.op11,
+    "op12_warc_chunks": warc.op12,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op3_decontaminate": decontam.OP3_SQL,
     "op6_source_mix": mixing.OP6_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
+    "op12_warc_chunks": warc.OP12_SQL,
 }

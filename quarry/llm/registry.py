@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fim, fingerprint, jaccard_join, langid, licenses, mixing, oracles, pii, quality, sharding, suffix_dedup, warc
+from . import crosstoken, decontam, fim, fingerprint, jaccard_join, langid, licenses, mixing, oracles, pii, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_feistel_shards": sharding.op8,
     "op11_fill_in_middle": fim.op11,
     "op12_warc_chunks": warc.op12,
+    "op13_token_alignment": crosstoken.op13,
 }
 
 ORACLES = {

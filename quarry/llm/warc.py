@@ -206,7 +206,7 @@ class Archive:
 
     def head(self, kind: str, page: str | None, url: str | None, occ: int, size: int, digest: str, first: str | None) -> None:
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-        more = [] if url is None else [("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f-\xa0  ]", lambda m: quote(m[0]), url))]
+        more = [] if url is None else [("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: quote(m[0]), url))]
         more.append(("WARC-Payload-Digest", f"sha1:{digest}"))
         if kind == "revisit":
             more += [("WARC-Profile", PROFILE), ("WARC-Refers-To", first)]

@@ -48,6 +48,8 @@ PAIRS = 100_000
 MARK = "▁"
 #: A space behind anything but white space (the Mongolian separator counts as such in older tables), and not at the end.
 PLACE = re.compile(r"(?<=[^\s\u180e]) (?!\Z)")
+#: Fixed value: A's expression, which its file names by its kind only.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOW = np.int64((1 << 32) - 1)
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 SCHEMA = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -66,6 +68,7 @@ class Tokenizers:
     def __init__(self, folder: str = TOKENIZERS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(f"{folder}/{BYTES}")
@@ -73,19 +76,49 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECES}")
         letters = byte_letters()
         tokens = json.loads(self.a.to_str())["model"]["vocab"]
+        special = {x.content for x in self.a.get_added_tokens_decoder().values()}
         self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
         for token, i in tokens.items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            self.a_bytes[i] = token.encode() if token in special else bytes(letters[c] for c in token)
+        #: The same vocabulary, whose ids are in the order of its merges, in a faster encoder.  Its letters may be of another Unicode version: ASCII only.
+        self.ascii = tiktoken.Encoding("ascii", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for token, i in tokens.items() if token not in special}, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.cuts = not any(MARK in p.lstrip(MARK) for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i)))
+        self.shown: dict[str, np.ndarray] = {}
+
+    def shows(self, mark: str) -> np.ndarray:
+        """Ids as text, each with ``mark`` behind it."""
+        if mark not in self.shown:
+            self.shown[mark] = np.array([f"{i}{mark}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object)
+        return self.shown[mark]
 
     def encoded(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each word by A, behind a space, and by B, which sets its own."""
+        """Ids of each word (none is empty) by A, behind a space, and by B, which sets its own."""
         a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        # B adds no space to an empty text
-        return a, [x or self.b.encode(" ")[:1] for x in self.b.encode(words, num_threads=1)]
+        return a, self.b.encode(words, num_threads=1)
+
+    def joined(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A and B and how many of them each word has, from one text of all words: spaces behind words are places to cut.
+
+        None if the tokens' bytes aren't the text, or don't end with its words.
+        """
+        text = " ".join(words)
+        want = (" " + text).encode()
+        ends = np.cumsum([len(w) + 1 for w in words] if plain else [len(w.encode()) + 1 for w in words])
+        a = self.ascii.encode_ordinary(" " + text) if plain else self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        out = []
+        for ids, table, lengths in ((a, self.a_bytes, self.a_len), (self.b.encode(text), self.b_bytes, self.b_len)):
+            if b"".join(map(table.__getitem__, ids)) != want:
+                return None
+            ids = np.array(ids, np.int64)
+            own = np.cumsum(lengths[ids])
+            last = np.searchsorted(own, ends)
+            if (own[last] != ends).any():
+                return None
+            out += [ids, np.diff(last, prepend=-1)]
+        return tuple(out)
 
     def segments(self, text: str) -> Iterator[list[str]]:
         """Words of a text, some at a time."""
@@ -106,36 +139,48 @@ def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligned:
-    """Token groups and links of many words at once; all arrays are in the order of words."""
+    """Token groups and links of many words at once; all arrays are in the order of ``words``, which is not that of the argument."""
 
     def __init__(self, t: Tokenizers, words: list[str], strings: bool):
-        a, b = t.encoded(words)
-        want = [(" " + w).encode() for w in words]
-        ok = [b"".join(map(t.a_bytes.__getitem__, x)) == w and b"".join(map(t.b_bytes.__getitem__, y)) == w for x, y, w in zip(a, b, want, strict=True)]
+        kinds: tuple[list[str], ...] = ([], [], [])
+        for w in words:
+            # the space behind a word is a place to cut if the word doesn't end with white space
+            alone = w[-1].isspace() or w[-1] == "\u180e" or not t.cuts
+            kinds[2 if alone else 0 if w.isascii() and len(w) < 200 else 1].append(w)
+        self.words, parts, ok = [], [], []
+        for kind, own in enumerate(kinds):
+            if not own:
+                continue
+            self.words += own
+            if kind < 2 and (got := t.joined(own, kind == 0)):
+                parts.append(got)
+                ok += [True] * len(own)
+                continue
+            a, b = t.encoded(own)
+            want = [(" " + w).encode() for w in own]
+            good = [b"".join(map(t.a_bytes.__getitem__, x)) == w and b"".join(map(t.b_bytes.__getitem__, y)) == w for x, y, w in zip(a, b, want, strict=True)]
+            parts.append((*flat([x if g else [] for x, g in zip(a, good, strict=True)]), *flat([x if g else [] for x, g in zip(b, good, strict=True)])))
+            ok += good
         self.ok = np.array(ok, bool)
-        if not self.ok.all():
-            a, b = ([x if good else [] for x, good in zip(ids, ok, strict=True)] for ids in (a, b))
-        self.a, self.n_a = flat(a)
-        self.b, self.n_b = flat(b)
+        self.a, self.n_a, self.b, self.n_b = (np.concatenate(x) for x in zip(*parts, strict=True))
         a_ends, b_ends = np.cumsum(t.a_len[self.a]), np.cumsum(t.b_len[self.b])
-        size = np.where(self.ok, [len(w) for w in want], 0)
-        ends = np.cumsum(size)
-        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        either = np.union1d(a_ends, b_ends)
+        ends = np.concatenate([[0], a_ends])[np.cumsum(self.n_a)]
+        a_last, b_last = np.zeros(int(ends[-1]) + 1, bool), np.zeros(int(ends[-1]) + 1, bool)
+        a_last[a_ends] = b_last[b_ends] = True
+        both, either = np.flatnonzero(a_last & b_last), np.flatnonzero(a_last | b_last)
         self.keys = (self.b[np.searchsorted(b_ends, either)] << np.int64(32)) | self.a[np.searchsorted(a_ends, either)]
         self.n_links = np.diff(np.searchsorted(either, ends, "right"), prepend=0)
         self.n_groups = np.diff(np.searchsorted(both, ends, "right"), prepend=0)
-        self.strings = self.listed(both, a_ends, b_ends) if strings else []
+        self.strings = self.listed(t, both, a_ends, b_ends, b_last[a_ends], a_last[b_ends]) if strings else []
 
-    def listed(self, both: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> list[str]:
+    def listed(self, t: Tokenizers, both: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> list[str]:
         """``a1,a2|b1;`` for each group, joined for each word."""
         a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
         a_in, b_in = np.bincount(a_group, minlength=len(both)), np.bincount(b_group, minlength=len(both))
         a_before, b_before = np.cumsum(a_in), np.cumsum(b_in)
         out = np.empty(len(self.a) + len(self.b), object)
-        a_last, b_last = np.isin(a_ends, both, assume_unique=True), np.isin(b_ends, both, assume_unique=True)
-        out[np.arange(len(self.a)) + (b_before - b_in)[a_group]] = [f"{i}|" if x else f"{i}," for i, x in zip(self.a.tolist(), a_last.tolist(), strict=True)]
-        out[np.arange(len(self.b)) + a_before[b_group]] = [f"{i};" if x else f"{i}," for i, x in zip(self.b.tolist(), b_last.tolist(), strict=True)]
+        out[np.arange(len(self.a)) + (b_before - b_in)[a_group]] = np.where(a_last, t.shows("|")[self.a], t.shows(",")[self.a])
+        out[np.arange(len(self.b)) + a_before[b_group]] = np.where(b_last, t.shows(";")[self.b], t.shows(",")[self.b])
         parts, cuts = out.tolist(), [0, *np.cumsum(self.n_a + self.n_b).tolist()]
         return ["".join(parts[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -152,6 +197,7 @@ class Words:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.full = False
         self.strings: list[str] = []
         self.bad: set[int] = set()
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -167,7 +213,7 @@ class Words:
 
     def _add(self, words: list[str]) -> None:
         x, at = Aligned(self.tokenizers, words, self.want), len(self.index)
-        self.index.update(zip(words, range(at, at + len(words)), strict=True))
+        self.index.update(zip(x.words, range(at, at + len(words)), strict=True))
         if (n := len(self.index)) > len(self.table):
             more = max(n, 2 * len(self.table)) - len(self.table)
             self.table = np.concatenate([self.table, np.zeros((more, self.STATS), np.int64)])
@@ -204,9 +250,47 @@ class Words:
         return unique, np.add.reduceat(times[order], first) if len(unique) else times
 
 
-def texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
-    for x in batch.column(column):
-        yield x.as_py() or ""
+def blocks(batch: pa.RecordBatch, column: int, t: Tokenizers) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Words of whole texts of up to ``SEGMENT`` characters together, with the texts' rows; a longer text comes as (row, none), to be cut into segments."""
+    rows, parts, size = [], [], 0
+    for i, x in enumerate(batch.column(column)):
+        text = x.as_py() or ""
+        if len(text) > SEGMENT:
+            yield [i], []
+        elif text:
+            rows.append(i)
+            parts.append(next(t.segments(text)))
+            size += len(text)
+            if size > SEGMENT:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+def numbered(words: Words, batch: pa.RecordBatch, column: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(rows, numbers of their words, where each row's words begin) of good texts; the words of one row may come in several parts, if it is alone."""
+    t = words.tokenizers
+    for rows, parts in blocks(batch, column, t):
+        if not parts:
+            text = batch.column(column)[rows[0]].as_py()
+            own = [words.of(p) for p in t.segments(text)]
+            # taken only when the whole text is known to be good
+            if not words.bad or not any(words.bad.intersection(x.tolist()) for x in own):
+                for x in own:
+                    yield rows, x, np.zeros(1, np.int64)
+            continue
+        x = words.of([w for p in parts for w in p])
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        if words.bad:
+            wrong = np.isin(x, list(words.bad))
+            if wrong.any():
+                good = np.add.reduceat(wrong, starts[:-1]) == 0
+                sizes = np.diff(starts)
+                x, rows = x[np.repeat(good, sizes)], [r for r, g in zip(rows, good.tolist(), strict=True) if g]
+                starts = np.concatenate([[0], np.cumsum(sizes[good])])
+        if rows:
+            yield rows, x, starts[:-1]
 
 
 def partial_counts(folder: str, most: int):
@@ -222,17 +306,11 @@ def partial_counts(folder: str, most: int):
             words.clear()
 
         for b in batches:
-            for text in texts(b, 0):
-                if not text:
-                    continue
-                own = [words.of(part) for part in words.tokenizers.segments(text)]
-                # counted only when the whole text is known to be good
-                if not words.bad or not any(words.bad.intersection(x.tolist()) for x in own):
-                    for x in own:
-                        number, times = np.unique(x, return_counts=True)
-                        words.counts[number] += times
-                if len(words.index) > most:
-                    yield from out()
+            for _, x, _ in numbered(words, b, 0):
+                words.counts += np.bincount(x, minlength=len(words.counts))
+                words.full |= len(words.index) > most
+            if words.full:
+                yield from out()
         yield from out()
 
     return run
@@ -361,25 +439,21 @@ def aligned(docs: DataFrame, known: Shards, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(Tokenizers(tokenizers), strings=True, shards=known)
         for b in batches:
-            rows = []
-            for i in texts(b, 1):
-                stats, sha, good = np.zeros(Words.STATS, np.int64), hashlib.sha256(), bool(i)
-                before = ""
-                for part in words.tokenizers.segments(i) if i else ():
-                    x = words.of(part)
-                    if words.bad and words.bad.intersection(x.tolist()):
-                        good = False
-                        break
-                    stats += words.table[x].sum(axis=0)
-                    line = before + "".join(map(words.strings.__getitem__, x.tolist()))
-                    sha.update(line[:-1].encode())  # no mark behind the last group
-                    before = ";"
-                rows.append((*stats.tolist(), sha.hexdigest()) if good else (*[0] * Words.STATS, ""))
-                if len(words.index) > most:
-                    words.clear()
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.string())], COLUMNS)
+            stats, digests, of, sha = np.zeros((b.num_rows, Words.STATS), np.int64), [""] * b.num_rows, None, None
+            for rows, x, starts in numbered(words, b, 1):
+                stats[rows] += np.add.reduceat(words.table[x], starts, axis=0)
+                strings, cuts = list(map(words.strings.__getitem__, x.tolist())), [*starts.tolist(), len(x)]
+                for row, lo, hi in zip(rows, cuts[:-1], cuts[1:], strict=True):
+                    line = "".join(strings[lo:hi])[:-1]  # no mark behind the last group
+                    if row == of:  # a long text's next part
+                        sha.update(b";" + line.encode())
+                    else:
+                        of, sha = row, hashlib.sha256(line.encode())
+                    digests[row] = sha.hexdigest()
+            if len(words.index) > most:
+                words.clear()
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(stats[:, c]) for c in range(Words.STATS)), pa.array(digests, pa.string())], COLUMNS)
 
     return docs.select(f"`{key}`", f"`{text}`").mapInArrow(run, SCHEMA)
 

@@ -110,6 +110,22 @@ def test_cut_texts_have_the_tokens_of_whole_ones():
     assert T.cuts
 
 
+def test_joined_words_have_their_own_tokens():
+    """Many words encoded as one text, by the faster encoder where they are ASCII, have the tokens of each by itself."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz'ABC019.,-_/\n\t"
+    words = list({"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(5_000)} | {w + "é" for w in ("", "a", "日本", "x\n")} | {" double", "end ", "y" * 900, "▁", "a▁b"})
+    x = crosstoken.Aligned(T, words, strings=True)
+    assert sorted(x.words) == sorted(words)
+    a, b = T.encoded(x.words)
+    cut = lambda ids, n: [ids[e - k : e].tolist() for k, e in zip(n, np.cumsum(n))]
+    assert [w for w, ok in zip(x.words, x.ok) if not ok] == [w for w in x.words if "▁" in w]
+    assert [i if ok else [] for i, ok in zip(a, x.ok)] == cut(x.a, x.n_a) and [i if ok else [] for i, ok in zip(b, x.ok)] == cut(x.b, x.n_b)
+    for w, ok, i, j, s, links, n in zip(x.words, x.ok, a, b, x.strings, x.n_links, x.n_groups):
+        if ok:
+            assert s == ";".join(groups(i, j)) + ";" and links == len(linked(i, j)) and n == len(groups(i, j))
+
+
 def test_odd_texts_in_small_steps(spark, tmp_path, monkeypatch):
     """Segments, remembered words and shards of a few entries each; the counts are those of brute force."""
     rng = random.Random(4)
@@ -124,6 +140,11 @@ def test_odd_texts_in_small_steps(spark, tmp_path, monkeypatch):
     assert len(known.paths) > 1
     same([tuple(r) for r in crosstoken.aligned(docs, known, most=7).collect()], want)
     monkeypatch.setattr(crosstoken, "SEGMENT", 20)
+    bad = "a▁b " * 20 + "good words here"
+    b = docs.limit(0).union(docs.sparkSession.createDataFrame([(1, "the cat " * 30), (2, bad), (3, "a x▁y"), (4, "the cat")], docs.schema)).toArrow().to_batches()
+    w = crosstoken.Words(T)
+    got = [(r, len(x), s.tolist()) for r, x, s in crosstoken.numbered(w, b[0], 1)] if len(b) == 1 else None
+    assert got is None or ({r for rows, *_ in got for r in rows} == {0, 3} and sum(n for rows, n, _ in got if rows == [0]) >= 60)
     assert sum(1 for _ in T.segments(texts[-3])) > 1
     words = crosstoken.Words(T, strings=True, shards=known)
     for i, t in enumerate(texts):

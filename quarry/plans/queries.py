@@ -785,11 +785,11 @@ def kmer_encoder(spark, d):
 
 @query()
 def learned_encoder(spark, d):
-    """A trained model: rows only. A planted motif becomes a filter in the tests."""
-    from ..operators.learned import train
+    """Events of the syntax layer, of 24 filters and an epoch of 12 steps over all sequences: rows only.  A planted pair of words becomes one syntax filter in the tests."""
+    from ..operators.syntax import Shape, train
 
     own = seqs(spark, d)
-    return train(own).encode(own).select("seq", "position", "fil", "mag")
+    return train(own, shape=Shape(filters=24), epochs=1, steps=12).encode(own).select("seq", "position", "fil", "mag")
 
 
 @query()

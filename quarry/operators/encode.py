@@ -117,7 +117,8 @@ def log_likelihood(sequences: DataFrame, model: DataFrame | None = None) -> Data
     step = {r.base + r.next_base: r.p for r in (model or transitions(sequences)).collect()}
     table = F.create_map(*[F.lit(x) for kv in step.items() for x in kv])
     start = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])
-    total = F.aggregate(F.sequence(F.lit(1), F.length("seq") - 1), F.log(F.element_at(start, F.substring("seq", 1, 1))), lambda acc, i: acc + F.log(F.element_at(table, F.substring(F.col("seq"), i, F.lit(2)))))
+    places = F.when(F.length("seq") > 1, F.sequence(F.lit(1), F.length("seq") - 1)).otherwise(F.array().cast("array<int>"))  # a sequence would count down
+    total = F.aggregate(places, F.log(F.element_at(start, F.substring("seq", 1, 1))), lambda acc, i: acc + F.log(F.element_at(table, F.substring(F.col("seq"), i, F.lit(2)))))
     return sequences.select("seq_id", total.alias("loglik"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -18,10 +19,62 @@ def top_q(code: DataFrame, q: int = DEFAULT.sparsity) -> DataFrame:
     return code.withColumn("_r", F.rank().over(Window.partitionBy("seq").orderBy(F.desc("mag")))).filter(F.col("_r") <= q).drop("_r")
 
 
-def quantiles(code: DataFrame, ps: list[float]) -> list[float]:
-    """Exact quantiles of magnitudes, with linear interpolation; the aggregate holds a count for each distinct magnitude."""
-    got = code.agg(F.percentile("mag", F.array(*[F.lit(p) for p in ps]))).first()[0]
-    return list(got) if got is not None else [float("inf")] * len(ps)
+def quantiles(code: DataFrame, ps: list[float], most: int = 10_000) -> list[float]:
+    """Exact quantiles of magnitudes, with linear interpolation: values of their ranks, found by distributed selection.
+
+    Where there are few different magnitudes they are counted at once.  Otherwise a histogram of ``most`` equal parts of the range says in which parts
+    the wanted ranks lie; only these parts, by their own extremes, are divided again, until each holds few enough values.  No aggregate has more
+    than ``most`` groups an interval, and there is an interval for each rank at most.  Null magnitudes don't count; without any, quantiles are infinite;
+    NaN and infinite ones are an error.
+    """
+    x = code.select(F.col("mag").cast("double").alias("x")).filter("x IS NOT NULL")
+    n, lo, hi, kinds = x.agg(F.count("*"), F.min("x"), F.max("x"), F.approx_count_distinct("x")).first()
+    if not n:
+        return [float("inf")] * len(ps)
+    if not (math.isfinite(lo) and math.isfinite(hi)):
+        raise ValueError("magnitudes must be finite")
+    places = [p * (n - 1) for p in ps]
+    found = _at_ranks(x, sorted({r for v in places for r in (math.floor(v), math.ceil(v))}), (0, n, lo, hi), kinds, most)
+    # the same formula, and so the same last bit, as Spark's percentile
+    return [found[math.floor(v)] if v == math.floor(v) else (math.ceil(v) - v) * found[math.floor(v)] + (v - math.floor(v)) * found[math.ceil(v)] for v in places]
+
+
+def _at_ranks(x: DataFrame, ranks: list[int], whole: tuple[int, int, float, float], kinds: int, most: int) -> dict[int, float]:
+    """Values at ranks (from 0).  An interval is (values before it, values in it, least, greatest)."""
+    found: dict[int, float] = {}
+    open_: list[tuple[int, int, float, float]] = [whole]
+    small = kinds <= most // 2
+    while open_:
+        for before, n, lo, hi in open_:
+            if lo == hi:
+                found |= {r: lo for r in ranks if before <= r < before + n}
+        open_ = [v for v in open_ if v[2] < v[3]]
+        if not open_:
+            break
+        inside = F.coalesce(*[F.when(F.col("x").between(lo, hi), F.lit(i)) for i, (_, _, lo, hi) in enumerate(open_)])
+        rows = x.withColumn("i", inside).filter("i IS NOT NULL")
+        if small or all(n <= most for _, n, _, _ in open_):
+            counted: dict[int, list] = {}
+            for r in rows.groupBy("i", "x").count().collect():
+                counted.setdefault(r.i, []).append((r.x, r["count"]))
+            for i, values in counted.items():
+                at = open_[i][0]
+                for value, n in sorted(values):
+                    found |= {r: value for r in ranks if at <= r < at + n}
+                    at += n
+            break
+        lows, steps = (F.array(*[F.lit(v) for v in each]) for each in ([v[2] for v in open_], [(v[3] / most - v[2] / most) for v in open_]))
+        part = F.least(F.lit(most - 1), F.floor((F.col("x") - lows[F.col("i")]) / F.greatest(steps[F.col("i")], F.lit(5e-324))))
+        parts = rows.groupBy("i", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        after = []
+        for i, (before, _, _, _) in enumerate(open_):
+            at = before
+            for r in sorted((r for r in parts if r.i == i), key=lambda r: r.lo):
+                if any(at <= k < at + r.n for k in ranks):
+                    after.append((at, r.n, r.lo, r.hi))
+                at += r.n
+        open_ = after
+    return found
 
 
 def above_quantile(code: DataFrame, p: float) -> DataFrame:

@@ -6,15 +6,17 @@ matrix, interval, scan and test operators.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import strings
 from ..operators import encode, graph, intervals, matrices, merge, patterns, ranks, refine, scan, stats
-from ..sources import bridge, sinks
+from ..sources import bridge, fasta, sinks
 from ..sources.bridge import CODE_SQL, LENGTH, SEQUENCES_SQL
-from ..tables import written
+from ..tables import shared_dir, written
 from .discover import discover
 
 #: Fixed words of the query motifs, by id.
@@ -568,6 +570,14 @@ def touzet_threshold(spark, d):
     return stats.touzet(weights(spark, d)).select("motif_id", F.round("alpha", 6).alias("alpha"))
 
 
+# scores in units of 10^-9, which keeps different ones apart; the tail of the least score under the mark
+@query("WITH " + TAILS_SQL.replace(f"floor(weight / {DEFAULT.granularity}::DOUBLE)::INTEGER", "round(weight * 1e9)::BIGINT") + f""", tail AS (SELECT motif_id, s, sum(k) OVER (PARTITION BY motif_id ORDER BY s DESC) / {4.0 ** WIDTH}::DOUBLE AS p FROM d{WIDTH})
+SELECT motif_id, round(coalesce(max(p) FILTER (p < {DEFAULT.touzet_p(WIDTH)}::DOUBLE), min(p)), 9)::DOUBLE AS tail FROM tail GROUP BY motif_id""")
+def touzet_refined(spark, d):
+    """Unrounded scores: the granularity is refined until the threshold separates."""
+    return stats.touzet_refined(weights(spark, d), finest=1e-7).select("motif_id", F.round("tail", 9).alias("tail"))
+
+
 # hits of a sequence one after the other, best first; motifs are of one width
 @query(f"""WITH RECURSIVE {STRANDS_SQL}, {_scan_sql('sequences', 'sc')}, hit AS (SELECT sc.motif_id, seq_id, pos, comp, round(score, 3)::DOUBLE AS score FROM sc JOIN cut USING (motif_id) WHERE round(score, 3) > t),
 turn AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, motif_id, pos, comp) AS rn FROM hit),
@@ -792,6 +802,33 @@ def learned_encoder(spark, d):
     return train(own, shape=Shape(filters=24), epochs=1, steps=12).encode(own).select("seq", "position", "fil", "mag")
 
 
+def _klet_counts(q: DataFrame, k: int) -> DataFrame:
+    words = F.transform(F.sequence(F.lit(1), F.length("seq") - (k - 1)), lambda i: F.substring(F.col("seq"), i, F.lit(k)))
+    return q.select("seq_id", F.explode(words).alias("word")).groupBy("seq_id", "word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SEQUENCES_SQL} SELECT seq_id, substr(seq, i, 2) AS word, count(*) AS n FROM (SELECT seq_id, seq, unnest(generate_series(1, length(seq) - 1)) AS i FROM sequences) GROUP BY ALL")
+def dinucleotide_counts_kept(spark, d):
+    """Counts of the shuffled sequences' pairs; the SQL counts those of the sequences themselves."""
+    return _klet_counts(encode.klet_shuffled(seqs(spark, d), 2), 2)
+
+
+@query(f"WITH {SEQUENCES_SQL} SELECT seq_id, substr(seq, i, 3) AS word, count(*) AS n FROM (SELECT seq_id, seq, unnest(generate_series(1, length(seq) - 2)) AS i FROM sequences) GROUP BY ALL")
+def trinucleotide_counts_kept(spark, d):
+    """As above, of three letters."""
+    return _klet_counts(encode.klet_shuffled(seqs(spark, d), 3), 3)
+
+
+@query(f"""WITH {SEQUENCES_SQL}, n AS (SELECT seq_id, seq, row_number() OVER (ORDER BY seq_id) AS r FROM sequences)
+SELECT r AS seq_id, seq_id || ' > cut' AS header, seq FROM n""")
+def fasta_round_trip(spark, d):
+    """The sequences as FASTA files of wrapped lines, read back: numbers follow the files' order, whatever the splits."""
+    line = F.concat(F.lit(">"), F.col("seq_id"), F.lit(" > cut\n"), F.lower(F.substring("seq", 1, 25)), F.lit("\n"), F.substring("seq", 26, LENGTH))
+    folder = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    seqs(spark, d).orderBy("seq_id").select(line.alias("value")).write.text(folder)
+    return fasta.read_fasta(spark, folder)
+
+
 @query()
 def trinucleotide_shuffle(spark, d):
     """Random by nature: the invariant (equal counts of three letters) is tested."""

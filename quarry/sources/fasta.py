@@ -1,7 +1,12 @@
 """FASTA sources: a record reader, and readers for float and integer labels in the header.
 
-Files are split at ``>`` by Spark's text source, so a file is read in parallel and records never pass the driver.  A ``>`` inside a
-header also begins a record; write headers without it.
+Files are split by Spark's text source at a line that begins with ``>``, so a file is read in parallel, records never pass the driver, and a
+header may hold ``>``.  Records are numbered in the order of files (by path) and of places in them: each split counts its records, and
+the counts before a split, a row for each of them, are added to the record's place in its own.  So numbers, and what follows from them (train
+and test, shuffles, reports), don't depend on how files are split.
+
+Defined results: blank records and text before the first ``>`` are no records; a header without sequence has an empty body; ``\\r`` is
+dropped; an empty file has no records.
 """
 
 from __future__ import annotations
@@ -11,25 +16,33 @@ from pyspark.sql import functions as F
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, header, body): ``offset`` orders the records of a file, ``body`` has its lines joined."""
-    raw = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("offset"))
-    raw = raw.filter(F.length(F.trim(F.col("value"))) > 0)
+    """(number, file, header, body, first_line): ``number`` counts all records from 1, and what stands before a file's first one; ``body`` has its lines joined."""
+    place = F.monotonically_increasing_id()
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
+    # the text before a file's first mark is a record only if that is its first letter
+    opening = F.col("block") == 0
+    split = raw.groupBy("file", "block").agg(F.min("place").alias("lo"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    # a row for each split of the input, about 100 bytes: 100 TB in splits of 128 MB are some 80 MB
+    base = split.select(F.col("file").alias("_f"), F.col("block").alias("_b"), "lo", F.coalesce(before, F.lit(0)).alias("base"))
+    own = raw.join(F.broadcast(base), (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    first = opening & (F.col("place") == F.col("lo"))
+    own = own.filter(~first | F.startswith("value", F.lit(">"))).withColumn("value", F.when(first, F.substring("value", 2, 2147483647)).otherwise(F.col("value")))
+    own = own.filter(F.length(F.trim(F.col("value"))) > 0)
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    return raw.select("file", "block", "offset", F.trim(lines[0]).alias("header"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("body"), F.trim(F.try_element_at(lines, F.lit(2))).alias("first_line"))
+    return own.select((F.col("base") + F.col("place") - F.col("lo") + 1).alias("number"), "file", F.trim(lines[0]).alias("header"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("body"), F.trim(F.try_element_at(lines, F.lit(2))).alias("first_line"))
 
 
 def read_fasta(spark: SparkSession, path: str, max_entries: int | None = None) -> DataFrame:
     """(seq_id, header, seq) in file order: records with N are dropped, the first ``max_entries`` are kept if a number is given, then those whose length is
-    the first one's; letters become upper case.  Without a cap nothing is sorted and ids only increase."""
+    the first one's; letters become upper case.  ``seq_id`` is the record's number among all of its files; with a cap, that among the kept ones."""
     clean = records(spark, path).filter(~F.col("body").contains("N") & ~F.col("body").contains("n") & (F.length("body") > 0))
     if max_entries is not None:
-        clean = clean.orderBy("file", "block", "offset").limit(max_entries)
-    first = clean.agg(F.min_by(F.length("body"), F.struct("file", "block", "offset")).alias("n"))
+        clean = clean.orderBy("number").limit(max_entries)
+    first = clean.agg(F.min_by(F.length("body"), "number").alias("n"))
     kept = clean.join(F.broadcast(first), F.length("body") == F.col("n"))
-    if max_entries is None:
-        return kept.select(F.col("offset").alias("seq_id"), "header", F.upper("body").alias("seq"))
-    # at most ``max_entries`` rows are numbered
-    number = F.row_number().over(Window.orderBy("file", "block", "offset")).cast("long")
+    # at most ``max_entries`` rows are numbered anew
+    number = F.col("number") if max_entries is None else F.row_number().over(Window.orderBy("number")).cast("long")
     return kept.select(number.alias("seq_id"), "header", F.upper("body").alias("seq"))
 
 

@@ -83,6 +83,9 @@ class Parser:
         self.text, self.n = text, len(text)
         self.done = dict.fromkeys((*BASE_KINDS, *MORE_KINDS), 0)
         self.found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, *MORE_KINDS)}
+        #: The runs that were read last behind a scheme and behind a secret's cue: a later cue inside one doesn't read it again.
+        self.address = (0, 0)
+        self.value = (0, -1, -1)
 
     def run(self, i: int, among: frozenset) -> int:
         t, n = self.text, self.n
@@ -149,12 +152,18 @@ class Parser:
             self.found["phone"].append((plus, b))
 
     def url(self, a: int, b: int) -> None:
-        t, e = self.text, b
-        while e < self.n and t[e] not in " \t\n\v\f\r\"'<>|" and t[e].isprintable():
-            e += 1
-        while e > b and t[e - 1] in ".,;:!?)]}":
-            e -= 1
-        host = t[b:e].split("/", 1)[0]
+        t, (end, e) = self.text, self.address
+        if b >= end:
+            end = b
+            while end < self.n and t[end] not in " \t\n\v\f\r\"'<>|" and t[end].isprintable():
+                end += 1
+            e = end
+            while e > b and t[e - 1] in ".,;:!?)]}":
+                e -= 1
+            self.address = end, e
+        e = max(e, b)
+        slash = t.find("/", b, e)
+        host = t[b : e if slash < 0 else slash]
         name, at, _ = host.rpartition("@")
         bare = host.rpartition("@")[2].split(":")[0].split(".")
         if (at and name) or (len(bare) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in bare)):
@@ -188,9 +197,18 @@ class Parser:
         if i >= self.n or t[i] not in "=:":
             return
         i = self.run(i + 1, frozenset("\"' \t"))
-        e = self.run(i, _KEY)
-        value = t[i:e]
-        if e - i >= 16 and i >= self.done["secret"] and any(c in _DIGITS for c in value) and any(c.isalpha() for c in value):
+        e, digit, letter = self.value
+        if i >= e:
+            e, digit, letter = i, -1, -1
+            while e < self.n and t[e] in _KEY:
+                if t[e] in _DIGITS:
+                    digit = e
+                elif t[e] in _ALNUM:
+                    letter = e
+                e += 1
+            self.value = e, digit, letter
+        # the last digit and the last letter of the run tell whether the value from here on holds any
+        if e - i >= 16 and i >= self.done["secret"] and digit >= i and letter >= i:
             self.found["secret"].append((i, e))
             self.done["secret"] = e
 

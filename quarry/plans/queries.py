@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import strings
 from ..operators import encode, graph, intervals, matrices, merge, patterns, ranks, refine, scan, stats
-from ..sources import bridge, fasta, sinks
+from ..sources import bridge, drawings, fasta, sinks
 from ..sources.bridge import CODE_SQL, LENGTH, SEQUENCES_SQL
 from ..tables import shared_dir, written
 from .discover import discover
@@ -754,6 +754,26 @@ def transfac_lines(spark, d):
     return sinks.transfac_lines(counts(spark, d))
 
 
+@query(f"""WITH {COUNTS_SQL}, q AS (SELECT motif_id, "offset", base, floor(cnt * 1.0::DOUBLE / sum(cnt) OVER (PARTITION BY motif_id, "offset") * 1000)::BIGINT AS q FROM counts)
+SELECT motif_id, ("offset" + 5)::INTEGER AS line_no, lpad("offset"::VARCHAR, 2, '0') || chr(9) || string_agg(q::VARCHAR, chr(9) ORDER BY base) AS line FROM q GROUP BY motif_id, "offset"
+UNION ALL SELECT motif_id, line_no, line FROM (SELECT DISTINCT motif_id FROM counts), (VALUES (1, 'ID' || chr(9)), (2, 'XX' || chr(9)), (3, 'BF' || chr(9)), (4, 'XX' || chr(9)), (5, 'P0' || chr(9) || 'A' || chr(9) || 'C' || chr(9) || 'G' || chr(9) || 'T'), ({WIDTH + 6}, 'XX' || chr(9))) v(line_no, line)""")
+def debug_transfac_lines(spark, d):
+    return sinks.transfac_lines(counts(spark, d), thousandths=True)
+
+
+@query(f"""WITH {COUNTS_SQL}, l AS (SELECT motif_id, "offset", base, f, f * greatest(ic, 0) AS height FROM icf JOIN ic USING (motif_id, "offset"))
+SELECT motif_id, "offset", base, round(height, 9)::DOUBLE AS height, round(coalesce(sum(height) OVER (PARTITION BY motif_id, "offset" ORDER BY f, base DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9)::DOUBLE AS bottom FROM l""")
+def logo_letters(spark, d):
+    return drawings.letters(counts(spark, d)).select("motif_id", "offset", "base", F.round("height", 9).alias("height"), F.round("bottom", 9).alias("bottom"))
+
+
+@query(f"""WITH {JACCARD_SQL}, b AS (SELECT i, j, jaccard FROM jac UNION ALL SELECT j, i, jaccard FROM jac)
+SELECT i AS motif_id, j AS other, (CASE WHEN j > i THEN j - 1 ELSE j END)::INTEGER AS place, round(jaccard, 9)::DOUBLE AS jaccard FROM b""")
+def overlap_bars(spark, d):
+    ranked = spark.createDataFrame([(m + 1, m + 1) for m in range(len(WORDS))], "motif_id int, rank int")
+    return drawings.bars(ranked, intervals.jaccard(unions(spark, d))).select("motif_id", "other", "place", F.round("jaccard", 9).alias("jaccard"))
+
+
 @query(f"""WITH {COUNTS_SQL}, n AS (SELECT motif_id, sum(cnt)::BIGINT AS n FROM counts WHERE "offset" = 1 GROUP BY motif_id)
 SELECT motif_id, ("offset" + 11)::INTEGER AS line_no, ' ' || string_agg(printf('%.6f', freq), ' ' ORDER BY base) AS line FROM freqs GROUP BY motif_id, "offset"
 UNION ALL SELECT motif_id, line_no, line FROM n, (VALUES (1, 'MEME version 4'), (2, ''), (3, 'ALPHABET= ACGT'), (4, ''), (5, 'strands: + -'), (6, ''), (7, 'Background letter frequencies'), (8, 'A 0.25 C 0.25 G 0.25 T 0.25'), (9, '')) v(line_no, line)

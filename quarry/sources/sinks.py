@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import shown_p
 from ..operators.matrices import frequency_matrix
 
-FOLDERS = ("matrices", "matrices_no_overlap")
+FOLDERS = ("matrices", "matrices_no_overlap", "logos", "logos_no_overlap")
 
 
 def folders(target: str) -> list[str]:
@@ -22,15 +22,18 @@ def folders(target: str) -> list[str]:
     return out
 
 
-def transfac_lines(counts: DataFrame, reverse: bool = False) -> DataFrame:
-    """(motif_id, line_no, line): a TRANSFAC matrix of each motif, frequencies times sites, rounded down."""
-    f = frequency_matrix(counts)
+def transfac_lines(counts: DataFrame, reverse: bool = False, thousandths: bool = False) -> DataFrame:
+    """(motif_id, line_no, line): a TRANSFAC matrix of each motif, frequencies times sites, rounded down.
+
+    With ``thousandths`` cells are the shares of the counts themselves, times 1,000: the form for debugging.
+    """
+    f = frequency_matrix(counts, 0.0) if thousandths else frequency_matrix(counts)
     sites = counts.filter("offset = 1").groupBy("motif_id").agg(F.sum("cnt").alias("sites"), F.lit(1).alias("one"))
     width = counts.groupBy("motif_id").agg(F.max("offset").alias("len"))
     f = f.join(F.broadcast(sites), "motif_id").join(F.broadcast(width), "motif_id")
     if reverse:
         f = f.withColumns({"offset": F.col("len") + 1 - F.col("offset"), "base": F.translate("base", "ACGT", "TGCA")})
-    cell = F.floor(F.col("freq") * F.col("sites")).cast("long")
+    cell = F.floor(F.col("freq") * (F.lit(1000) if thousandths else F.col("sites"))).cast("long")
     rows = f.groupBy("motif_id", "offset").agg(*[F.max(F.when(F.col("base") == b, cell)).alias(b) for b in "ACGT"])
     body = rows.select("motif_id", (F.col("offset") + 5).alias("line_no"), F.concat_ws("\t", F.lpad(F.col("offset").cast("string"), 2, "0"), *[F.col(b).cast("string") for b in "ACGT"]).alias("line"))
     head = [(1, "ID\t"), (2, "XX\t"), (3, "BF\t"), (4, "XX\t"), (5, "P0\tA\tC\tG\tT")]
@@ -55,15 +58,17 @@ def meme_lines(counts: DataFrame, name: str = "unspecified") -> DataFrame:
 
 def write_matrices(counts: DataFrame, target: str) -> None:
     """A folder of text for each motif and format; a motif's lines are one small group."""
-    for kind, lines in (("transfac", transfac_lines(counts)), ("transfac_reverse", transfac_lines(counts, reverse=True)), ("meme", meme_lines(counts))):
+    for kind, lines in (("transfac", transfac_lines(counts)), ("debug", transfac_lines(counts, thousandths=True)), ("transfac_reverse", transfac_lines(counts, reverse=True)), ("meme", meme_lines(counts))):
         lines.repartition("motif_id").sortWithinPartitions("motif_id", "line_no").select("motif_id", "line").write.partitionBy("motif_id").mode("overwrite").text(f"{target}/{kind}")
 
 
-def write_html(report: DataFrame, path: str, sequences: int, overlapping: bool = True, alpha: float = 1e-5) -> None:
-    """One table of ``report(label, p_value, consensus, counts)``, a row a motif; ``overlapping`` says how its hits were counted."""
+def write_html(report: DataFrame, path: str, sequences: int, overlapping: bool = True, alpha: float = 1e-5, drawings: str | None = None) -> None:
+    """One table of ``report(label, p_value, consensus, counts)``, a row a motif; ``overlapping`` says how its hits were counted, and
+    ``drawings`` where, from the page, the motifs' drawings lie."""
     shown = report.withColumn("shown", shown_p(F.col("p_value"), F.col("p_value") < alpha))
-    rows = "\n".join(f"<tr><td>{html.escape(str(r.label))}</td><td>{r.shown}</td><td><code>{html.escape(r.consensus)}</code></td><td>{r.counts}</td></tr>" for r in shown.orderBy("rank").collect())
+    drawn = lambda label: "" if drawings is None else "".join(f"<td><img src='{drawings}/{label}{x}.svg' alt='{label}{x}'></td>" for x in ("", "_reverse", "_overlap"))
+    rows = "\n".join(f"<tr><td>{html.escape(str(r.label))}</td><td>{r.shown}</td><td><code>{html.escape(r.consensus)}</code></td><td>{r.counts}</td>{drawn(html.escape(str(r.label)))}</tr>" for r in shown.orderBy("rank").collect())
     kind = "" if overlapping else " (without overlaps)"
-    page = f"<!doctype html><meta charset=utf-8><title>Patterns{kind}</title><p>Sequences: {sequences}</p><table><tr><th>Label</th><th>p</th><th>Consensus</th><th>Count</th></tr>\n{rows}\n</table>\n"
+    page = f"<!doctype html><meta charset=utf-8><title>Patterns{kind}</title><p>Sequences: {sequences}</p><table><tr><th>Label</th><th>p</th><th>Consensus</th><th>Count</th>{'' if drawings is None else '<th>Logo</th><th>Other strand</th><th>Overlaps</th>'}</tr>\n{rows}\n</table>\n"
     with open(path, "w", encoding="utf-8") as f:
         f.write(page)

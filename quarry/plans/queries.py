@@ -815,7 +815,7 @@ def kmer_encoder(spark, d):
 
 @query()
 def learned_encoder(spark, d):
-    """Events of the syntax layer, of 24 filters and an epoch of 12 steps over all sequences: rows only.  A planted pair of words becomes one syntax filter in the tests."""
+    """Events of the syntax layer, of 24 filters and an epoch of 12 steps over all sequences: rows only.  One syntax filter finds planted pairs of words in the tests."""
     from ..operators.syntax import Shape, train
 
     own = seqs(spark, d)

@@ -236,10 +236,12 @@ def _collapsed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one context of each kind, the first, with how often it occurs; ranges of all others, which are repeats as a whole)."""
     me = F.struct(F.col("k").isNotNull().alias("some"), F.col("k").alias("k"), F.col("tie").alias("tie"), F.col("a").alias("a"))
     distinct = written(found.groupBy("h", "c").agg(F.min(me).alias("me"), F.count("*").alias("times")).select("h", "c", "me.k", "me.tie", "me.a", "times"), "suffix-distinct")
-    first = distinct.filter("times > 1").select("h", F.xxhash64("c").alias("ch"), F.struct("k", "tie", "a").alias("first"))
-    every = found.select("h", F.xxhash64("c").alias("ch"), F.struct("k", "tie", "a").alias("at"), "k", "tie", F.col("a").alias("from"), (F.col("a") + F.octet_length("c")).alias("to"))
+    # contexts meet by their minimiser and two hashes of their bytes of 64 bits each, the second with another seed
+    same = ["h", F.xxhash64("c").alias("ch"), F.xxhash64(F.lit(1), "c").alias("ch2")]
+    first = distinct.filter("times > 1").select(*same, F.struct("k", "tie", "a").alias("first"))
+    every = found.select(*same, F.struct("k", "tie", "a").alias("at"), "k", "tie", F.col("a").alias("from"), (F.col("a") + F.octet_length("c")).alias("to"))
     # one shuffle of narrow rows; a context with very many occurrences is split as a skewed join
-    whole = every.join(first, ["h", "ch"]).filter(~F.col("at").eqNullSafe(F.col("first"))).select("k", "tie", "from", "to")
+    whole = every.join(first, ["h", "ch", "ch2"]).filter(~F.col("at").eqNullSafe(F.col("first"))).select("k", "tie", "from", "to")
     whole = written(whole, "suffix-whole")
     # the contexts' bytes are not needed twice on disk
     dropped(found)

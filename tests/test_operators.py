@@ -285,6 +285,30 @@ def test_equal_length_merge_against_pairs(spark):
                         into = {m: i if r == j else r for m, r in into.items()}
                         changed = True
     assert {m: r for m, (r, _) in merge.merge_equal_lengths(mats).items()} == into and len(set(into.values())) < 30
+    # small boxes and few proposals; tasks of the cluster
+    decided = merge.equal_length_decisions(mats, DEFAULT.allr)
+    assert merge.equal_length_decisions(mats, DEFAULT.allr, first=1, most=2) == decided
+    assert merge.equal_length_decisions(mats, DEFAULT.allr, spark, first=2, most=4) == decided
+    assert merge.equal_length_decisions({}, DEFAULT.allr, spark) == [] == merge.equal_length_decisions({1: mats[1]}, DEFAULT.allr, spark)
+
+
+def test_screened_ratios_bound_and_equal_exact_ones():
+    """Products of matrices give the ratios; uneven matrices are left to the exact one, and boxes hide nothing."""
+    rng = np.random.default_rng(8)
+    stack = np.array([rng.multinomial(50, p, 1)[0] for p in rng.dirichlet([0.3] * 4, 40 * 5)]).reshape(40, 5, 4).astype(float)
+    stack[7, 2] *= 2
+    own = merge.Stack(stack)
+    assert not own.even[7] and own.even.sum() == 39
+    every = np.arange(40)
+    for sides, others in (((own.f, own.w), stack), (own.turned(every), stack[:, ::-1, ::-1])):
+        got = own.screened(every, *sides, own.n, own.even)
+        want = np.array([[merge.mean_ratio(o, c) for c in stack] for o in others])
+        both = own.even[:, None] & own.even
+        assert np.allclose(got[both], want[both]) and np.isinf(got[~both]).all()
+    near = {(i, j) for i in range(40) for j in range(i + 1, 40) if 7 in (i, j) or max(merge.mean_ratio(stack[i], stack[j]), merge.mean_ratio(stack[i], stack[j][::-1, ::-1])) > 0.3}
+    boxes = own.boxes(4)
+    assert sorted(x for b in boxes for x in b.tolist()) == list(range(40)) and max(map(len, boxes)) <= 4
+    assert {(i, j) for b in range(len(boxes)) for i, js, more in merge._proposed(own, boxes, b, 0.3, 99) for j in js if not more} == near
 
 
 def test_redundant_motifs_become_one(spark):

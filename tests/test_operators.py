@@ -306,9 +306,10 @@ def test_screened_ratios_bound_and_equal_exact_ones():
         both = own.even[:, None] & own.even
         assert np.allclose(got[both], want[both]) and np.isinf(got[~both]).all()
     near = {(i, j) for i in range(40) for j in range(i + 1, 40) if 7 in (i, j) or max(merge.mean_ratio(stack[i], stack[j]), merge.mean_ratio(stack[i], stack[j][::-1, ::-1])) > 0.3}
-    boxes = own.boxes(4)
-    assert sorted(x for b in boxes for x in b.tolist()) == list(range(40)) and max(map(len, boxes)) <= 4
-    assert {(i, j) for b in range(len(boxes)) for i, js, more in merge._proposed(own, boxes, b, 0.3, 99) for j in js if not more} == near
+    boxes = merge.Boxes(own, 4)
+    for _, groups, *_ in boxes.parts:
+        assert sorted(x for g in groups for x in g.tolist()) == list(range(40)) and max(map(len, groups)) <= 4
+    assert {(i, j) for i, js, more in merge._proposed(boxes, 0, 0.3, 99) for j in js if not more} == near
 
 
 def test_redundant_motifs_become_one(spark):

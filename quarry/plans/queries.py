@@ -461,10 +461,56 @@ def allr_sliding(spark, d):
     return merge.best_offset(counts(spark, d)).select("i", "j", "shift", F.round("allr", 6).alias("allr"))
 
 
+#: Letters of the words whose windows are merged.
+MERGED = 4
+WINDOW = MERGED + 2 * FLANK
+_AT = [f"substr(seq, pos + {FLANK + i}, 1)" for i in range(MERGED)]
+
+
+def word_windows(own: DataFrame) -> DataFrame:
+    """A hit of its word's motif for each window of each sequence: all words of ``MERGED`` letters, with their flanks."""
+    at = own.select("seq_id", "seq", F.explode(F.sequence(F.lit(1), F.lit(LENGTH - WINDOW + 1))).alias("pos"))
+    number = " + ".join(f"(position({a}, 'ACGT') - 1) * {4 ** (MERGED - 1 - i)}" for i, a in enumerate(_AT))
+    return at.select(F.expr(f"cast(1 + {number} AS bigint)").alias("motif_id"), "seq_id", "pos", F.lit(False).alias("comp"), F.lit(WINDOW).alias("len"))
+
+
+# one decision, or one step to the next taker or round, after the other; x is the taker's rank in its round, y that of what it has met last
+_N = f"(list_sum(c) / {WINDOW} + 4 * {DEFAULT.ps_allr}::DOUBLE)"
+_READY = f"SELECT *, {_N} AS n, list_transform(c, lambda v: v + {DEFAULT.ps_allr}::DOUBLE) AS a, list_transform(c, lambda v: log2((v + {DEFAULT.ps_allr}::DOUBLE) / {_N} / 0.25::DOUBLE)) AS w FROM g"
+
+
+@query(f"""WITH RECURSIVE {SEQUENCES_SQL}, wins AS (SELECT seq, pos, substr(seq, pos, {WINDOW}) AS win FROM (SELECT seq, unnest(range(1, {LENGTH - WINDOW + 2})) AS pos FROM sequences)),
+named AS (SELECT 1 + {" + ".join(f"(instr('ACGT', {a}) - 1) * {4 ** (MERGED - 1 - i)}" for i, a in enumerate(_AT))} AS motif_id, win FROM wins),
+cells AS (SELECT motif_id, o, substr(win, o, 1) AS base, count(*) AS cnt FROM (SELECT motif_id, win, unnest(range(1, {WINDOW + 1})) AS o FROM named) GROUP BY ALL),
+grid AS (SELECT motif_id, o, base FROM (SELECT DISTINCT motif_id FROM named), (SELECT unnest(range(1, {WINDOW + 1})) AS o), (SELECT unnest(['A', 'C', 'G', 'T']) AS base)),
+start AS (SELECT motif_id, list(coalesce(cnt, 0)::DOUBLE ORDER BY o, base) AS c FROM grid LEFT JOIN cells USING (motif_id, o, base) GROUP BY motif_id),
+g(step, turn, changed, x, y, rk, motif_id, c, taker, taken, turned, ratio) AS (
+  SELECT 0, 1, false, 1::BIGINT, 1::BIGINT, row_number() OVER (ORDER BY list_sum(c) DESC, motif_id), motif_id::BIGINT, c, NULL::BIGINT, NULL::BIGINT, false, NULL::DOUBLE FROM start
+  UNION ALL
+  SELECT * FROM (WITH ready AS ({_READY}), own AS (SELECT motif_id AS m, c AS c1, a AS a1, w AS w1, n AS n1 FROM ready WHERE rk = x),
+    met AS (SELECT rk AS hit, motif_id AS hit_id, c AS c2, (list_inner_product(a, w1) + list_inner_product(a1, w)) / (n + n1) / {WINDOW} AS f,
+      (list_inner_product(list_reverse(a), w1) + list_inner_product(a1, list_reverse(w))) / (n + n1) / {WINDOW} AS r FROM ready, own WHERE rk > y),
+    near AS (SELECT *, r > f AS flip FROM met WHERE greatest(f, r) > {DEFAULT.allr}::DOUBLE ORDER BY hit LIMIT 1),
+    later AS (SELECT min(rk) AS nx FROM g WHERE rk > x)
+    SELECT step + 1, turn, true, x, hit, rk, motif_id, CASE WHEN rk = x THEN list_transform(list_zip(c, CASE WHEN flip THEN list_reverse(c2) ELSE c2 END), lambda z: z[1] + z[2]) ELSE c END, m, hit_id, flip, greatest(f, r)
+      FROM g, own, near WHERE rk <> hit
+    UNION ALL SELECT step + 1, turn, changed, nx, nx, rk, motif_id, c, NULL, NULL, false, NULL FROM g, later WHERE nx IS NOT NULL AND NOT EXISTS (FROM near)
+    UNION ALL SELECT step + 1, turn + 1, false, 1, 1, row_number() OVER (ORDER BY list_sum(c) DESC, motif_id), motif_id, c, NULL, NULL, false, NULL FROM g, later WHERE nx IS NULL AND changed AND NOT EXISTS (FROM near))
+), taken AS (SELECT DISTINCT step, turn, taker, taken, turned, ratio FROM g WHERE taken IS NOT NULL)
+SELECT row_number() OVER (ORDER BY step) AS step, turn, taker, taken, turned, round(ratio, 6)::DOUBLE AS ratio FROM taken""")
+def merge_decisions(spark, d):
+    """Which motif takes in which, in order, when the windows around all words of four letters are merged."""
+    own = seqs(spark, d)
+    found = merge.equal_length_decisions(merge.matrices_of(matrices.count_matrix(matrices.windows(word_windows(own), own))), spark=spark)
+    rows = [(step, *row[1:]) for step, row in enumerate(found, 1)]
+    table = spark.createDataFrame(rows, "step bigint, turn int, taker bigint, taken bigint, turned boolean, ratio double")
+    return table.withColumn("ratio", F.round("ratio", 6))
+
+
 @query()
 def merge_equal_len_fixpoint(spark, d):
     """Greedy and order-dependent on the small side: rows only, invariants are tested."""
-    into = merge.merge_equal_lengths(merge.matrices_of(counts(spark, d)))
+    into = merge.merge_equal_lengths(merge.matrices_of(counts(spark, d)), spark=spark)
     return spark.createDataFrame([(m, r, c) for m, (r, c) in into.items()], "motif_id bigint, merged_into bigint, comp boolean")
 
 

@@ -16,7 +16,7 @@ counts half.
 
 Defined results: a null or empty text has no words, no places, null first and last word, empty labels and score 0; repeated rows
 are scanned one by one; other columns may stand beside key and text and are ignored.  A text is worked on whole; memory
-follows the longest text.
+follows the longest text's words, and starts are verified in parts of fixed size.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from .license_texts import BASE, MORE, TEXTS
 RARE, RARE_IN_PHRASE, NEED = 12, 3, 4
 #: Words by which starts may drift, and the least share of a text's IDF.
 SLACK, SHARE = 12, 0.8
+#: Words that are looked up, and template words that are held against a file, at a time.
+AT_ONCE = 1 << 18
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
 
 
@@ -97,9 +99,13 @@ class Index:
 
     def known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The index's number of each word, -1 for others.  The hash names the word; its bytes prove it."""
-        out = np.full(len(starts), -1, np.int64)
-        if not len(starts):
-            return out
+        out = np.full(len(starts), -1, np.int32)
+        for lo in range(0, len(starts), AT_ONCE):
+            out[lo : lo + AT_ONCE] = self._known(data, starts[lo : lo + AT_ONCE], ends[lo : lo + AT_ONCE])
+        return out
+
+    def _known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.full(len(starts), -1, np.int32)
         h = scan.word_hashes(data, starts, ends)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         here = np.flatnonzero((self.hashes[at] == h) & (ends - starts == self.sizes[at]))
@@ -137,25 +143,39 @@ class Index:
             return (np.zeros(0, np.int64),) * 4 + (np.zeros(0), np.zeros(0, bool))
         _, place = np.unique(place, return_inverse=True)
         heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        # every word of the template at every start that was voted for
-        width = self.width[t]
-        k = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        q, of = np.repeat(start, width) + k, np.repeat(np.arange(len(t)), width)
-        inside = (q >= bounds[text[of]]) & (q < bounds[text[of] + 1])
-        want = self.flat[self.begin[t[of]] + k]
-        right = inside & (word[np.clip(q, 0, len(word) - 1)] == want)
-        widest = int(self.width.max())
-        stands = np.unique((place[of] * widest + k)[right])
-        own = stands // widest
+        share = self._stood(word, bounds, t, start, text, place, len(heads))
         t, text, first = t[heads], text[heads], start[heads]
         last = start[np.append(heads[1:], len(start)) - 1]
-        share = np.bincount(own, weights=self.weight[self.flat[self.begin[t[own]] + stands % widest]], minlength=len(heads)) / self.total[t]
+        share /= self.total[t]
         found = np.where(self.phrase[t], share == 1, share >= SHARE)
         for i in np.flatnonzero(found & ~self.phrase[t]).tolist():
             lo, hi = max(int(bounds[text[i]]), int(first[i]) - SLACK), min(int(bounds[text[i] + 1]), int(last[i] + self.width[t[i]]) + SLACK)
             found[i] = all(self._stands(word[lo:hi], key) for key in self.keys[t[i]])
         return text, t, first, last, share, found
 
+    def _stood(self, word, bounds, t, start, text, place, places: int) -> np.ndarray:
+        """IDF of the templates' words that stand in their place at some start of each place, from ``AT_ONCE`` words at a time."""
+        widest = int(self.width.max())
+        width = self.width[t]
+        part = (np.cumsum(width) - 1) // AT_ONCE
+        cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(t)]
+        stood, open_ = np.zeros(places), np.zeros(0, np.int64)
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            n = width[lo:hi]
+            of = np.repeat(np.arange(lo, hi), n)
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            q = start[of] + k
+            inside = (q >= bounds[text[of]]) & (q < bounds[text[of] + 1])
+            right = inside & (word[np.clip(q, 0, len(word) - 1)] == self.flat[self.begin[t[of]] + k])
+            stands = np.unique(np.concatenate([open_, (place[of] * widest + k)[right]]))
+            # the last place may go on in the next part: its words, a template's at most, wait for it
+            own = stands // widest
+            goes_on = own == place[hi - 1] if hi < len(t) else np.zeros(len(own), bool)
+            open_, stands, own = stands[goes_on], stands[~goes_on], own[~goes_on]
+            template = t[np.searchsorted(place, own)]
+            stood += np.bincount(own, weights=self.weight[self.flat[self.begin[template] + stands % widest]], minlength=places)
+        return stood
+
     @staticmethod
     def _stands(word: np.ndarray, key: np.ndarray) -> bool:
         n = len(word) - len(key) + 1

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -454,6 +455,19 @@ def test_edited_licence_texts_are_found(spark):
     assert "mit" not in got[len(docs) - 2].labels and "mit" not in got[len(docs) - 1].labels and 0.3 < got[len(docs) - 1].score <= 0.5
 
 
+def test_licences_in_parts_give_the_same(monkeypatch):
+    """Parts that cut places, and a place that goes on through many parts, change no row."""
+    rng = random.Random(9)
+    texts = [" ".join(edited_words(rng, t.split(), 0.01)) for _, t, _ in licenses.TEXTS for _ in range(3)]
+    docs = [" ".join(rng.sample(texts, len(texts))), "", None, " ".join(texts[0].split()[:9] * 200), *texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs)], ["doc_id", "text"])
+    whole = [b.to_pylist() for b in licenses.scanned([batch], licenses.index())]
+    for most in (50, 700):
+        monkeypatch.setattr(licenses, "AT_ONCE", most)
+        assert [b.to_pylist() for b in licenses.scanned([batch], licenses.index())] == whole
+    assert whole[0][0]["labels"].count(",") > 5
+
+
 def test_rare_postings_lose_no_phrase():
     """Every phrase of the index is found wherever it stands, beside many rarer words of other templates."""
     index = licenses.Index()

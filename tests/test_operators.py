@@ -518,11 +518,25 @@ def test_merges_in_bulk_decide_one_by_one(spark):
     rng = np.random.default_rng(5)
     base = [rng.dirichlet([0.3] * 4, n) for n in (6, 6, 9)]
     own = {m: rng.poisson(base[m % 3] * rng.integers(5, 200)).astype(float)[:: 1 - 2 * (m % 2), :: 1 - 2 * (m % 2)] for m in range(1, 25)}
-    order = sorted(own, key=lambda m: (len(own[m]), -own[m].sum(), m))
-    longer = merge._Longer(own, order)
-    for x, i in enumerate(order):
-        want = [(y, *f) for y in range(x + 1, len(order)) if (f := merge.sub_alignment(own[i], own[order[y]], 0.5, 80))]
-        assert longer.candidates(own[i], x, 0.5, 80) == want
+    uneven = own[5].copy()
+    uneven[1] *= 2
+    own[5] = uneven
+    longer = merge.Longer(own)
+    order = longer.order
+    assert order == sorted(own, key=lambda m: (len(own[m]), -own[m].sum(), m))
+    want = {(x, y, *f) for x, i in enumerate(order) for y in range(x + 1, len(order)) if (f := merge.sub_alignment(own[i], own[order[y]], 0.5, 80))}
+    assert {(r.x, r.z, r.offset, r.turned) for r in merge.sub_alignments(own, spark, 0.5).collect()} == want and len(want) > 20
+    some = merge.sub_alignments(longer, spark, 0.5, first=2).collect()
+    assert {(r.x, r.more) for r in some} == {(x, sum(w[0] == x for w in want) > 2) for x in {w[0] for w in want}} and max(sum(r.x == s.x for r in some) for s in some) == 2
+    assert merge.sub_alignments({}, spark).count() == 0 == merge.sub_alignments({1: own[1]}, spark).count()
+    # a grown matrix is found with its new counts, among few places as among all
+    own[order[-1]] = own[order[-1]] + own[order[-2]]
+    longer.update(len(order) - 1, own[order[-1]])
+    for x, i in enumerate(order[:-1]):
+        f = merge.sub_alignment(own[i], own[order[-1]], 0.5, 80)
+        for among in (None, np.array([len(order) - 1])):
+            (places,) = longer.near(x, x + 1, 0.5, 80, among)
+            assert [r[1:] for r in longer.alignments(own[i], places, 0.5) if r[0] == len(order) - 1] == ([f] if f else [])
     passage = "TGACGTCATCAGGTCA"
     texts = []
     for _ in range(40):
@@ -535,6 +549,49 @@ def test_merges_in_bulk_decide_one_by_one(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and {(r.motif_id, r.pos, r.len) for r in a} >= {(4, 21, 16)} and len({r.motif_id for r in a}) < 4
 
 
+def test_alignment_decisions_against_letters(spark):
+    """Each decision and all hits, against a plain loop that cuts the widened hits' letters anew for each pair."""
+    rng = random.Random(3)
+    passage = "TGACGTCATCAGGTCAGGCATTCC"
+    texts = []
+    for _ in range(30):
+        s = [rng.choice("ACGT") for _ in range(60)]
+        s[18:42] = passage
+        texts.append("".join(s))
+    # pieces of the passage, some on the other strand, one whose widened hits leave the sequence, and one that is elsewhere
+    pieces = [(0, 8, False), (3, 8, True), (2, 12, False), (6, 9, False), (1, 14, True), (0, 24, False), (9, 10, True)]
+    own = [(m, q, 19 + o, c, n) for q in range(30) for m, (o, n, c) in enumerate(pieces, 1)] + [(8, q, 1, False, 8) for q in range(30)]
+    seq = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    turn = lambda w: w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+    def matrix(of):
+        words = [turn(texts[q][p - 1 : p - 1 + n]) if c else texts[q][p - 1 : p - 1 + n] for _, q, p, c, n in of]
+        return np.array([[sum(w[o] == b for w in words) for b in "ACGT"] for o in range(of[0][4])], float) if of else None
+
+    live = {m: [r for r in own if r[0] == m] for m in range(1, 9)}
+    mats = {m: matrix(live[m]) for m in live}
+    order, want = sorted(mats, key=lambda m: (len(mats[m]), -mats[m].sum(), m)), []
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            found = merge.sub_alignment(mats[i], mats[j])
+            if not found:
+                continue
+            rest = len(mats[j]) - len(mats[i]) - found[0]
+            front, back = (rest, found[0]) if found[1] else (found[0], rest)
+            wide = [(j, q, p - (back if c else front), c != found[1], n + front + back) for _, q, p, c, n in live[i]]
+            wide = [r for r in wide if r[2] >= 1 and r[2] + r[4] - 1 <= 60]
+            if wide and (ratio := merge.mean_ratio(matrix(wide), mats[j])) > DEFAULT.allr:
+                want.append((j, i, front, back, found[1], round(ratio, 9)))
+                live[j] += wide
+                mats[j] = mats[j] + matrix(wide)
+                del live[i]
+                break
+    for options in ({}, {"ahead": 1}, {"first": 1}, {"ahead": 2, "first": 1}):
+        left, decided = merge.alignment_decisions(hits(spark, own), seq, 60, **options)
+        assert [(*d[:5], round(d[5], 9)) for d in decided] == want and len(want) >= 4
+        assert sorted(map(tuple, left.select("motif_id", "seq_id", "pos", "comp", "len").collect())) == sorted(r for m in live for r in ((m, *x[1:]) for x in live[m]))
+
+
 def test_learned_encoder_finds_planted_word(spark):
     from quarry.operators import learned
 

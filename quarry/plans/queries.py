@@ -467,11 +467,12 @@ WINDOW = MERGED + 2 * FLANK
 _AT = [f"substr(seq, pos + {FLANK + i}, 1)" for i in range(MERGED)]
 
 
-def word_windows(own: DataFrame) -> DataFrame:
-    """A hit of its word's motif for each window of each sequence: all words of ``MERGED`` letters, with their flanks."""
-    at = own.select("seq_id", "seq", F.explode(F.sequence(F.lit(1), F.lit(LENGTH - WINDOW + 1))).alias("pos"))
-    number = " + ".join(f"(position({a}, 'ACGT') - 1) * {4 ** (MERGED - 1 - i)}" for i, a in enumerate(_AT))
-    return at.select(F.expr(f"cast(1 + {number} AS bigint)").alias("motif_id"), "seq_id", "pos", F.lit(False).alias("comp"), F.lit(WINDOW).alias("len"))
+def word_windows(own: DataFrame, letters: int = MERGED, flank: int = FLANK, first: int = 1) -> DataFrame:
+    """A hit of its word's motif for each window of each sequence: all words of some letters, with their flanks, numbered from ``first``."""
+    width = letters + 2 * flank
+    at = own.select("seq_id", "seq", F.explode(F.sequence(F.lit(1), F.lit(LENGTH - width + 1))).alias("pos"))
+    number = " + ".join(f"(position(substr(seq, pos + {flank + i}, 1), 'ACGT') - 1) * {4 ** (letters - 1 - i)}" for i in range(letters))
+    return at.select(F.expr(f"cast({first} + {number} AS bigint)").alias("motif_id"), "seq_id", "pos", F.lit(False).alias("comp"), F.lit(width).alias("len"))
 
 
 # one decision, or one step to the next taker or round, after the other; x is the taker's rank in its round, y that of what it has met last
@@ -479,8 +480,8 @@ _N = f"(list_sum(c) / {WINDOW} + 4 * {DEFAULT.ps_allr}::DOUBLE)"
 _READY = f"SELECT *, {_N} AS n, list_transform(c, lambda v: v + {DEFAULT.ps_allr}::DOUBLE) AS a, list_transform(c, lambda v: log2((v + {DEFAULT.ps_allr}::DOUBLE) / {_N} / 0.25::DOUBLE)) AS w FROM g"
 
 
-@query(f"""WITH RECURSIVE {SEQUENCES_SQL}, wins AS (SELECT seq, pos, substr(seq, pos, {WINDOW}) AS win FROM (SELECT seq, unnest(range(1, {LENGTH - WINDOW + 2})) AS pos FROM sequences)),
-named AS (SELECT 1 + {" + ".join(f"(instr('ACGT', {a}) - 1) * {4 ** (MERGED - 1 - i)}" for i, a in enumerate(_AT))} AS motif_id, win FROM wins),
+DECISIONS_SQL = f"""WITH RECURSIVE {SEQUENCES_SQL}, wins AS (SELECT seq_id, seq, pos, substr(seq, pos, {WINDOW}) AS win FROM (SELECT seq_id, seq, unnest(range(1, {LENGTH - WINDOW + 2})) AS pos FROM sequences)),
+named AS (SELECT 1 + {" + ".join(f"(instr('ACGT', {a}) - 1) * {4 ** (MERGED - 1 - i)}" for i, a in enumerate(_AT))} AS motif_id, seq_id, pos, win FROM wins),
 cells AS (SELECT motif_id, o, substr(win, o, 1) AS base, count(*) AS cnt FROM (SELECT motif_id, win, unnest(range(1, {WINDOW + 1})) AS o FROM named) GROUP BY ALL),
 grid AS (SELECT motif_id, o, base FROM (SELECT DISTINCT motif_id FROM named), (SELECT unnest(range(1, {WINDOW + 1})) AS o), (SELECT unnest(['A', 'C', 'G', 'T']) AS base)),
 start AS (SELECT motif_id, list(coalesce(cnt, 0)::DOUBLE ORDER BY o, base) AS c FROM grid LEFT JOIN cells USING (motif_id, o, base) GROUP BY motif_id),
@@ -496,8 +497,10 @@ g(step, turn, changed, x, y, rk, motif_id, c, taker, taken, turned, ratio) AS (
       FROM g, own, near WHERE rk <> hit
     UNION ALL SELECT step + 1, turn, changed, nx, nx, rk, motif_id, c, NULL, NULL, false, NULL FROM g, later WHERE nx IS NOT NULL AND NOT EXISTS (FROM near)
     UNION ALL SELECT step + 1, turn + 1, false, 1, 1, row_number() OVER (ORDER BY list_sum(c) DESC, motif_id), motif_id, c, NULL, NULL, false, NULL FROM g, later WHERE nx IS NULL AND changed AND NOT EXISTS (FROM near))
-), taken AS (SELECT DISTINCT step, turn, taker, taken, turned, ratio FROM g WHERE taken IS NOT NULL)
-SELECT row_number() OVER (ORDER BY step) AS step, turn, taker, taken, turned, round(ratio, 6)::DOUBLE AS ratio FROM taken""")
+), taken AS (SELECT DISTINCT step, turn, taker, taken, turned, ratio FROM g WHERE taken IS NOT NULL)"""
+
+
+@query(f"{DECISIONS_SQL} SELECT row_number() OVER (ORDER BY step) AS step, turn, taker, taken, turned, round(ratio, 6)::DOUBLE AS ratio FROM taken")
 def merge_decisions(spark, d):
     """Which motif takes in which, in order, when the windows around all words of four letters are merged."""
     own = seqs(spark, d)
@@ -507,6 +510,43 @@ def merge_decisions(spark, d):
     return table.withColumn("ratio", F.round("ratio", 6))
 
 
+@query(f"""{DECISIONS_SQL}, into_(motif_id, root, turn) AS (SELECT motif_id::BIGINT, motif_id::BIGINT, false FROM start UNION ALL SELECT i.motif_id, t.taker, i.turn <> t.turned FROM into_ i JOIN taken t ON i.root = t.taken)
+SELECT root AS motif_id, pos::INTEGER AS pos, turn AS comp, count(*) AS n FROM named JOIN into_ USING (motif_id) WHERE root NOT IN (SELECT taken FROM taken) GROUP BY ALL""")
+def merged_hits(spark, d):
+    """Places and strands of the hits of all four-letter words' windows under the motifs that have taken theirs in."""
+    own = seqs(spark, d)
+    hits = word_windows(own)
+    into = merge.merge_equal_lengths(merge.matrices_of(matrices.count_matrix(matrices.windows(hits, own))), spark=spark)
+    return merge.relabelled(hits, into).groupBy("motif_id", "pos", "comp").agg(F.count("*").alias("n"))
+
+
+def _numbered(letters: int, flank: int, first: int) -> str:
+    width = letters + 2 * flank
+    number = " + ".join(f"(instr('ACGT', substr(seq, pos + {flank + i}, 1)) - 1) * {4 ** (letters - 1 - i)}" for i in range(letters))
+    return f"SELECT {first} + {number} AS motif_id, {width} AS k, substr(seq, pos, {width}) AS win FROM (SELECT seq, unnest(range(1, {LENGTH - width + 2})) AS pos FROM sequences)"
+
+
+# counts of each motif as one list, column after column, with pseudo-counts and weights; the whole list reversed is the other strand
+READY_SQL = f"""cells AS (SELECT motif_id, k, o, substr(win, o, 1) AS base, count(*) AS cnt FROM (SELECT motif_id, k, win, unnest(range(1, k + 1)) AS o FROM named) GROUP BY ALL),
+grid AS (SELECT motif_id, k, o, base FROM (SELECT motif_id, k, unnest(range(1, k + 1)) AS o FROM (SELECT DISTINCT motif_id, k FROM named)), (SELECT unnest(['A', 'C', 'G', 'T']) AS base)),
+listed AS (SELECT motif_id, k, list(coalesce(cnt, 0)::DOUBLE ORDER BY o, base) AS c FROM grid LEFT JOIN cells USING (motif_id, k, o, base) GROUP BY motif_id, k),
+ready AS (SELECT motif_id, k, list_sum(c) AS total, n, list_transform(c, lambda v: v + {DEFAULT.ps_allr}::DOUBLE) AS a, list_transform(c, lambda v: log2((v + {DEFAULT.ps_allr}::DOUBLE) / n / 0.25::DOUBLE)) AS w FROM (SELECT *, list_sum(c) / k + 4 * {DEFAULT.ps_allr}::DOUBLE AS n FROM listed))"""
+
+
+@query(f"""WITH {SEQUENCES_SQL}, named AS ({_numbered(MERGED, FLANK, 1)} UNION ALL {_numbered(3, 1, 1001)}), {READY_SQL},
+placed AS (SELECT *, row_number() OVER (ORDER BY k, total DESC, motif_id) AS x FROM ready),
+met AS (SELECT i, j, o, (list_inner_product(pa, w1) + list_inner_product(a1, pw)) / (n1 + n2) / k AS f, (list_inner_product(pa, list_reverse(w1)) + list_inner_product(list_reverse(a1), pw)) / (n1 + n2) / k AS r
+  FROM (SELECT s.motif_id AS i, l.motif_id AS j, o, s.k, s.a AS a1, s.w AS w1, s.n AS n1, l.n AS n2, l.a[4 * o + 1 : 4 * (o + s.k)] AS pa, l.w[4 * o + 1 : 4 * (o + s.k)] AS pw
+    FROM placed s JOIN placed l ON s.x < l.x AND l.k - s.k <= {DEFAULT.max_len_gap}, (SELECT unnest(range(0, {WINDOW})) AS o) WHERE o <= l.k - s.k))
+SELECT i::BIGINT AS i, j::BIGINT AS j, min(o)::INTEGER AS "offset", arg_min(r > f, o) AS turned FROM met WHERE greatest(f, r) > {DEFAULT.allr}::DOUBLE GROUP BY i, j""")
+def sub_alignments(spark, d):
+    """Which motif lies in which longer or later one, at which offset and strand: windows of all words of four and of three letters."""
+    own = seqs(spark, d)
+    hits = word_windows(own).unionByName(word_windows(own, 3, 1, 1001))
+    found = merge.sub_alignments(merge.matrices_of(matrices.count_matrix(matrices.windows(hits, own))), spark)
+    return found.select("i", "j", "offset", "turned")
+
+
 @query()
 def merge_equal_len_fixpoint(spark, d):
     """Greedy and order-dependent on the small side: rows only, invariants are tested."""
@@ -694,6 +734,38 @@ def jaccard_overlap(spark, d):
     return intervals.jaccard(unions(spark, d)).select("i", "j", F.round("jaccard", 9).alias("jaccard"))
 
 
+#: Columns beside a word, for hits that nearly coincide with one column less.
+ASIDE = 10
+BROAD = len(WORDS[0]) + 2 * ASIDE
+NEAR_HITS_SQL = f"""{SEQUENCES_SQL},
+words(motif_id, w, comp) AS (VALUES {WORDS_SQL}),
+broad AS (SELECT motif_id::BIGINT AS motif_id, seq_id, p::INTEGER AS pos, comp, {BROAD} AS len, seq FROM (SELECT seq_id, seq, unnest(range(1, {LENGTH - BROAD + 2})) AS p FROM sequences) JOIN words ON substr(seq, p + {ASIDE}, 6) = w),
+hits AS (FROM broad UNION ALL SELECT motif_id + 10, seq_id, pos + CASE WHEN comp THEN 0 ELSE 1 END, comp, len - 1, seq FROM broad UNION ALL SELECT motif_id + 20, seq_id, pos + CASE WHEN comp THEN 1 ELSE 0 END, NOT comp, len - 1, seq FROM broad)"""
+
+
+# one round: no pairs are left after it (tested by the rows being equal, as the operator goes on until there are none)
+@query(f"""WITH RECURSIVE {JACCARD_SQL.replace(HITS_SQL, NEAR_HITS_SQL)},
+named AS (SELECT motif_id, len AS k, CASE WHEN comp THEN translate(reverse(substr(seq, pos, len)), 'ACGT', 'TGCA') ELSE substr(seq, pos, len) END AS win FROM hits), {READY_SQL},
+close AS (SELECT i, j FROM jac JOIN ready a ON a.motif_id = i JOIN ready b ON b.motif_id = j WHERE jaccard > {DEFAULT.redundancy_jaccard} AND abs(a.k - b.k) < {DEFAULT.redundancy_window}),
+both_ways AS (SELECT i, j FROM close UNION SELECT j, i FROM close),
+reached(i, j) AS (SELECT i, i FROM both_ways UNION SELECT r.i, b.j FROM reached r JOIN both_ways b ON r.j = b.i),
+roots AS (SELECT r.i AS motif_id, arg_min(q.motif_id, (q.k, q.motif_id)) AS root FROM reached r JOIN ready q ON q.motif_id = r.j GROUP BY r.i),
+pairs AS (SELECT m.motif_id, root, s.k, m.k AS km, s.n AS n1, m.n AS n2, s.a AS a1, s.w AS w1, turned, CASE WHEN turned THEN list_reverse(m.a) ELSE m.a END AS a2, CASE WHEN turned THEN list_reverse(m.w) ELSE m.w END AS w2
+  FROM roots JOIN ready m USING (motif_id) JOIN ready s ON s.motif_id = root, (SELECT unnest([false, true]) AS turned) WHERE root <> roots.motif_id),
+slid AS (SELECT *, greatest(0, shift) AS lo, least(km, shift + k) AS hi FROM pairs, (SELECT unnest(range({1 - BROAD}, {BROAD})) AS shift)),
+summed AS (SELECT motif_id, root, k, km, turned, shift, (list_inner_product(a2[4 * lo + 1 : 4 * hi], w1[4 * (lo - shift) + 1 : 4 * (hi - shift)]) + list_inner_product(w2[4 * lo + 1 : 4 * hi], a1[4 * (lo - shift) + 1 : 4 * (hi - shift)])) / (n1 + n2) AS s FROM slid WHERE hi - lo >= least(k, km) - {DEFAULT.offset_tolerance}),
+moved AS (SELECT * FROM summed QUALIFY row_number() OVER (PARTITION BY motif_id ORDER BY s DESC, abs(shift), turned, shift DESC) = 1),
+done AS (SELECT coalesce(root, h.motif_id) AS motif_id, seq_id, (pos + CASE WHEN root IS NULL THEN 0 WHEN comp <> turned THEN km - k - shift ELSE shift END)::INTEGER AS pos, comp <> coalesce(turned, false) AS comp, coalesce(k, len)::INTEGER AS len, root FROM hits h LEFT JOIN moved m ON h.motif_id = m.motif_id)
+SELECT DISTINCT motif_id, seq_id, pos, comp, len FROM done WHERE root IS NULL OR (pos >= 1 AND pos + len - 1 <= {LENGTH})""")
+def redundant_hits(spark, d):
+    """Hits of words with ten columns on each side, and of the same without the first or, on the other strand, the last column, after redundancy removal."""
+    own = seqs(spark, d)
+    broad = motif_hits(own, flank=ASIDE)
+    front = merge.enlarged(broad, -1, 0, False, LENGTH).withColumn("motif_id", F.col("motif_id") + 10)
+    back = merge.enlarged(broad, 0, -1, True, LENGTH).withColumn("motif_id", F.col("motif_id") + 20)
+    return merge.remove_redundancy(broad.unionByName(front).unionByName(back), own, LENGTH).select("motif_id", "seq_id", "pos", "comp", "len")
+
+
 @query("""WITH RECURSIVE ed AS (SELECT o_orderkey * 2 + 1 AS i, o_custkey * 2 AS j FROM orders), both_ways AS (SELECT i, j FROM ed UNION SELECT j, i FROM ed),
 r(node, other) AS (SELECT DISTINCT i, i FROM both_ways UNION SELECT r.node, b.j FROM r JOIN both_ways b ON r.other = b.i)
 SELECT node, min(other) AS comp FROM r GROUP BY node""")

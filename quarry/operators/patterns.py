@@ -90,13 +90,20 @@ def filtered(code: DataFrame, how: Callable[..., DataFrame] = above_quantile, **
     return code.transform(how, **options)
 
 
+#: Events that a sequence may have for its triples, of which there are then some 22 million.
+MOST_EVENTS = 512
+
+
 def triplets(code: DataFrame, height: int = DEFAULT.height) -> DataFrame:
     """All ordered triples of each sequence's events: KEY, seq, pos (of the first) and ``min_mag``.
 
-    A sequence's events (a few dozen, by ``top_q``) are gathered once, so there is one shuffle and no join.  A triple passes a filter
-    on magnitudes if its least magnitude does, so one enumeration serves all thresholds.
+    A sequence's events (a few dozen, by ``top_q``) are gathered once, so there is one shuffle and no join; more than ``MOST_EVENTS`` of
+    them are an error, as their triples grow with the third power.  A triple passes a filter on magnitudes if its least magnitude does,
+    so one enumeration serves all thresholds.
     """
     events = code.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("position", "fil", "tie", "mag"))).alias("e"))
+    many = F.raise_error(F.format_string(f"%d events of one sequence, more than {MOST_EVENTS}: keep those of top_q", F.size("e")))
+    events = events.withColumn("e", F.when(F.size("e") > MOST_EVENTS, many).otherwise(F.col("e")))
     first = events.filter(F.size("e") >= 3).select("seq", "e", F.posexplode("e").alias("i", "a"))
     second = first.filter(F.col("i") < F.size("e") - 2).select("seq", "e", "a", "i", F.posexplode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("j", "b"))
     at = F.col("i") + F.col("j") + 2

@@ -659,3 +659,36 @@ def test_stream_scan(spark, tmp_path):
 
 def test_queries_registered():
     assert len(queries.QUERIES) >= 50
+
+
+def test_best_offset_against_plain_slides(spark):
+    """Ragged lengths over several blocks, against one pair after the other; no motif and one motif have no pair."""
+    rng = np.random.default_rng(9)
+    own = {m: rng.poisson(rng.dirichlet([0.4] * 4, int(rng.integers(3, 9))) * 40) + 1.0 for m in range(1, 41)}
+    rows = [(m, o + 1, b, int(v)) for m, c in own.items() for o, col in enumerate(c) for b, v in zip("ACGT", col, strict=True)]
+    schema = "motif_id long, offset int, base string, cnt long"
+
+    def slid(a, b, shift):
+        lo, hi = max(0, shift), min(len(a), len(b) + shift)
+        fa, fb = ((x + 0.01) / (x.sum(1, keepdims=True) + 0.04) for x in (a, b))
+        na, nb = a[0].sum(), b[0].sum()
+        x, y = fa[lo:hi], fb[lo - shift : hi - shift]
+        return round(float(((na * x * np.log2(y / 0.25) + nb * y * np.log2(x / 0.25)).sum(1) / (na + nb)).sum()), 9)
+
+    want = {}
+    for i, a in own.items():
+        for j, b in own.items():
+            if i < j:
+                able = [s for s in range(1 - len(b), len(a)) if min(len(a), len(b) + s) - max(0, s) >= min(len(a), len(b)) - 4]
+                want[i, j] = max((slid(a, b, s), -s) for s in able)
+    got = {(r.i, r.j): (r.allr, -r["shift"]) for r in merge.best_offset(spark.createDataFrame(rows, schema)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p][0] - want[p][0]) < 2e-9 and got[p][1] == want[p][1] for p in want)
+    assert merge.best_offset(spark.createDataFrame([], schema)).count() == 0 == merge.best_offset(spark.createDataFrame(rows[:12], schema).filter("motif_id = 1")).count()
+
+
+def test_triples_of_too_many_events_are_an_error(spark):
+    few = spark.range(4).selectExpr("1L AS seq", "cast(id AS int) AS position", "0 AS fil", "1.0D AS mag", "id AS tie")
+    assert patterns.triplets(few).count() == 4
+    many = spark.range(patterns.MOST_EVENTS + 1).selectExpr("1L AS seq", "cast(id AS int) AS position", "0 AS fil", "1.0D AS mag", "id AS tie")
+    with pytest.raises(Exception, match="513 events of one sequence"):
+        patterns.triplets(many).count()

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quarry.operators import encode, intervals, matrices, merge, refine, scan
+from quarry.operators import encode, intervals, matrices, merge, refine, scan, syntax, tape
 from quarry.plans import queries
 
 
@@ -91,3 +91,28 @@ def test_scores_by_four_columns(spark):
                     want[m, p + 1, comp] = score
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert len(scan.blocks(mats[3])) == 3
+
+
+def test_gates_and_places_as_plain_loops():
+    rng = np.random.default_rng(2)
+    zy = np.maximum(rng.normal(size=(20, 7, 6)), 0)
+    zy[3], zy[4] = 0, 1
+    want = np.array([(z >= (np.median(z[z > 0]) if (z > 0).any() else 0)).astype(float) for z in zy])
+    assert (syntax.gate(zy) == want).all() and syntax.gate(zy.astype(np.float32)).dtype == np.float32
+    code, filters = rng.random((3, 10, 5)), rng.random((5, 4, 6))
+    placed = np.zeros((3, 13, 6))
+    for n, c, k in np.ndindex(code.shape):
+        placed[n, c : c + 4] += code[n, c, k] * filters[k]
+    assert np.allclose(tape.place_arrays(code, filters), placed)
+
+
+def test_each_block_of_a_step_is_a_task(spark):
+    """Blocks that hash alike made one task of two, and files of texts set the number of tasks that encode."""
+    q = spark.createDataFrame([(i, "".join("ACGT"[(i * j) % 7 % 4] for j in range(24)), i % 6) for i in range(60)], "seq_id long, seq string, block long").coalesce(1)
+    shape = syntax.Shape(filters=3, width=4, syntax=2, height=3, sparsity=4, code_passes=1, filter_passes=1)
+    first = syntax.initial(shape, 1)
+    slope, spent, n = syntax.summed_slopes(q, first, shape, 6)
+    whole, value = syntax.slopes(syntax.one_hot([r.seq for r in q.collect()]).astype(np.float32), first, shape)
+    assert n == 60 and abs(spent - value) < 1e-3 * value
+    model = syntax.Model(shape, first)
+    assert model.encode(q).rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism

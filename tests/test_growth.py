@@ -1,14 +1,16 @@
 """Steps whose work on large tables was measured: what they read, shuffle and make, and that their results stay what they were."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quarry.operators import encode, intervals, matrices, merge, refine, scan, syntax, tape
-from quarry.plans import queries
+from quarry.config import DEFAULT
+from quarry.operators import encode, intervals, matrices, merge, patterns, refine, scan, syntax, tape
+from quarry.plans import discover, queries
 
 
 def plan(df):
@@ -116,3 +118,45 @@ def test_each_block_of_a_step_is_a_task(spark):
     assert n == 60 and abs(spent - value) < 1e-3 * value
     model = syntax.Model(shape, first)
     assert model.encode(q).rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+
+
+def test_alignments_are_counted_once(spark, monkeypatch):
+    """However many merges there are, hits meet their sequences twice: for the matrices, and for the letters around them."""
+    passage = "TGACGTCATCAGGTCAGGCATTCC"
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGT") for _ in range(18)) + passage + "".join(rng.choice("ACGT") for _ in range(18)) for _ in range(40)]
+    rows = [(m, q, 19, False, 8 + 2 * m) for m in range(1, 9) for q in range(40)]
+    counted = []
+    plain = matrices.windows
+    monkeypatch.setattr(matrices, "windows", lambda h, s: counted.append(1) or plain(h, s))
+    seq = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    left, decided = merge.alignment_decisions(spark.createDataFrame(rows, "motif_id long, seq_id long, pos int, comp boolean, len int"), seq, 60)
+    assert len(decided) == 7 and len(counted) == 1
+    assert {tuple(r) for r in left.select("motif_id", "pos", "comp", "len").collect()} == {(8, 19, False, 24)} and left.count() == 320
+
+
+def test_letters_around_hits_equal_widened_windows(spark):
+    """Counts around hits of both strands give the matrices of their widened hits, at the sequences' edges as well, however little a task holds."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(rng.choice((30, 28)))) for _ in range(60)]
+    rows = [(m, q, rng.randint(1, 24), rng.random() < 0.5, 5 + m) for m in (1, 2) for q in range(60) for _ in range(3)]
+    seq = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    hits = spark.createDataFrame(rows, "motif_id long, seq_id long, pos int, comp boolean, len int")
+    around = merge.Around(merge.surroundings(hits, seq, 29, 15), {1: 6, 2: 7})
+    around.fetch([1, 2])
+    for m, front, back, turned in ((1, 0, 0, False), (1, 3, 5, True), (2, 8, 0, False), (2, 1, 4, True)):
+        wide = merge.enlarged(hits.filter(hits.motif_id == m), front, back, turned, 29)
+        want = merge.matrices_of(matrices.count_matrix(matrices.windows(wide, seq)))
+        assert (around.widened(m, front, back, turned) == want[m]).all()
+    assert around.widened(1, 40, 0, False) is None
+
+
+def test_mining_meets_triples_twice(spark, monkeypatch):
+    """Which patterns are enriched is read from their supports, not from their hits."""
+    rng = random.Random(7)
+    code = spark.createDataFrame([(s, p, rng.randint(0, 1), float(rng.randint(1, 9)), "w") for s in range(80) for p in (1, 4, 9, 13)], "seq long, position int, fil int, mag double, tie string")
+    merged = patterns.merged_levels(code, DEFAULT.levels, DEFAULT.base_quantile, DEFAULT.height)
+    want = {tuple(r) for r in merged.select(*patterns.KEY).collect()}
+    monkeypatch.setattr(patterns, "merged_levels", None)
+    got = discover.mined(code)
+    assert got.select("motif_id").distinct().count() == len(want) > 1

@@ -29,6 +29,7 @@ import re
 import shutil
 import tempfile
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,18 @@ from .common import deleted, documents, dropped, partitions, released, scratch,
 TOKENIZERS = "/opt/tokenizers"
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a text that are cut into words at once, of new words that are encoded at once, and words that a task remembers.
-SEGMENT, ENCODED, WORDS = 1 << 20, 1 << 18, 200_000
+SEGMENT, ENCODED, WORDS = 1 << 20, 1 << 18, 400_000
+#: Characters of new words that B gets at once: its merges are a queue over all of them, which should fit the processor's cache.
+PIECED = 1 << 14
 #: Rows of an Arrow batch of pairs.
 PAIRS = 100_000
 MARK = "▁"
 #: A space behind anything but white space (the Mongolian separator counts as such in older tables), and not at the end.
 PLACE = re.compile(r"(?<=[^\s\u180e]) (?!\Z)")
+#: A space behind white space; without any, and with none at either end, a text is cut at all its spaces.
+ODD = re.compile(r"[\s\u180e] ")
+#: Words for the faster encoder: ASCII and Latin letters with marks, which are the same in all versions of Unicode, not too long and without white space at the end.
+LATIN = re.compile(r"[\x00-\x7f\u00c0-\u024f]{0,198}[\x21-\x7f\u00c0-\u024f]").fullmatch
 #: Fixed value: A's expression, which its file names by its kind only.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOW = np.int64((1 << 32) - 1)
@@ -80,8 +87,8 @@ class Tokenizers:
         self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
         for token, i in tokens.items():
             self.a_bytes[i] = token.encode() if token in special else bytes(letters[c] for c in token)
-        #: The same vocabulary, whose ids are in the order of its merges, in a faster encoder.  Its letters may be of another Unicode version: ASCII only.
-        self.ascii = tiktoken.Encoding("ascii", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for token, i in tokens.items() if token not in special}, special_tokens={})
+        #: The same vocabulary, whose ids are in the order of its merges, in a faster encoder.  Its letters may be of another Unicode version: for ``LATIN`` only.
+        self.latin = tiktoken.Encoding("latin", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for token, i in tokens.items() if token not in special}, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
@@ -106,10 +113,10 @@ class Tokenizers:
         """
         text = " ".join(words)
         want = (" " + text).encode()
-        ends = np.cumsum([len(w) + 1 for w in words] if plain else [len(w.encode()) + 1 for w in words])
-        a = self.ascii.encode_ordinary(" " + text) if plain else self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        ends = np.cumsum([len(w) + 1 for w in words] if len(want) == len(text) + 1 else [len(w.encode()) + 1 for w in words])
+        a = self.latin.encode_ordinary(" " + text) if plain else self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
         out = []
-        for ids, table, lengths in ((a, self.a_bytes, self.a_len), (self.b.encode(text), self.b_bytes, self.b_len)):
+        for ids, table, lengths in ((a, self.a_bytes, self.a_len), (self.pieced(words), self.b_bytes, self.b_len)):
             if b"".join(map(table.__getitem__, ids)) != want:
                 return None
             ids = np.array(ids, np.int64)
@@ -120,6 +127,16 @@ class Tokenizers:
             out += [ids, np.diff(last, prepend=-1)]
         return tuple(out)
 
+    def pieced(self, words: list[str]) -> list[int]:
+        """Ids of B of a text of all words."""
+        texts, at, size = [], 0, 0
+        for i, w in enumerate(words, 1):
+            size += len(w) + 1
+            if size >= PIECED or i == len(words):
+                texts.append(" ".join(words[at:i]))
+                at, size = i, 0
+        return list(chain.from_iterable(self.b.encode(texts, num_threads=1)))
+
     def segments(self, text: str) -> Iterator[list[str]]:
         """Words of a text, some at a time."""
         if not self.cuts:
@@ -127,9 +144,14 @@ class Tokenizers:
             return
         at = 0
         while len(text) - at > SEGMENT and (m := PLACE.search(text, at + SEGMENT)):
-            yield PLACE.split(text[at : m.start()])
+            yield cut(text[at : m.start()])
             at = m.end()
-        yield PLACE.split(text[at:] if at else text)
+        yield cut(text[at:] if at else text)
+
+
+def cut(text: str) -> list[str]:
+    """A text, cut at each ``PLACE``."""
+    return PLACE.split(text) if text[:1] == " " or text[-1:] == " " or ODD.search(text) else text.split(" ")
 
 
 def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +166,11 @@ class Aligned:
     def __init__(self, t: Tokenizers, words: list[str], strings: bool):
         kinds: tuple[list[str], ...] = ([], [], [])
         for w in words:
-            # the space behind a word is a place to cut if the word doesn't end with white space
-            alone = w[-1].isspace() or w[-1] == "\u180e" or not t.cuts
-            kinds[2 if alone else 0 if w.isascii() and len(w) < 200 else 1].append(w)
+            if t.cuts and LATIN(w):
+                kinds[0].append(w)
+            else:
+                # the space behind a word is a place to cut if the word doesn't end with white space
+                kinds[2 if not t.cuts or w[-1].isspace() or w[-1] == "\u180e" else 1].append(w)
         self.words, parts, ok = [], [], []
         for kind, own in enumerate(kinds):
             if not own:
@@ -234,8 +258,8 @@ class Words:
     def of(self, words: list[str]) -> np.ndarray:
         """Numbers of the words, of which new ones are encoded first."""
         index = self.index
-        if new := [w for w in dict.fromkeys(words) if w not in index]:
-            self.add(new)
+        if new := dict.fromkeys(filterfalse(index.__contains__, words)):
+            self.add(list(new))
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:

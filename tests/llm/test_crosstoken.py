@@ -164,3 +164,26 @@ def test_documents_are_read_whole(spark, tables, rows):
     """The counts cover every document, held-out or not."""
     got = registry.QUERIES["op13_token_alignment"](spark, tables)
     assert got.count() == len(rows) == documents(spark, tables).count()
+
+
+def test_words_with_marks_take_the_faster_encoder(monkeypatch):
+    """Latin letters with marks are encoded by it, with the ids of the file's own tokenizer, and B gets new words in parts."""
+    t = crosstoken.Tokenizers()
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcxyzéèñüßçÈÀøŁğ.,;:!?'0123-\n×÷") for _ in range(rng.randint(1, 14))).strip() or "x" for _ in range(6000)})
+    assert all(crosstoken.LATIN(w) for w in words) and not any(map(crosstoken.LATIN, ("a ", "a\n", "", "a\x85", "a\xa0b", "中", "á", "a" * 200)))
+    a, b = t.encoded(words)
+    monkeypatch.setattr(crosstoken.Tokenizers, "encoded", None)
+    monkeypatch.setattr(crosstoken, "PIECED", 500)
+    ids_a, n_a, ids_b, n_b = t.joined(words, True)
+    assert ids_a.tolist() == [i for x in a for i in x] and n_a.tolist() == [len(x) for x in a]
+    assert ids_b.tolist() == [i for x in b for i in x] and n_b.tolist() == [len(x) for x in b]
+    x = crosstoken.Aligned(t, words, False)
+    assert x.words == words and x.ok.all()
+
+
+def test_cuts_equal_the_expression():
+    rng = random.Random(9)
+    for _ in range(4000):
+        text = "".join(rng.choice("ab   \n\t\x85\xa0᠎　é\x1c") for _ in range(rng.randint(0, 9)))
+        assert crosstoken.cut(text) == crosstoken.PLACE.split(text)

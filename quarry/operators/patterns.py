@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -94,24 +94,36 @@ def filtered(code: DataFrame, how: Callable[..., DataFrame] = above_quantile, **
 MOST_EVENTS = 512
 
 
+def _alike(x: Column, y: Column) -> Column:
+    return x["position"].eqNullSafe(y["position"]) & x["fil"].eqNullSafe(y["fil"])
+
+
 def triplets(code: DataFrame, height: int = DEFAULT.height) -> DataFrame:
-    """All ordered triples of each sequence's events: KEY, seq, pos (of the first) and ``min_mag``.
+    """All ordered triples of each sequence's events: KEY, seq, pos (of the first), ``min_mag``, ``lead`` and ``nulls``.
+
+    Triples of one KEY and place differ only in which of several events of one position and filter they take; ``lead`` holds for the one of the largest ``min_mag``
+    among them, so counting these counts places without grouping them.  It says nothing where ``nulls``: the sequence has null magnitudes.
 
     A sequence's events (a few dozen, by ``top_q``) are gathered once, so there is one shuffle and no join; more than ``MOST_EVENTS`` of
     them are an error, as their triples grow with the third power.  A triple passes a filter on magnitudes if its least magnitude does,
     so one enumeration serves all thresholds.
     """
-    events = code.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("position", "fil", "tie", "mag"))).alias("e"))
+    # events of one position and filter stand together, the largest first: which of them comes first changes no triple, so what tells them apart isn't carried
+    events = code.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("position", "fil", (-F.col("mag")).alias("low"), "mag"))).alias("e"))
     many = F.raise_error(F.format_string(f"%d events of one sequence, more than {MOST_EVENTS}: keep those of top_q", F.size("e")))
     events = events.withColumn("e", F.when(F.size("e") > MOST_EVENTS, many).otherwise(F.col("e")))
     first = events.filter(F.size("e") >= 3).select("seq", "e", F.posexplode("e").alias("i", "a"))
-    second = first.filter(F.col("i") < F.size("e") - 2).select("seq", "e", "a", "i", F.posexplode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("j", "b"))
+    first = first.withColumns({"lead": (F.col("i") == 0) | ~_alike(F.col("e")[F.greatest(F.lit(0), F.col("i") - 1)], F.col("a")), "nulls": F.exists("e", lambda x: x["mag"].isNull())})
+    second = first.filter(F.col("i") < F.size("e") - 2).select("seq", "e", "a", "i", "lead", "nulls", F.posexplode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("j", "b"))
     at = F.col("i") + F.col("j") + 2
-    third = second.filter(at < F.size("e")).select("seq", "a", "b", F.explode(F.slice("e", at + 1, F.size("e"))).alias("c"))
+    # an event leads if it is the first of its kind, or comes next to the one before it in the triple
+    second = second.withColumn("lead", F.col("lead") & ((F.col("j") == 0) | ~_alike(F.col("e")[at - 2], F.col("b"))))
+    third = second.filter(at < F.size("e")).select("seq", "a", "b", "lead", "nulls", F.posexplode(F.slice("e", at + 1, F.size("e"))).alias("k", "c"), F.slice("e", at + 1, F.size("e")).alias("rest"))
+    third = third.withColumn("lead", F.col("lead") & ((F.col("k") == 0) | ~_alike(F.col("rest")[F.greatest(F.lit(0), F.col("k") - 1)], F.col("c"))))
     d13 = F.col("c.position") - F.col("a.position")
     return third.select(
         F.col("a.fil").alias("f1"), F.col("b.fil").alias("f2"), F.col("c.fil").alias("f3"), (F.col("b.position") - F.col("a.position")).alias("d12"), d13.alias("d13"), (d13 + height).alias("len"),
-        "seq", F.col("a.position").alias("pos"), F.least("a.mag", "b.mag", "c.mag").alias("min_mag"),
+        "seq", F.col("a.position").alias("pos"), F.least("a.mag", "b.mag", "c.mag").alias("min_mag"), "lead", "nulls",
     )
 
 
@@ -164,5 +176,9 @@ def merged_levels(code: DataFrame, levels: tuple[float, ...] = DEFAULT.levels, b
     hits = triples.join(F.broadcast(first.select(*KEY, "level", mark.alias("mark"))), list(KEY))
     base_keys = tall.filter(F.col("s0") > DEFAULT.base_support).select(*KEY, F.lit(True).alias("in_base"))
     hits = hits.join(F.broadcast(base_keys.join(F.broadcast(first.select(*KEY)), list(KEY), "left_semi")), list(KEY), "left")
-    counted = hits.groupBy(*KEY, "level", "seq", "pos").agg(F.count_if(F.col("min_mag") > F.col("mark")).alias("n"), F.max(F.coalesce("in_base", F.lit(False)) & (F.col("min_mag") > marks[0])).alias("b"))
-    return counted.groupBy(*KEY, "level").agg(F.sum("n").alias("hits"), F.count_if((F.col("n") > 0) | F.col("b")).alias("hits_with_base"))
+    met = F.col("min_mag") > F.col("mark")
+    with_base = met | (F.coalesce("in_base", F.lit(False)) & (F.col("min_mag") > marks[0]))
+    # a row a pattern in each task; places are only grouped where magnitudes are null
+    place = F.when(F.col("nulls"), F.struct("seq", "pos"))
+    counted = hits.groupBy(*KEY, "level", place.alias("place")).agg(F.count_if(met).alias("n"), F.count_if(with_base & F.col("lead")).alias("led"), F.max(F.coalesce(with_base, F.lit(False)).cast("long")).alias("b"))
+    return counted.groupBy(*KEY, "level").agg(F.sum("n").alias("hits"), F.sum(F.when(F.col("place").isNull(), F.col("led")).otherwise(F.col("b"))).alias("hits_with_base"))

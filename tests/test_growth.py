@@ -160,3 +160,30 @@ def test_mining_meets_triples_twice(spark, monkeypatch):
     monkeypatch.setattr(patterns, "merged_levels", None)
     got = discover.mined(code)
     assert got.select("motif_id").distinct().count() == len(want) > 1
+
+
+def test_leading_triples_count_places(spark):
+    """Above any mark there are as many leading triples as places of patterns, with events of one position and filter as well, so places needn't be grouped; with
+    null magnitudes the levels are what grouping says."""
+    rng = random.Random(10)
+    rows = [(s, rng.randint(1, 4), rng.randint(0, 1), float(rng.randint(1, 6)), f"w{i}") for s in range(150) for i in range(rng.randint(2, 7))]
+    schema = "seq long, position int, fil int, mag double, tie string"
+    triples = patterns.triplets(spark.createDataFrame(rows, schema))
+    for mark in (0.0, 1.5, 3.0, 4.5):
+        own = triples.filter(F.col("min_mag") > mark)
+        assert own.filter("lead").count() == own.select(*patterns.KEY, "seq", "pos").distinct().count() < own.count()
+    some = [(s, p, f, None if s % 3 == 0 and rng.random() < 0.3 else m, t) for s, p, f, m, t in rows]
+    code = spark.createDataFrame(some, schema)
+    levels = (0.05, 0.5)
+    got = {tuple(r)[:7]: (r.hits, r.hits_with_base) for r in patterns.merged_levels(code, levels, least=3).collect()}
+    low, *marks = patterns.quantiles(code, [DEFAULT.base_quantile, *levels])
+    hits, base = Counter(), Counter()
+    rows = [(tuple(r)[:6], (r.seq, r.pos), r.min_mag) for r in patterns.triplets(code).collect() if r.min_mag is not None]
+    for k, _, m in rows:
+        base[k] += m > low
+    for key, (n, both) in got.items():
+        mark = marks[levels.index(key[6])]
+        own = [(place, m) for k, place, m in rows if k == key[:6]]
+        hits[key] = sum(m > mark for _, m in own)
+        assert (n, both) == (hits[key], len({p for p, m in own if m > mark or (base[key[:6]] > DEFAULT.base_support and m > low)}))
+    assert len(got) > 5

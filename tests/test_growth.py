@@ -187,3 +187,26 @@ def test_leading_triples_count_places(spark):
         hits[key] = sum(m > mark for _, m in own)
         assert (n, both) == (hits[key], len({p for p, m in own if m > mark or (base[key[:6]] > DEFAULT.base_support and m > low)}))
     assert len(got) > 5
+
+
+def word_windows_of(texts, letters, flank, first):
+    """(motif, place from 1, window) of all words with their flanks."""
+    for t in texts:
+        for p in range(len(t) - letters - 2 * flank + 1):
+            word = t[p + flank : p + flank + letters]
+            yield first + sum("ACGT".index(c) * 4 ** (letters - 1 - i) for i, c in enumerate(word)), p + 1, t[p : p + letters + 2 * flank]
+
+
+def test_windows_are_counted_where_they_are_read(spark):
+    """Words' windows meet no join and make no rows, and hits are never sent to all tasks, however small Spark takes them to be."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ACGT") for _ in range(20)) for _ in range(70)]
+    own = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    for sizes in ((4, 2, 1), (3, 1, 1001)):
+        want = Counter((m, o, c) for m, _, window in word_windows_of(texts, *sizes) for o, c in enumerate(window, 1))
+        counted = queries.window_counts(own, *sizes)
+        assert {(r.motif_id, r.offset, r.base): r.cnt for r in counted.collect() if r.cnt} == want
+        assert "Join" not in plan(counted) and "Generate" not in plan(counted).split("MapInArrow")[1]
+    hits = spark.range(5).selectExpr("id motif_id", "id seq_id", "1 pos", "false comp", "8 len")
+    for made in (matrices.windows(hits, own), refine.expansion(hits, own), merge.surroundings(hits, own, 20, 12), intervals.jaccard(intervals.union(hits))):
+        assert "SortMergeJoin [seq_id" in plan(made)

@@ -220,3 +220,44 @@ def test_places_of_windows_are_counted_where_they_are_read(spark):
         placed = queries.window_places(own, *sizes)
         assert {(r.motif_id, r.pos, r.comp): r.n for r in placed.collect()} == Counter((m, p, False) for m, p, _ in word_windows_of(texts, *sizes))
         assert "Join" not in plan(placed)
+
+
+def test_sparse_entries_and_bands_as_plain_loops():
+    """Codes of a few entries meet their own windows only, and many filters of few letters make two widths at once; both are what loops say."""
+    rng = np.random.default_rng(4)
+    code = rng.random((4, 11, 9)) * (rng.random((4, 11, 9)) < 0.06)
+    code[2] = 0
+    for letters in (7, 3):
+        filters, wide = rng.random((9, 5, letters)), rng.random((4, 15, letters))
+        placed, sums, scores = np.zeros((4, 15, letters)), np.zeros((9, 5, letters)), np.zeros(code.shape)
+        for n, c, k in np.ndindex(code.shape):
+            placed[n, c : c + 5] += code[n, c, k] * filters[k]
+            sums[k] += code[n, c, k] * wide[n, c : c + 5]
+            scores[n, c, k] = (wide[n, c : c + 5] * filters[k]).sum()
+        assert np.allclose(tape.place_arrays(code, filters), placed)
+        at = tape.Entries.of(code != 0)
+        found = at.windows(wide)
+        assert np.allclose(at.outer(code, found, letters), sums) and np.allclose(at.correlate(found, filters), scores * (code != 0))
+        for f, other in ((tape.place, filters), (tape.outer, wide)):
+            got = []
+            for entries in (None, at):
+                a, b = tape.Value(code), tape.Value(other)
+                got.append(tape.gradients((f(a, b, entries) * (1.0 + f(a, b, entries).x)).sum(), {"a": a, "b": b}))
+            assert np.allclose(got[0]["a"] * (code != 0), got[1]["a"]) and np.allclose(got[0]["b"], got[1]["b"])
+    assert tape.Entries.of(np.ones((2, 3, 4))) is None
+
+
+def test_gradients_copy_few_windows(monkeypatch):
+    """A batch's gradient copies windows of whole signals where a code is dense, not for each of its entries, and the encoding keeps nothing for gradients."""
+    cells = []
+    plain = tape.windows
+    monkeypatch.setattr(tape, "windows", lambda signal, width: cells.append(plain(signal, width)) or cells[-1])
+    shape = syntax.Shape(filters=24)
+    p, x = syntax.initial(shape), syntax.one_hot(["".join("ACGT"[(i * j + i) % 13 % 4] for j in range(60)) for i in range(1, 9)])
+    syntax.slopes(x, p, shape)
+    upper = 8 * 42 * shape.height * 2 * shape.filters
+    # a window for each step of the upper layer and its two derivatives would be more than 50 times that
+    assert sum(c.size for c in cells) < 30 * upper
+    model = syntax.Model(shape, p)
+    whole, events = model.codes(x), model.codes(x, upper=True)
+    assert (whole.x.x == events.x.x).all() and not whole.x.made_of and tape.Value.remembers

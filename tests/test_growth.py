@@ -3,13 +3,15 @@
 import hashlib
 import random
 from collections import Counter
+from dataclasses import replace
+from unittest import mock
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT
-from quarry.operators import encode, intervals, matrices, merge, patterns, refine, scan, syntax, tape
+from quarry.operators import encode, intervals, matrices, merge, patterns, refine, scan, syntax, tape, triples
 from quarry.plans import discover, queries
 
 
@@ -261,3 +263,53 @@ def test_gradients_copy_few_windows(monkeypatch):
     model = syntax.Model(shape, p)
     whole, events = model.codes(x), model.codes(x, upper=True)
     assert (whole.x.x == events.x.x).all() and not whole.x.made_of and tape.Value.remembers
+
+
+def test_triples_are_counted_in_arrays(spark, monkeypatch):
+    """Supports and hits of mining equal those of the triples' rows, with ties of position and filter, with few events and with codes that can't be numbered."""
+    rng = random.Random(13)
+    schema = "seq long, position int, fil int, mag double, tie string"
+    rows = [(s, rng.randint(5, 14), rng.randint(0, 3), float(rng.randint(1, 9)), "w") for s in range(120) for _ in range(rng.randint(1, 9))]
+    for odd in ([], [(3, 6, 1, None, "w")], [(3, 1 << 29, 2, 4.0, "w"), (3, 6, 2, 4.0, "w")]):
+        code = spark.createDataFrame(rows + odd, schema)
+        marks = patterns.quantiles(code, [0.01, 0.3, 0.3, 0.8])
+        plain = patterns.triplets(code, 12)
+        want = {tuple(r) for r in patterns.supports(plain, marks).filter("s0 > 0").select(*patterns.KEY, "s0", "s1", "s2", "s3").collect()}
+        assert (triples.numbers(code, marks) is None) == bool(odd)
+        got = triples.supports(code, marks, 12)
+        assert {tuple(r) for r in got.select(*patterns.KEY, "s0", "s1", "s2", "s3").collect()} == want and got.count() == len(want) > 300
+        keys = sorted(r[:6] for r in want)[::3] + [(0, 0, 77, 1, 2, 14), (0, 0, 1, 1, 999, 1011)]
+        numbers = {k: i + 1 for i, k in enumerate(keys)}
+        places = {(numbers[k], r.seq, r.pos, k[5]) for r in plain.collect() if r.min_mag is not None and r.min_mag > marks[1] and (k := tuple(r[:6])) in numbers}
+        hits = triples.hits(code, keys, marks[1], 12)
+        assert {tuple(r) for r in hits.select("motif_id", "seq_id", "pos", "len").collect()} == places and hits.count() == len(places) > 100
+    # nothing makes a row of a triple
+    code = spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(patterns, "triplets", None)
+    assert discover.mined(code, replace(DEFAULT, support_to=1)).select("motif_id").distinct().count() > 10
+
+
+def test_marks_of_the_config_are_followed(spark):
+    """Which support is enough, and which makes a base pattern, is the config's to say."""
+    code = spark.createDataFrame([(s, 4 * k + 1, k, 1.0 + (k + s) % 3, "w") for s in range(60) for k in range(6)], "seq long, position int, fil int, mag double, tie string")
+    nothing = replace(DEFAULT, support_to=10**6)
+    assert not discover.mined(code, nothing).isEmpty() and discover.mined(code, replace(nothing, base_support=10**6)).isEmpty()
+
+
+def test_a_task_hands_on_its_sums(spark):
+    """Counts of words and of letters at edges don't grow with the batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [(i % 7, "ACGTACGTAC"[: 4 + i % 3]) for i in range(3000)]
+        words = spark.createDataFrame(rows, "motif_id int, word string").coalesce(1)
+        made, want = matrices.count_matrix(words), Counter((m, o, c) for m, w in rows for o, c in enumerate(w, 1))
+        assert {(r.motif_id, r.offset, r.base): r.cnt for r in made.collect() if r.cnt} == want
+        sizes = []
+        plain = matrices.summed_cells
+        with mock.patch.object(matrices, "summed_cells", lambda some: sizes.append(some.count()) or plain(some)):
+            matrices.count_matrix(words)
+            with mock.patch.object(matrices, "HELD", 100):
+                assert {(r.motif_id, r.offset, r.base): r.cnt for r in matrices.count_matrix(words).collect() if r.cnt} == want
+        assert sizes[0] == 7 * (4 + 5 + 6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
